@@ -2,8 +2,9 @@
 
 Texts become sets of hashed word shingles.  Equal sets collapse into one class.  Classes are dealt into
 groups of similar sets (same minimum hash, same length band, bounded size), and the matrix stores for each
-group the union of its members' signature tokens.  A set links only with sets that share one of its first
-``n - ceil(t*n) + 1`` tokens in a fixed order, so only group pairs that meet in the matrix can hold a link.
+group the union of its members' signature tokens.  A set links only with sets that share of its first
+``n - ceil(t*n) + h`` tokens in a fixed order at h places or more, so only group pairs that meet as often in
+the matrix can hold a link.
 Each such pair is opened in a task: the overlap of a set with the other group's whole token union bounds its
 overlap with every member, sets below the bound are dropped, and the rest is compared exactly with a matrix
 product.  A task returns a spanning forest and link counts, never pairs, and distributed connected
@@ -34,6 +35,8 @@ from ripplegraph.llm import textkit as T
 GROUP_ROWS = 256
 #: A token in more sets than this comes late in the order.
 COMMON = 32
+#: Signature tokens that a linking pair shares at least: each of the first n - ceil(t*n) + HITS has as many in common.
+HITS = 4
 #: Cells of the bitmap of such tokens: 128 KB, whatever the input.
 CELLS = 1 << 20
 
@@ -111,7 +114,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFra
         for _, first, tokens in _sets(batches, k):
             sig, least, band = _marks(first, tokens, percent)
             n = np.diff(first)
-            at, low = _low(first, tokens, np.where(n > 0, n - _need(n, percent) + 1, 0), late)
+            at, low = _low(first, tokens, np.where(n > 0, n - _need(n, percent) + HITS, 0), late)
             yield pa.RecordBatch.from_arrays([sig, pa.array(n), pa.array(least), pa.array(band), T.list_column(low.view(np.int64), at)], ["sig", "n", "least", "band", "tokens"])
 
     return T.text_frame(docs.where("doc_id is not null")).mapInArrow(run, "sig binary, n long, least long, band int, tokens array<long>").where("sig is not null")
@@ -194,16 +197,19 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     large = T.stash(classes.groupBy("least", "band").count().where(F.col("count") > GROUP_ROWS).select("least", "band", F.ceil(F.col("count") / GROUP_ROWS).alias("deals")))
     late = common_tokens(docs, k, percent)
 
-    rows = _grouped(prefixes(docs, k, percent, late), large).select("grp", "sig", "n", F.explode("tokens").alias("token"))
-    # dealt by token once: the aggregate over (token, grp) and the count over token then need no other shuffle
-    matrix = rows.repartition("token").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("sig") != F.max("sig")).alias("many"))
-    matrix = T.stash(matrix.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1 or many").drop("groups"))
+    rows = _grouped(prefixes(docs, k, percent, late).dropDuplicates(["sig"]), large).select("grp", "sig", "n", F.explode("tokens").alias("token"))
+    # only tokens of two sets at least can open anything
+    shared = T.stash(rows.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1").drop("sets"))
+    matrix = T.stash(shared.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.count("*") > 1).alias("many")))
     a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("grp", "lo", "hi", "many"))) for s in "ab")
     meet = a.join(b, "token").where(f"(grp_a < grp_b and 100 * hi_a >= {percent} * lo_b and 100 * hi_b >= {percent} * lo_a) or (grp_a = grp_b and many_a)")
-    pairs = T.stash(meet.select("grp_a", "grp_b").distinct())
+    # sets of fewer than HITS needed tokens share all that they need
+    least = F.least(F.lit(HITS), F.ceil(F.lit(percent) * F.least(F.min("lo_a"), F.min("lo_b")) / 100))
+    pairs = T.stash(meet.groupBy("grp_a", "grp_b").agg(F.count("*").alias("hits"), least.alias("least")).where("hits >= least").select("grp_a", "grp_b"))
 
     opened = pairs.select(F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
-    members = T.stash(_grouped(classes, large).join(opened, "grp", "left_semi").select("rep", "sig", "copies", "grp"))
+    active = _grouped(classes, large).join(shared.select("sig").distinct(), "sig", "left_semi")
+    members = T.stash(active.join(opened, "grp", "left_semi").select("rep", "sig", "copies", "grp"))
     groups = T.stash(_packed(docs, members, k))
     side = lambda s: groups.select(F.col("grp").alias(f"grp_{s}"), F.col("members").alias(f"members_{s}"))
     work = pairs.join(side("a"), "grp_a").join(side("b"), "grp_b")
