@@ -197,7 +197,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     large = T.stash(classes.groupBy("least", "band").count().where(F.col("count") > GROUP_ROWS).select("least", "band", F.ceil(F.col("count") / GROUP_ROWS).alias("deals")))
     late = common_tokens(docs, k, percent)
 
-    rows = _grouped(prefixes(docs, k, percent, late).dropDuplicates(["sig"]), large).select("grp", "sig", "n", F.explode("tokens").alias("token"))
+    rows = _grouped(prefixes(docs, k, percent, late).dropDuplicates(["sig"]), large).select("grp", F.col("n").cast("int").alias("n"), F.explode("tokens").alias("token"))
     # only tokens of two sets at least can open anything
     shared = T.stash(rows.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1").drop("sets"))
     matrix = T.stash(shared.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.count("*") > 1).alias("many")))
@@ -208,8 +208,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     pairs = T.stash(meet.groupBy("grp_a", "grp_b").agg(F.count("*").alias("hits"), least.alias("least")).where("hits >= least").select("grp_a", "grp_b"))
 
     opened = pairs.select(F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
-    active = _grouped(classes, large).join(shared.select("sig").distinct(), "sig", "left_semi")
-    members = T.stash(active.join(opened, "grp", "left_semi").select("rep", "sig", "copies", "grp"))
+    members = T.stash(_grouped(classes, large).join(opened, "grp", "left_semi").select("rep", "sig", "copies", "grp", "n"))
+    # the smaller group of a pair goes to the larger one
+    weight = members.groupBy("grp").agg(F.sum("n").alias("weight"))
+    pairs = pairs.join(weight.select(F.col("grp").alias("grp_a"), F.col("weight").alias("wa")), "grp_a").join(weight.select(F.col("grp").alias("grp_b"), F.col("weight").alias("wb")), "grp_b")
+    swap = F.col("wa") > F.col("wb")
+    pairs = T.stash(pairs.select(F.when(swap, F.col("grp_b")).otherwise(F.col("grp_a")).alias("grp_a"), F.when(swap, F.col("grp_a")).otherwise(F.col("grp_b")).alias("grp_b")))
+    members = members.drop("n")
     groups = T.stash(_packed(docs, members, k))
     side = lambda s: groups.select(F.col("grp").alias(f"grp_{s}"), F.col("members").alias(f"members_{s}"))
     work = pairs.join(side("a"), "grp_a").join(side("b"), "grp_b")
