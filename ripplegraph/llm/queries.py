@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplegraph.llm.decontam import contaminated
 from ripplegraph.llm.line_dedup import line_dedup
 from ripplegraph.llm.ngram_join import ngram_components
 from ripplegraph.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, cover=50, literal=5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, limit=2048)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_token_store": op3_token_store,
+        "op4_decontamination": op4_decontamination,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_line_dedup": op10_line_dedup,
     }
