@@ -12,6 +12,7 @@ from ripplegraph.llm.decontam import contaminated
 from ripplegraph.llm.line_dedup import line_dedup
 from ripplegraph.llm.ngram_join import ngram_components
 from ripplegraph.llm.packing import pack_documents
+from ripplegraph.llm.suffix_dedup import repeated_passages
 from ripplegraph.llm.token_store import token_store
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +35,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, cover=50, literal=5)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, limit=2048)
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_token_store": op3_token_store,
         "op4_decontamination": op4_decontamination,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_line_dedup": op10_line_dedup,
     }

@@ -213,3 +213,17 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now
     heads = e.select(F.col("dst").alias("id")).distinct()
     return e.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(heads.select("id", F.col("id").alias("component")))
+
+
+#: Cells of the sieve that thins documents before they are shuffled to a join.
+SIEVE = 1 << 18
+
+
+def thin(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key may be among ``wanted``'s: a superset, found without a shuffle of ``docs``.
+
+    At most SIEVE hash cells are broadcast, whatever the input; an exact join has to follow.
+    """
+    cell = F.xxhash64(F.col(key)).bitwiseAND(F.lit(SIEVE - 1))
+    cells = wanted.select(cell.alias("_cell")).distinct()
+    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
