@@ -192,7 +192,7 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
         schema = pa.schema([("id", pa.binary()), ("line", pa.string()), ("counts", pa.binary())])
         yield from _emit(((_line_id(x), x, _counts(x)) for _, ls in _rows(batches) for x in ls if len(x) >= min_chars), schema)
 
-    known = text.mapInArrow(texts, "id binary, line string, counts binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    known = T.thin(text.mapInArrow(texts, "id binary, line string, counts binary"), wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     known = T.stash(known.join(first, "id"))
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (id, other), the ids that are within the distance of an other."""

@@ -216,7 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Cells of the sieve that thins documents before they are shuffled to a join.
-SIEVE = 1 << 18
+SIEVE = 1 << 20
 
 
 def thin(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
