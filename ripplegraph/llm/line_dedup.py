@@ -239,8 +239,17 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
     A document all of whose lines go has an empty text.
     """
     gone = drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("line_no").alias("_gone"))
-    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone, "_d", "left").drop("_d")
+    gone = T.stash(gone)
+    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.element_at(lines, i + 1))
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(1)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return rows.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("_gone")
+    count = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
+
+    def counted(df):
+        return df.withColumn("n_lines", F.coalesce(count, F.lit(1)).cast("long"))
+
+    cut = counted(T.thin(rows, gone, "_d").join(gone, "_d", "left")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    cut = cut.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("_gone", "_d")
+    # documents that lose nothing are not shuffled
+    same = counted(T.rest(rows, gone, "_d")).withColumn("n_dropped", F.lit(0).cast("long")).drop("_d")
+    return same.unionByName(cut)

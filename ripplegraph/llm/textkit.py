@@ -219,11 +219,20 @@ def components(edges: DataFrame) -> DataFrame:
 SIEVE = 1 << 20
 
 
+def _sieve(docs: DataFrame, wanted: DataFrame, key: str, how: str) -> DataFrame:
+    cell = F.xxhash64(F.col(key)).bitwiseAND(F.lit(SIEVE - 1))
+    cells = wanted.select(cell.alias("_cell")).distinct()
+    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", how).drop("_cell")
+
+
 def thin(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key may be among ``wanted``'s: a superset, found without a shuffle of ``docs``.
 
     At most SIEVE hash cells are broadcast, whatever the input; an exact join has to follow.
     """
-    cell = F.xxhash64(F.col(key)).bitwiseAND(F.lit(SIEVE - 1))
-    cells = wanted.select(cell.alias("_cell")).distinct()
-    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+    return _sieve(docs, wanted, key, "left_semi")
+
+
+def rest(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows that ``thin`` leaves out."""
+    return _sieve(docs, wanted, key, "left_anti")
