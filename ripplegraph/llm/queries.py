@@ -12,8 +12,10 @@ from ripplegraph.llm.decontam import contaminated
 from ripplegraph.llm.line_dedup import line_dedup
 from ripplegraph.llm.ngram_join import ngram_components
 from ripplegraph.llm.packing import pack_documents
+from ripplegraph.llm.quality_rules import quality_rules
 from ripplegraph.llm.suffix_dedup import repeated_passages
 from ripplegraph.llm.token_store import token_store
+from ripplegraph.llm.url_filter import judge_urls
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -35,6 +37,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8, cover=50, literal=5)
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    rows = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return spark.sql("select * from values " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rows) + " as t(host, path, verdict)")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), url_rules(spark))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
 
@@ -72,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_token_store": op3_token_store,
         "op4_decontamination": op4_decontamination,
+        "op5_url_filter": op5_url_filter,
+        "op6_quality_rules": op6_quality_rules,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_line_dedup": op10_line_dedup,
