@@ -131,7 +131,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
     return s.join(fitted, F.col("s").eqNullSafe(F.col("stratum")) & (F.col("l") == F.col("level"))).drop("s", "l", "level")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, doubt: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """doc_id, the COUNTS, base_failed and kept of every row of ``docs`` (doc_id, text, lang)."""
     T.session(docs.sparkSession)
     rows = T.stash(measured(docs))
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.01, doubt:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.01, doubt: float = 0.05) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that the rules keep; of rows that repeat a doc_id all stay if one does."""
     kept = quality_rules(docs, labels, risk, doubt).where("kept").select(F.col("doc_id").alias("_d")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
