@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.decontam import contaminated
 from ripplegraph.llm.line_dedup import line_dedup
+from ripplegraph.llm.lm_score import score_texts
 from ripplegraph.llm.ngram_join import ngram_components
 from ripplegraph.llm.packing import pack_documents
 from ripplegraph.llm.quality_classifier import classify
@@ -30,6 +31,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -91,6 +96,7 @@ left join (select x, count(*) as c from l group by 1) k on k.x = d.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_token_store": op3_token_store,
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
