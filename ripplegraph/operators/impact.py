@@ -89,7 +89,6 @@ def coverage(nodes: DataFrame, names: int = 25) -> DataFrame:
 
     ``nodes`` has name, in_catalog.  The list of names is a report and capped; the counts are not.
     """
-    first = nodes.where("not in_catalog").orderBy("name").limit(names)
+    first = [r.name for r in nodes.where("not in_catalog").orderBy("name").limit(names).collect()]
     counts = nodes.agg(F.count("*").alias("n_models"), F.count_if("in_catalog").alias("n_catalog"), F.count_if(~F.col("in_catalog")).alias("n_missing"))
-    listed = first.agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missing_names"))
-    return counts.crossJoin(listed).withColumn("complete", F.col("n_missing") == 0)  # a row each
+    return counts.withColumn("missing_names", F.lit(",".join(first) or None)).withColumn("complete", F.col("n_missing") == 0)

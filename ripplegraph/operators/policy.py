@@ -143,6 +143,5 @@ def baseline_delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def key_coverage(meta: DataFrame, column: str) -> DataFrame:
     """key, n and pct: how often each top-level key occurs in a JSON object column."""
-    total = meta.agg(F.count("*").alias("total"))  # one row
     keys = meta.select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return keys.crossJoin(F.broadcast(total)).select("key", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+    return keys.select("key", "n", F.round(100.0 * F.col("n") / F.lit(meta.count()), 4).alias("pct"))
