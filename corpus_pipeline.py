@@ -31,7 +31,7 @@ from ripplegraph.llm.quality_rules import filter_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: No SQL for certified cutoffs, edit distances, templates and packing: tests hold the stages against brute force.
+#: None: SQL has no certified cutoffs, banded edit distances, templates or packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -123,8 +123,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
             yield f
 
     tested = T.stash(tested.mapInPandas(certify, tested.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",p:double"))
-    tests = tested.agg(F.count("*").alias("tests"))  # one row
-    sure = tested.crossJoin(F.broadcast(tests)).where(F.col("p") * F.col("tests") <= doubt)
+    sure = tested.where(F.col("p") * F.lit(tested.count()) <= doubt)
     best = F.max("caught").over(Window.partitionBy("stratum"))
     sure = sure.withColumn("best", best).where("caught >= 0.98 * best").groupBy("stratum").agg(F.max("level").alias("level"))
     s = sure.select(F.col("stratum").alias("s"), F.col("level").alias("l"))
@@ -137,13 +136,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt:
     rows = T.stash(measured(docs))
     cuts = T.stash(cutoffs(rows, labels, risk, doubt))
     own = cuts.where("stratum is not null").withColumnRenamed("stratum", "lang").withColumn("_own", F.lit(True))
-    rest = cuts.where("stratum is null").select(*(F.col(f"max_{m}").alias(f"all_{m}") for m in MEASURES))  # one row at most
+    rest = cuts.where("stratum is null").first()  # one row at most
     over = F.lit(False)
     for m, e in MEASURES.items():
-        cut = F.when(F.col("_own"), F.col(f"max_{m}")).otherwise(F.col(f"all_{m}"))
+        cut = F.when(F.col("_own"), F.col(f"max_{m}")).otherwise(F.lit(rest[f"max_{m}"] if rest else None).cast("double"))
         over = over | F.coalesce(F.expr(f"coalesce({e}, 0D)") > cut, F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = rows.join(own, "lang", "left").join(F.broadcast(rest), F.lit(True), "left")
+    out = rows.join(own, "lang", "left")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).select("doc_id", *COUNTS, "base_failed", "kept")
 
 

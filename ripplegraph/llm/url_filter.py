@@ -46,8 +46,8 @@ def by_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _ranks(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
     """Personalised PageRank of every host: (host, rank). ``seeds`` has every host and its weight."""
-    total = seeds.agg(F.sum("weight").alias("total"))
-    seeds = T.stash(seeds.crossJoin(F.broadcast(total)).select("host", F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.lit(0.0)).alias("seed")))  # total is one row
+    total = seeds.agg(F.sum("weight")).first()[0]  # one number
+    seeds = T.stash(seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("seed")))
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
     flow = T.stash(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")))
     rank = seeds.select("host", F.col("seed").alias("rank"))
@@ -73,8 +73,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, damping: flo
     trust = _ranks(hosts.select("host", F.col("good").alias("weight")), edges, rounds, damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = _ranks(hosts.select("host", F.col("bad").alias("weight")), back, rounds, damping)
-    all_ = hosts.agg(F.sum("urls").alias("all"))  # one row
-    share = F.col("urls") / F.col("all")
+    share = F.col("urls") / F.lit(float(hosts.agg(F.sum("urls")).first()[0] or 1))  # one number
     verdict = F.when(F.col("distrust") - F.col("trust") > lift * share, "block").otherwise("allow")
-    judged = hosts.select("host", "urls").crossJoin(F.broadcast(all_)).join(trust.withColumnRenamed("rank", "trust"), "host").join(distrust.withColumnRenamed("rank", "distrust"), "host").select("host", verdict.alias("own"))
+    judged = hosts.select("host", "urls").join(trust.withColumnRenamed("rank", "trust"), "host").join(distrust.withColumnRenamed("rank", "distrust"), "host").select("host", verdict.alias("own"))
     return ruled.join(judged, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", "own").alias("verdict"))
