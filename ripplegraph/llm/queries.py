@@ -93,6 +93,43 @@ left join (select x, count(*) as c from l group by 1) k on k.x = d.doc_id
 """
 
 
+def _op5_sql(rounds: int = 8, damping: float = 0.85, lift: float = 1.0) -> str:
+    link = r"""(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
+    low = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    ctes = [
+        "rules(rh, rp, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))",
+        f"p as (select page_id, {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path, html, row_number() over () as rid from pages)",
+        "m as (select rid, arg_max((rh || rp, v), (length(rh) + length(rp), v = 'block', rp)) as r from p join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by rid)",
+        "j as (select p.*, m.r[1] as rule, m.r[2] as ruled from p left join m on m.rid = p.rid)",
+        "h as (select host, count(*) as urls, count(*) filter (ruled = 'allow') as good, count(*) filter (ruled = 'block') as bad from j group by 1)",
+        f"l as (select host as src, {low("unnest(regexp_extract_all(coalesce(html, ''), '" + link + "', 1))")} as dst from p)",
+        "e as (select src, dst, count(*) as n from (select src, dst from l where dst in (select host from h) union all select host, host from h) group by 1, 2)",
+        "f as (select src, dst, n / sum(n) over (partition by src) as s from e)",
+        "b as (select dst as src, src as dst, n / sum(n) over (partition by dst) as s from e)",
+    ]
+    for rank, weight, flow in (("t", "good", "f"), ("d", "bad", "b")):
+        seed = f"(case when sum({weight}) over () > 0 then {weight} / sum({weight}) over () else 0 end)"
+        ctes.append(f"{rank}0 as (select host, {seed} as seed, {seed} as r from h)")
+        for k in range(rounds):
+            given = f"select dst, sum(r * s) as g from {flow} join {rank}{k} on host = src group by 1"
+            ctes.append(f"{rank}{k + 1} as (select host, seed, {1 - damping!r} * seed + {damping!r} * coalesce(g, 0) as r from {rank}{k} left join ({given}) on dst = host)")
+    own = f"case when d.r - t.r > {lift!r} * h.urls / (select sum(urls) from h) then 'block' else 'allow' end"
+    return f"with {', '.join(ctes)} select page_id, j.host, path, rule, coalesce(ruled, {own}) as verdict from j join h on h.host = j.host join t{rounds} t on t.host = j.host join d{rounds} d on d.host = j.host"
+
+
+OP8_SQL = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as ws from documents where doc_id is not null),
+g as (
+  select doc_id, i - 1 as start, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) as k
+  from (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as i from w where len(ws) >= 50)),
+s as (select k, min(doc_id) as f from g group by k having min(doc_id) <> max(doc_id)),
+x as (select doc_id, start, f from g join s using (k)),
+n as (select *, case when start - lag(start) over (partition by doc_id order by start) <= 50 then 0 else 1 end as new from x),
+i as (select *, sum(new) over (partition by doc_id order by start) as island from n)
+select doc_id, min(start) as start, max(start) - min(start) + 50 as n_words, arg_min(f, start) as first_doc_id from i group by doc_id, island
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -109,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_suffix_dedup": OP8_SQL}
