@@ -37,6 +37,8 @@ CLASSES = TOP + ENDINGS
 #: Texts of a round are those of a block whose place has that remainder.
 ROUNDS = 2
 BATCH, NOISE, RATE = 2048, 64, 0.08
+#: Texts of a block at most, and bytes after which it ends.
+BLOCK_ROWS, BLOCK_BYTES = 2000, 8 << 20
 _END = np.uint64(0xE4D0F7EC7A3B5C19)
 
 
@@ -45,9 +47,18 @@ def is_training(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 != 1
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, the lowest first."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
-    for b in T.pieces(batches):
+    for b in T.pieces(batches, size=BLOCK_BYTES):
         w = T.Words(b.column(1))
         n = len(w.count)
         # an end token after each text
@@ -58,12 +69,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(w.hash):
             pair = w.data[w.end - 1].astype(np.int64) * 256 + np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0)
             last[place] = pair * 40503 % 65521 % ENDINGS
-        vocab, first, local = np.unique(tokens, return_index=True, return_inverse=True)
+        vocab, first, local, often = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+        # frequent words get small numbers, which compress well
+        order = np.argsort(-often, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        vocab, first, local = vocab[order], first[order], number[local]
         ids = b.column(0).to_pylist()
         learn = np.array([is_training(d) for d in ids])
         count = w.count + 1
         seen = np.bincount(local[np.repeat(learn, count)], minlength=len(vocab))
-        row = [block, ids, count.tolist(), learn.tolist(), local.astype("<u4").tobytes(), vocab.tobytes(), last[first].astype("<u2").tobytes(), seen.astype("<u4").tobytes()]
+        row = [block, ids, count.tolist(), learn.tolist(), _planes(local), vocab.tobytes(), last[first].astype("<u2").tobytes(), seen.astype("<u4").tobytes()]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["block", "ids", "counts", "learn", "local", "vocab", "ending", "seen"])
         block += 1
@@ -90,27 +106,20 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Shape:
     """What all tasks know of the training counts; its size is fixed."""
 
-    def __init__(self, total: int, distinct: int, top: np.ndarray, top_count: np.ndarray, rest: dict[int, tuple[int, int]]):
+    def __init__(self, total: int, distinct: int, top_count: np.ndarray, rest: dict[int, tuple[int, int]]):
         self.total, self.distinct = total, distinct
-        order = np.argsort(top)
-        self.top, self.place = top[order], order  # words, and their classes
         self.rest_count, self.rest_words = np.zeros(ENDINGS), np.zeros(ENDINGS)
         for e, (n, v) in rest.items():
             self.rest_count[e], self.rest_words[e] = n, v
         mass = np.full(CLASSES, 1e-9)
-        mass[: len(top)] = top_count + 0.5
+        mass[: len(top_count)] = top_count + 0.5
         mass[TOP:] = self.rest_count + 0.5 * (self.rest_words + 1)
         self.share = mass / mass.sum()
 
-    def classes(self, vocab: np.ndarray, ending: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word, and log10 of the word's share of it."""
-        cls = TOP + ending.astype(np.int64)
+    def classes(self, top: np.ndarray, ending: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word (``top`` where it has one of its own, else -1), and log10 of the word's share of it."""
         inner = np.log10((n + 0.5) / (self.rest_count + 0.5 * (self.rest_words + 1))[ending])
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, vocab), len(self.top) - 1)
-            own = self.top[at] == vocab
-            cls[own], inner[own] = self.place[at[own]], 0.0
-        return cls, inner
+        return np.where(top >= 0, top, TOP + ending.astype(np.int64)), np.where(top >= 0, 0.0, inner)
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -190,17 +199,19 @@ def contexts(classes: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndar
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = T.session(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     blocks = T.stash(T.text_frame(docs).mapInArrow(_blocks, "block long, ids array<long>, counts array<long>, learn array<boolean>, local binary, vocab binary, ending binary, seen binary"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     words = T.stash(blocks.select("block", "vocab", "ending", "seen").mapInArrow(_words, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
-    tops = F.broadcast(spark.createDataFrame([(int(x),) for x in top["word"]], "word long"))  # TOP rows
+    tops = F.broadcast(spark.createDataFrame([(int(x), i) for i, x in enumerate(top["word"])], "word long, class int"))  # TOP rows
     rest = {r["ending"]: (r["n"], r["v"]) for r in words.join(tops, "word", "left_anti").groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    shape = spark.sparkContext.broadcast(Shape(total["n"], total["v"], top["word"].to_numpy(np.int64), top["n"].to_numpy(np.float64), rest))
+    shape = spark.sparkContext.broadcast(Shape(total["n"], total["v"], top["n"].to_numpy(np.float64), rest))
 
     places = blocks.select("block", "vocab", "ending", "seen").mapInArrow(_places, "block long, place int, word long")
-    known = places.join(words.select("word", "n"), "word").groupBy("block").agg(F.collect_list(F.struct("place", "n")).alias("known"))
+    counts_ = words.join(tops, "word", "left").select("word", "n", F.coalesce("class", F.lit(-1)).cast("short").alias("class"))
+    known = places.join(counts_, "word").groupBy("block").agg(*(F.collect_list(c).alias(f"all_{c}") for c in ("place", "n", "class")))
 
     def coded(batches: Iterator[pa.RecordBatch]):
         s = shape.value
@@ -208,22 +219,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
             for r in range(b.num_rows):
                 get = lambda c: b.column(b.schema.get_field_index(c))[r]  # noqa: B023, E731
                 ids, counts, learn = (get(c).as_py() for c in ("ids", "counts", "learn"))
-                local, vocab, ending = np.frombuffer(get("local").as_py(), "<u4"), np.frombuffer(get("vocab").as_py(), np.int64), np.frombuffer(get("ending").as_py(), "<u2")
-                n = np.zeros(len(vocab))
-                pairs = get("known")
-                if pairs.is_valid:
-                    flat = pairs.values
-                    n[flat.field("place").to_numpy()] = flat.field("n").to_numpy()
-                cls, inner = s.classes(vocab, ending, n)
+                local, ending = _numbers(get("local").as_py()), np.frombuffer(get("ending").as_py(), "<u2")
+                n, top = np.zeros(len(ending)), np.full(len(ending), -1)
+                if get("all_place").is_valid:
+                    at = get("all_place").values.to_numpy()
+                    n[at], top[at] = get("all_n").values.to_numpy(), get("all_class").values.to_numpy()
+                cls, inner = s.classes(top, ending, n)
                 first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
                 sums = [np.add.reduceat(x[local], first) for x in ((n > 0).astype(np.int64), s.base(n), inner)]
-                end = int(cls[np.searchsorted(vocab.view(np.uint64), _END)])
+                end = int(cls[local[counts[0] - 1]])  # a text's last token
                 row = [ids, counts, learn, *(x.tolist() for x in sums), cls[local].astype("<u2").tobytes(), end]
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     names = ["ids", "counts", "learn", "known", "base", "inner", "classes", "end"]
-    data = blocks.drop("seen").join(known, "block", "left").mapInArrow(coded, "ids array<long>, counts array<long>, learn array<boolean>, known array<long>, base array<double>, inner array<double>, classes binary, end int")
+    data = blocks.drop("seen", "vocab").join(known, "block", "left").mapInArrow(coded, "ids array<long>, counts array<long>, learn array<boolean>, known array<long>, base array<double>, inner array<double>, classes binary, end int")
     data = T.stash(data)
 
     flat = LogBilinear.fresh(shape.value.share).flat

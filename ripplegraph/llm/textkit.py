@@ -171,7 +171,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(doc, np.arange(len(words.count) + 1)), found
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split batches so that each holds a few MB of text, or one longer text."""
     for b in batches:
         if not b.num_rows:
@@ -179,7 +179,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         _, off = arrow_bytes(b.column(b.schema.get_field_index(column)))
         at = 0
         while at < b.num_rows:
-            upto = max(at + 1, int(np.searchsorted(off, off[at] + PIECE_BYTES)) - 1)
+            upto = max(at + 1, int(np.searchsorted(off, off[at] + size)) - 1)
             upto = min(upto, b.num_rows)
             yield b.slice(at, upto - at)
             at = upto
