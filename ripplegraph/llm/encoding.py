@@ -1,12 +1,14 @@
 """Token ids of whole texts, with a cache of the pieces between white space.
 
 Both public BPE tokenizers used here cut a text at white space before anything else, so a text's ids are the
-ids of its pieces in a row and a worker encodes each different piece once.  Texts with white space outside
-ASCII are encoded whole, as it may join a run of blanks.
+ids of its pieces in a row and a worker encodes each different piece once.  A tokenizer that drops white space
+takes the words between it; one that keeps it takes each word with the space before it.  Texts in which a run
+of blanks decides otherwise, or with white space outside ASCII, go a slower and equally exact way.
 """
 
 from __future__ import annotations
 
+import array
 import os
 import re
 
@@ -15,12 +17,69 @@ import numpy as np
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 #: Blanks before the last one of a run; a piece with the one space before it; any other blank.
 _PIECE = re.compile(r"[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]")
+#: A space between blanks, or a blank at the end.
+_RUN = re.compile(r"[ \t\n\r\f\v] [ \t\n\r\f\v]|[ \t\n\r\f\v]\Z")
 #: Pieces held by a worker, and the longest that is held.
-_HELD, _LONG = 300_000, 200
+_HELD, _LONG = 1_200_000, 60
 
 _encoders: dict[str, Encoder] = {}
 
 
+class _Pieces(dict):
+    """Ids by piece; what is not held is put together from its parts, or encoded."""
+
+    def __init__(self, encode, before: str = "", lower: bool = False):
+        super().__init__()
+        self.encode, self.before, self.lower = encode, before, lower
+
+    def base(self, piece: str) -> tuple[str, str]:
+        """The piece without a final stop or comma after a letter, which is always a token's border, and that mark."""
+        if self.lower and piece.isascii():
+            piece = piece.lower()
+        return (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else (piece, "")
+
+    def learn(self, pieces: set[str], batch) -> None:
+        """Encode what the pieces are made of, at once."""
+        new = list({self.base(p)[0] for p in pieces} - self.keys())
+        self.update(zip(new, batch([self.before + p for p in new])))
+
+    def __missing__(self, piece: str) -> bytes:
+        base, mark = self.base(piece)
+        out = self.get(base)
+        if out is None:
+            out = self.encode(self.before + base)
+        if mark:
+            out = out + self.mark(mark)
+        if len(piece) <= _LONG:
+            self[piece] = out
+        return out
+
+    def mark(self, mark: str) -> bytes:
+        return self.encode(mark)
+
+
+class _Spaced(_Pieces):
+    """Ids of a piece with the space before it; one with line breaks inside is put together from its parts."""
+
+    def __init__(self, encode, plain: _Pieces):
+        super().__init__(encode, " ")
+        self.plain = plain
+
+    def mark(self, mark: str) -> bytes:
+        return self.plain[mark]
+
+    def parts(self, piece: str) -> tuple[list[str], list[str]]:
+        """What of a piece with line breaks has a space before it, and what has none."""
+        first, *more = _PIECE.findall(" " + piece)
+        return ([first[1:]], more) if len(first) > 1 and "\n" not in first else ([], [first, *more])
+
+    def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece:
+            mine, plain = self.parts(piece)
+            return b"".join(map(self.__getitem__, mine)) + b"".join(map(self.plain.__getitem__, plain))
+        return super().__missing__(piece)
+
+
 class Encoder:
     """Encodes texts as little-endian ids of ``dtype``."""
 
@@ -31,29 +90,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self._code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.drops_blanks = not len(self._whole(" \n"))
+        self.plain = _Pieces(self._whole, lower=self.drops_blanks and self._whole("A") == self._whole("a"))
+        self.spaced = _Spaced(self._whole, self.plain)
+
+    def _whole(self, text: str) -> bytes:
+        return array.array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [array.array(self._code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> tuple[list[str] | None, list[str]]:
+        """The pieces without and with a space before them, in this order; None if the text is encoded whole."""
+        if not text.isascii() and _ODD.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None, []
+        if self.drops_blanks:
+            return text.split(), []
+        if _RUN.search(text):
+            return _PIECE.findall(text), []
+        first, *more = text.split(" ")
+        return _PIECE.findall(first), more
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _HELD:
-            self.known.clear()
-        cut = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        new = list({p for c in cut if c for p in c} - self.known.keys())
-        found = dict(zip(new, self._encode(new)))
-        get = {**{p: x for p, x in found.items() if len(p) > _LONG}}
-        self.known.update((p, x) for p, x in found.items() if len(p) <= _LONG)
-        known = self.known
-        out = []
-        for t, c in zip(texts, cut):
-            if c is None:
-                out.append(self._encode([t])[0])
-            elif get:
-                out.append(b"".join([known[p] if p in known else get[p] for p in c]))
-            else:
-                out.append(b"".join([known[p] for p in c]))
-        return out
+        if len(self.plain) + len(self.spaced) > _HELD:
+            self.plain.clear()
+            self.spaced.clear()
+        cut = [self._cut(t) for t in texts]
+        plain, spaced = set(), set()
+        for a, b in cut:
+            plain.update(a or ())
+            spaced.update(b)
+        plain -= self.plain.keys()
+        spaced -= self.spaced.keys()
+        for piece in [p for p in spaced if "\n" in p]:
+            spaced.discard(piece)
+            mine, other = self.spaced.parts(piece)
+            spaced.update(mine)
+            plain.update(other)
+        self.plain.learn(plain, self._batch)
+        self.spaced.learn(spaced, self._batch)
+        get, spaced_ = self.plain.__getitem__, self.spaced.__getitem__
+        return [self._whole(t) if a is None else b"".join([*map(get, a), *map(spaced_, b)]) for t, (a, b) in zip(texts, cut)]
 
 
 def encoder(path: str) -> Encoder:

@@ -62,5 +62,5 @@ def test_verdicts_match_brute_force(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("html", "page_id", "url", "'h' as host", "1 as rule", "2 as best")
     got = sorted(map(tuple, U.judge_urls(pages, url_rules(spark)).collect()), key=str)
     assert got == brute(PAGES, rules)
-    assert {r[0] for r in got if r[4] == "block" and r[3] is None} == {6}
+    assert all(r[4] == "allow" for r in got if r[0] in (7, 8))
     assert U.judge_urls(pages.limit(0), url_rules(spark)).collect() == []
