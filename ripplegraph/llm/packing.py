@@ -25,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import textkit as T
 from ripplegraph.llm.encoding import encoder
 
 #: Deals of a size class: one class may hold most rows.
-DEALS = 32
+DEALS = 16
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
@@ -56,21 +56,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFram
     return T.text_frame(docs).mapInArrow(run, "item long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def counted(df: DataFrame, size: str, key: Column) -> tuple[DataFrame, dict[int, int]]:
-    """``df`` with ``rank`` (from 0 within its size), and the rows of each size.
+def _bases(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
+    """From (size, deal, rows): the rank at which each deal of a size begins, and the rows of each size."""
+    bases, sizes = [], {}
+    for size, deal, n in sorted(counts):
+        bases.append((size, deal, sizes.get(size, 0)))
+        sizes[size] = sizes.get(size, 0) + n
+    return bases, sizes
 
-    Ranks are local to a hash deal of the size and moved on by the counts of the deals before it.
-    """
-    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(DEALS)).cast("int"))
-    counts = {}
-    bases = []
-    # at most DEALS rows a size, and sizes are bounded
-    for size_, deal, n in sorted(map(tuple, dealt.groupBy(size, "_deal").count().collect())):
-        bases.append((size_, deal, counts.get(size_, 0)))
-        counts[size_] = counts.get(size_, 0) + n
-    base = df.sparkSession.createDataFrame(bases, f"{size} long, _deal int, _base long")
-    local = F.row_number().over(Window.partitionBy(size, "_deal").orderBy(key)) - 1
-    return dealt.withColumn("_local", local).join(F.broadcast(base), [size, "_deal"]).withColumn("rank", F.col("_base") + F.col("_local")).drop("_deal", "_local", "_base"), counts
+
+def _ranked(dealt: DataFrame, size: str, keys: list[str], bases: list[tuple[int, int, int]]) -> DataFrame:
+    """Adds rank, from 0 within a size: local to a hash deal of the size, and moved on by the deals before it."""
+    base = F.broadcast(dealt.sparkSession.createDataFrame(bases, f"{size} long, _deal int, _base long"))  # DEALS rows a size
+    local = F.row_number().over(Window.partitionBy(size, "_deal").orderBy(*keys)) - 1
+    return dealt.withColumn("_local", local).join(base, [size, "_deal"]).withColumn("rank", F.col("_base") + F.col("_local")).drop("_deal", "_local", "_base")
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(DEALS)).cast("int"))
 
 
 def sweep(docs: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
@@ -102,52 +105,68 @@ def _bands(limit: int) -> list[tuple[int, int]]:
 def best_fit(items: DataFrame, limit: int) -> DataFrame:
     """item, sequence_id, offset for ``items`` (item, length from 1 to ``limit``)."""
     spark = items.sparkSession
-    done = items.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo = T.stash(items.where(F.col("length") < limit).select("item", "length"))
-    gaps = spark.createDataFrame([], "sequence_id long, gap long")
-    placed = [done]
+    gaps = T.stash(spark.createDataFrame([], "sequence_id long, gap long"))
+    placed = [items.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     for low, high in _bands(limit):
-        rest = todo.where((F.col("length") > low) & (F.col("length") <= high))
+        rest = _dealt(todo.where((F.col("length") > low) & (F.col("length") <= high)), "item")
         while True:
-            ranked, lengths = counted(rest, "length", F.col("item"))
+            open_ = _dealt(gaps.where(F.col("gap") > low), "sequence_id")
+            count = lambda df, size, kind: df.groupBy(F.col(size).alias("size"), "_deal").count().withColumn("kind", F.lit(kind))
+            # at most DEALS rows a size and kind
+            found = [(r["kind"], (r["size"], r["_deal"], r["count"])) for r in count(rest, "length", 0).union(count(open_, "gap", 1)).collect()]
+            bases, lengths = _bases([c for kind, c in found if kind == 0])
             if not lengths:
                 break
-            most, n = max(lengths), sum(lengths.values())
-            open_ = gaps.where(F.col("gap") >= min(lengths))
-            many = max(1, -(-2 * n // max(1, open_.count())))
-            slots = F.least(F.greatest(F.floor(F.col("gap") / most), F.lit(1)), F.lit(many))
+            least, most, n = min(lengths), max(lengths), sum(lengths.values())
+            fit = [c for kind, c in found if kind == 1 and c[0] >= least]
+            many = max(1, -(-2 * n // max(1, sum(c[2] for c in fit))))
+            ranked = _ranked(rest, "length", ["item"], bases)
             # all places of a gap but the last have the longest document's length
-            offers = open_.withColumn("slots", slots).select("sequence_id", "gap", "slots", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
-            offers = offers.select("sequence_id", "slot", F.when(F.col("slot") < F.col("slots"), F.lit(most)).otherwise(F.col("gap") - F.lit(most) * (F.col("slots") - 1)).cast("long").alias("size"))
-            offered, sizes = counted(offers, "size", F.struct("sequence_id", "slot"))
+            offers = []
+            for gap, deal, k in fit:
+                slots = min(max(gap // most, 1), many)
+                offers += [(most, deal, k * (slots - 1)), (gap - most * (slots - 1), deal, k)]
+            starts, sizes = _bases(_added(offers))
             runs = sweep(lengths, sizes)
-            if 50 * sum(z - a for _, a, z, _, _ in runs) < n:
+            matched = sum(z - a for _, a, z, _, _ in runs)
+            if 50 * matched < n:
                 # next to nothing fits: new sequences by volume, and one for each document over half of the limit
                 fresh = max(-(-sum(k * v for k, v in lengths.items()) // limit), sum(v for k, v in lengths.items() if 2 * k > limit))
                 new = T.stash(_opened(ranked, lengths, fresh, limit // most))
-                placed.append(new.select("item", "sequence_id", "offset"))
-                gaps = T.stash(gaps.union(new.groupBy("sequence_id").agg((F.lit(limit) - F.sum("length")).alias("gap")).where("gap > 0")))
-                if fresh * (limit // most) >= n:
-                    break
-                rest = T.stash(rest.join(new.select("item"), "item", "left_anti"))
-                continue
-            match = F.broadcast(spark.createDataFrame(runs, "length long, a long, z long, size long, g long"))
-            taken = ranked.join(match, "length").where("rank >= a and rank < z").select("item", "length", "size", (F.col("g") + F.col("rank") - F.col("a")).alias("rank"))
-            taken = T.stash(taken.join(offered, ["size", "rank"]).select("item", "length", "sequence_id", "slot"))
-            before = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            new = taken.withColumn("before", before).join(gaps, "sequence_id").select("item", "sequence_id", (F.lit(limit) - F.col("gap") + F.col("before")).alias("offset"))
-            placed.append(T.stash(new))
-            used = taken.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-            gaps = T.stash(gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
-            if sum(z - a for _, a, z, _, _ in runs) == n:
+                gaps = gaps.union(new.groupBy("sequence_id").agg((F.lit(limit) - F.sum("length")).alias("gap")))
+                matched = min(n, fresh * (limit // most))
+            else:
+                slots = F.least(F.greatest(F.floor(F.col("gap") / most), F.lit(1)), F.lit(many))
+                slot = open_.where(F.col("gap") >= least).withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
+                size = F.when(F.col("slot") < F.col("slots"), F.lit(most)).otherwise(F.col("gap") - F.lit(most) * (F.col("slots") - 1))
+                offered = _ranked(slot.select("sequence_id", "gap", "slot", "_deal", size.cast("long").alias("size")), "size", ["sequence_id", "slot"], starts)
+                match = F.broadcast(spark.createDataFrame(runs, "length long, a long, z long, size long, g long"))
+                taken = ranked.join(match, "length").where("rank >= a and rank < z").select("item", "length", "size", (F.col("g") + F.col("rank") - F.col("a")).alias("rank")).join(offered, ["size", "rank"])
+                before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+                new = T.stash(taken.select("item", "length", "sequence_id", (F.lit(limit) - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset")))
+                used = new.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+                gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+            placed.append(new.select("item", "sequence_id", "offset"))
+            gaps = T.stash(gaps.where("gap > 0"))
+            if matched == n:
                 break
-            rest = T.stash(rest.join(taken.select("item"), "item", "left_anti"))
+            rest = rest.join(new.select("item"), "item", "left_anti")
     out = placed[0]
     for p in placed[1:]:
         out = out.union(p)
     return out
 
 
+def _added(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Rows summed over equal (size, deal)."""
+    out: dict[tuple[int, int], int] = {}
+    for size, deal, n in counts:
+        if n:
+            out[size, deal] = out.get((size, deal), 0) + n
+    return [(size, deal, n) for (size, deal), n in out.items()]
+
+
 def _opened(ranked: DataFrame, lengths: dict[int, int], fresh: int, each: int) -> DataFrame:
     """Deal the longest ranked documents round into ``fresh`` new sequences, up to ``each`` a sequence."""
     bases, at = [], 0
