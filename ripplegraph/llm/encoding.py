@@ -20,7 +20,7 @@ _PIECE = re.compile(r"[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])| ?[^ \t\n\r\f\v]+|[ \t\n\
 #: A space between blanks, or a blank at the end.
 _RUN = re.compile(r"[ \t\n\r\f\v] [ \t\n\r\f\v]|[ \t\n\r\f\v]\Z")
 #: Pieces held by a worker, and the longest that is held.
-_HELD, _LONG = 1_200_000, 60
+_HELD, _LONG = 400_000, 60
 
 _encoders: dict[str, Encoder] = {}
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts of some KB make that a few MB.
 BATCH_ROWS = 1000
-#: Bytes hashed at once.
-PIECE_BYTES = 4 << 20
+#: Bytes of text taken at once, and of those hashed at once (each byte needs some 40 for a moment).
+PIECE_BYTES, HASH_BYTES = 2 << 20, 1 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -106,7 +106,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     size = end - start
     cut, done = np.cumsum(size), 0
     while done < len(start):
-        upto = max(done + 1, int(np.searchsorted(cut, (cut[done - 1] if done else 0) + PIECE_BYTES)))
+        upto = max(done + 1, int(np.searchsorted(cut, (cut[done - 1] if done else 0) + HASH_BYTES)))
         n = size[done:upto]
         head = np.zeros(len(n), np.int64)
         np.cumsum(n[:-1], out=head[1:])
