@@ -194,6 +194,7 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
 
     known = T.thin(text.mapInArrow(texts, "id binary, line string, counts binary"), wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     known = T.stash(known.join(first, "id"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (id, other), the ids that are within the distance of an other."""
         a = known.select("id", F.col("line").alias("a"))
