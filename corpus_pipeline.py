@@ -10,8 +10,10 @@ text as it then is.
 4. decontamination: documents that hold a benchmark item go;
 5. best-fit packing: a row per piece, with its sequence and place.
 
-A null doc_id is kept by the first four stages if its text is good: it joins nothing.  Rows that repeat a
-doc_id are one document: of a near-duplicate component all rows of the smallest doc_id stay.
+Rows with a null doc_id are judged one by one, by their text: none shares the verdict of another.  They come
+last in line dedup, and the near-duplicate join leaves them alone.  Rows that repeat a doc_id are judged one by
+one in stages 1 and 2, and are one document in 3 and 4: of a near-duplicate component all rows of the smallest
+doc_id stay, and all rows of a doc_id go if one holds an item.
 """
 
 from __future__ import annotations

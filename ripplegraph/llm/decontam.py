@@ -11,8 +11,8 @@ of placeholders with values at odds is not.
 
 Names are capitalised words inside a sentence; a sentence's first word is literal, as its capital says nothing.
 
-Edge cases: null or empty texts are clean; a null doc_id is reported as null; rows that repeat a doc_id are
-one document; null or empty items match nothing; an empty table gives an empty result; equal items are all
+Edge cases: null or empty texts are clean; a null doc_id is reported as null, once for each text that holds
+the item; rows that repeat a doc_id are one document, and rows without one are documents of their own; null or empty items match nothing; an empty table gives an empty result; equal items are all
 reported; other columns are not read.
 """
 
@@ -145,6 +145,11 @@ def matches(doc: str, item: str, window: int, cover: int, literal: int) -> tuple
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50, literal: int = 5) -> DataFrame:
     """doc_id, item_id, n_words (matched), start (first matched word), n_slots_changed: a row for each match."""
+    return _matched(docs, items, window, cover, literal).drop("null_hash")
+
+
+def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50, literal: int = 5) -> DataFrame:
+    """The columns of ``contaminated`` and null_hash, the hash of a text without doc_id."""
     spark = T.session(docs.sparkSession)
     items = T.stash(items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("item")))
 
@@ -171,27 +176,28 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, cover: int
                     at = np.minimum(np.searchsorted(known.value, key), len(known.value) - 1)
                     hit = known.value[at] == key
                     doc, key = doc[hit], key[hit]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(key)], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(key)], ["doc_id", "h", "key"])
 
-    text = T.text_frame(docs)
-    hits = text.mapInArrow(doc_rows, "doc_id long, key long").join(keys.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    text = T.text_frame(docs, T.text_hash().alias("h"))
+    hits = text.mapInArrow(doc_rows, "doc_id long, h long, key long").join(keys.select("key", "item_id"), "key").select("doc_id", "h", "item_id").distinct()
     hits = T.stash(hits.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))))
-    some = text.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(hits.drop("doc_id"), "d").join(items, "item_id").select("doc_id", "item_id", "text", "item")
+    some = text.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(hits.drop("doc_id"), ["d", "h"]).join(items, "item_id").select("doc_id", "h", "item_id", "text", "item")
 
     def verify(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             rows = []
-            for d, i, t, x in zip(*(c.to_pylist() for c in b.columns)):
+            for d, h, i, t, x in zip(*(c.to_pylist() for c in b.columns)):
                 found = matches(t, x, window, cover, literal)
                 if found:
-                    rows.append((d, i, found[0], found[1], found[3]))
+                    rows.append((d, None if d is not None else h, i, found[0], found[1], found[3]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "n_words", "start", "n_slots_changed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "null_hash", "item_id", "n_words", "start", "n_slots_changed"])
 
-    return some.mapInArrow(verify, "doc_id long, item_id long, n_words long, start long, n_slots_changed long").dropDuplicates(["doc_id", "item_id"])
+    return some.mapInArrow(verify, "doc_id long, null_hash long, item_id long, n_words long, start long, n_slots_changed long").dropDuplicates(["doc_id", "null_hash", "item_id"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    dirty = contaminated(docs, items, **how).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_anti")
+    dirty = _matched(docs, items, **how).select(F.col("doc_id").alias("_d"), F.col("null_hash").alias("_h")).distinct()
+    own = F.when(F.col("doc_id").isNull(), T.text_hash())
+    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & own.eqNullSafe(F.col("_h")), "left_anti")

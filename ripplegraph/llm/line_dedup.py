@@ -5,7 +5,7 @@ earlier-or-shorter line at a nearby place in the other, so each line is indexed
 segment) and probes the substrings of itself that can match a segment of a line as long as itself or up to
 ``distance`` shorter.  Lines that meet are verified with a banded bit-parallel edit distance.
 
-Rule: lines are ordered by (doc_id, line number).  A line of at least ``min_chars`` characters is dropped if
+Rule: lines are ordered by (doc_id, hash of the text, line number).  A line of at least ``min_chars`` characters is dropped if
 an equal line or a line within ``distance`` edits stands earlier.  Shorter lines always stay.
 
 Only keys that two different lines hold travel on.  Of those, each line is first held against the earliest
@@ -13,9 +13,9 @@ line of the key, which settles nearly all lines of a large family; what is left
 the key block by block (blocks of bounded size, dealt by a hash), where character counts pick the pairs that
 are verified.
 
-Edge cases: null or empty texts have one empty line and stay; a null doc_id comes after all others; rows that
-repeat a doc_id get the same verdict, and equal lines of them count once; an empty table gives an empty
-result; other columns are carried along unread.
+Edge cases: null or empty texts have one empty line and stay; null doc_ids come after all others; rows that
+share a doc_id, or have none, are documents of their own if their texts differ, and one document if they are
+equal; an empty table gives an empty result; other columns are carried along unread.
 """
 
 from __future__ import annotations
@@ -124,19 +124,19 @@ def _counts(line: str) -> bytes:
 def _close(mine: list[dict], others: list[dict], distance: int) -> list[tuple[bytes, bytes]]:
     """(id, other) where other is earlier, one of them is indexed under the key, and the letter counts allow the distance."""
     x, y = (np.frombuffer(b"".join(m["counts"] for m in side), np.uint16).reshape(-1, 32).astype(np.int32) for side in (mine, others))
-    at = [(m["d"], m["n"]) for m in others]
+    at = [(m["d"], m["h"], m["n"]) for m in others]
     out = []
     for m, c in zip(mine, x):
         for j in np.flatnonzero(np.abs(y - c).sum(1) <= 2 * distance):
-            if at[j] < (m["d"], m["n"]) and (m["role"] == 3 or others[j]["role"] == 3):
+            if at[j] < (m["d"], m["h"], m["n"]) and (m["role"] == 3 or others[j]["role"] == 3):
                 out.append((m["id"], others[j]["id"]))
     return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
     for b in T.pieces(batches):
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield LAST if d is None else d, t.split("\n")
+        for d, t, h in zip(*(c.to_pylist() for c in b.columns)):
+            yield LAST if d is None else d, h, t.split("\n")
 
 
 def _flush(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -155,20 +155,25 @@ def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
-    """Lines to drop: doc_id (null as LAST) and line_no from 0."""
+    """Lines to drop: doc_id (null as LAST) and line_no from 0; ``row_drops`` tells rows of one doc_id apart."""
+    return row_drops(docs, distance, min_chars).select("doc_id", "line_no")
+
+
+def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+    """Lines to drop: doc_id (null as LAST), text_hash of the whole text, and line_no from 0."""
     T.session(docs.sparkSession)
     min_chars = max(min_chars, distance + 1)
-    text = T.text_frame(docs)
+    text = T.text_frame(docs, T.text_hash().alias("h"))
 
     def occurrences(batches):
-        schema = pa.schema([("id", pa.binary()), ("d", pa.int64()), ("n", pa.int32())])
-        yield from _emit(((_line_id(x), d, i) for d, lines in _rows(batches) for i, x in enumerate(lines) if len(x) >= min_chars), schema)
+        schema = pa.schema([("id", pa.binary()), ("d", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
+        yield from _emit(((_line_id(x), d, h, i) for d, h, lines in _rows(batches) for i, x in enumerate(lines) if len(x) >= min_chars), schema)
 
     def keyed(batches):
         schema = pa.schema([("key", pa.int64()), ("id", pa.binary()), ("role", pa.int8())])
 
         def rows():
-            for _, lines in _rows(batches):
+            for _, _, lines in _rows(batches):
                 for x in lines:
                     if len(x) < min_chars:
                         continue
@@ -180,8 +185,8 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
 
         yield from _emit(rows(), schema)
 
-    lines = T.stash(text.mapInArrow(occurrences, "id binary, d long, n int").groupBy("id", "d", "n").agg(F.lit(1).alias("one")).select("id", "d", "n"))
-    first = lines.groupBy("id").agg(F.min(F.struct("d", "n")).alias("first"))
+    lines = T.stash(text.mapInArrow(occurrences, "id binary, d long, h long, n int").groupBy("id", "d", "h", "n").agg(F.lit(1).alias("one")).select("id", "d", "h", "n"))
+    first = lines.groupBy("id").agg(F.min(F.struct("d", "h", "n")).alias("first"))
     posting = text.mapInArrow(keyed, "key long, id binary, role tinyint").repartition("key").groupBy("key", "id").agg(F.max("role").alias("role"))
     over = Window.partitionBy("key")
     posting = T.stash(posting.withColumn("m", F.count("*").over(over)).withColumn("r", F.max("role").over(over)).where("m > 1 and r = 3").drop("r"))
@@ -190,7 +195,7 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
 
     def texts(batches):
         schema = pa.schema([("id", pa.binary()), ("line", pa.string()), ("counts", pa.binary())])
-        yield from _emit(((_line_id(x), x, _counts(x)) for _, ls in _rows(batches) for x in ls if len(x) >= min_chars), schema)
+        yield from _emit(((_line_id(x), x, _counts(x)) for _, _, ls in _rows(batches) for x in ls if len(x) >= min_chars), schema)
 
     known = T.thin(text.mapInArrow(texts, "id binary, line string, counts binary"), wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     known = T.stash(known.join(first, "id"))
@@ -216,7 +221,7 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     # 2: what is left, against every line of the key, block by block on letter counts
     def dealt(df, name):
         deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))
-        return df.groupBy("key", deal.alias("deal")).agg(F.collect_list(F.struct("id", F.col("first.d").alias("d"), F.col("first.n").alias("n"), "role", "counts")).alias(name)).drop("deal")
+        return df.groupBy("key", deal.alias("deal")).agg(F.collect_list(F.struct("id", F.col("first.d").alias("d"), F.col("first.h").alias("h"), F.col("first.n").alias("n"), "role", "counts")).alias(name)).drop("deal")
 
     left = posting.join(heads, "key").where("first > since").join(settled, "id", "left_anti")
 
@@ -231,7 +236,7 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     late = settled.union(verified(rest)).distinct()
 
     out = lines.join(first, "id").join(late.withColumn("late", F.lit(True)), "id", "left")
-    return out.where("late or d <> first.d or n <> first.n").select(F.col("d").alias("doc_id"), F.col("n").alias("line_no"))
+    return out.where("late or d <> first.d or h <> first.h or n <> first.n").select(F.col("d").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("line_no"))
 
 
 def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
@@ -239,9 +244,9 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
 
     A document all of whose lines go has an empty text.
     """
-    gone = drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list("line_no").alias("_gone"))
+    gone = row_drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list("line_no").alias("_gone"))
     gone = T.stash(gone)
-    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", T.text_hash())
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.element_at(lines, i + 1))
     count = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
@@ -249,8 +254,8 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
     def counted(df):
         return df.withColumn("n_lines", F.coalesce(count, F.lit(1)).cast("long"))
 
-    cut = counted(T.thin(rows, gone, "_d").join(gone, "_d", "left")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    cut = cut.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("_gone", "_d")
+    cut = counted(T.thin(rows, gone, "_h").join(gone, ["_d", "_h"], "left")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    cut = cut.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("_gone", "_d", "_h")
     # documents that lose nothing are not shuffled
-    same = counted(T.rest(rows, gone, "_d")).withColumn("n_dropped", F.lit(0).cast("long")).drop("_d")
+    same = counted(T.rest(rows, gone, "_h")).withColumn("n_dropped", F.lit(0).cast("long")).drop("_d", "_h")
     return same.unionByName(cut)

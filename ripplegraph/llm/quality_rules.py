@@ -78,14 +78,14 @@ def counts(col: pa.Array) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the COUNTS of every row."""
+    """doc_id, lang, the hash of the text and the COUNTS of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in T.pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x.astype(np.int64)) for x in counts(b.column(1)))], ["doc_id", "lang", *COUNTS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(x.astype(np.int64)) for x in counts(b.column(1)))], ["doc_id", "lang", "h", *COUNTS])
 
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return T.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).mapInArrow(run, f"doc_id long, lang string, {kinds}")
+    return T.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), T.text_hash().alias("h")).mapInArrow(run, f"doc_id long, lang string, h long, {kinds}")
 
 
 def chance(rejected: int, good: int, risk: float) -> float:
@@ -132,6 +132,11 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """doc_id, the COUNTS, base_failed and kept of every row of ``docs`` (doc_id, text, lang)."""
+    return _judged(docs, labels, risk, doubt).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
+    """The columns of ``quality_rules``, lang, and h, the hash of the text."""
     T.session(docs.sparkSession)
     rows = T.stash(measured(docs))
     cuts = T.stash(cutoffs(rows, labels, risk, doubt))
@@ -143,10 +148,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt:
         over = over | F.coalesce(F.expr(f"coalesce({e}, 0D)") > cut, F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.join(own, "lang", "left")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).select("doc_id", *COUNTS, "base_failed", "kept")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).select("doc_id", "lang", "h", *COUNTS, "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; of rows that repeat a doc_id all stay if one does."""
-    kept = quality_rules(docs, labels, risk, doubt).where("kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    """The rows of ``docs`` that the rules keep, each by its own text and language."""
+    kept = _judged(docs, labels, risk, doubt).where("kept").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("h").alias("_h")).distinct()
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (T.text_hash() == F.col("_h")) & (lang == F.col("_l")), "left_semi")

@@ -49,3 +49,11 @@ def test_matches_brute_force(spark):
     kept = {x.doc_id for x in D.decontaminate(d, b).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in by}
     assert D.contaminated(d.limit(0), b).collect() == [] and D.contaminated(d, b.limit(0)).collect() == []
+
+
+def test_a_dirty_row_without_doc_id_takes_no_clean_one_along(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"so {item} then"), (None, "quite another text"), (None, None), (5, "clean"), (None, f"and {item}")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, (r.text for r in D.decontaminate(docs, items).collect()))) == ["None", "clean", "quite another text"]
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()] == [(None, 1)] * 2

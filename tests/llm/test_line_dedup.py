@@ -65,3 +65,14 @@ def test_empty_table_and_repeats(spark):
     docs = spark.createDataFrame([(1, x), (1, x), (2, x + "!"), (3, "y" * 50_000), (4, "y" * 49_999 + "x")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in L.line_dedup(docs).collect()) == [(1, x), (1, x), (2, ""), (3, "y" * 50_000), (4, "")]
     assert L.line_dedup(docs.limit(0)).collect() == []
+
+
+def test_rows_without_or_with_a_shared_doc_id_have_their_own_verdicts(spark):
+    a, b, c, d = (f"line {x * 30} of a document" for x in "abcd")
+    rows = [(1, a), (None, f"{a}\n{b}"), (None, c), (None, None), (7, f"{a}\n{d}"), (7, f"short\n{'e' * 40}\n{'f' * 40}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_dropped) for r in L.line_dedup(docs).collect()), key=str)
+    assert got == sorted([(1, a, 0), (None, b, 1), (None, c, 0), (None, None, 0), (7, d, 1), (7, rows[5][1], 0)], key=str)
+    # the same first line in two documents without doc_id stays in one of them
+    twice = spark.createDataFrame([(None, f"{a}\n{b}"), (None, f"{a}\n{c}")], "doc_id long, text string")
+    assert sum((r.text or "").count(a) for r in L.line_dedup(twice).collect()) == 1

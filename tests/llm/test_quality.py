@@ -76,3 +76,11 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got)
     assert {x.score for x in C.classify(d, lab.limit(0)).collect()} == {0.5}
     assert C.classify(d.limit(0), lab).collect() == []
+
+
+def test_a_good_row_keeps_no_bad_row_of_its_doc_id(spark):
+    good = " ".join(f"wo{chr(97 + i % 26)}{i}" for i in range(80))
+    rows = [(None, good, "en"), (None, "too short", "en"), (None, None, None), (4, good + " end", "en"), (4, "short", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted(r.text for r in Q.filter_documents(docs, none).collect()) == [good, good + " end"]
