@@ -3,15 +3,19 @@
 Base rules have fixed limits.  The others reject a document when one of its measures exceeds a cutoff, and
 the cutoffs are chosen per stratum (language) from labelled documents so that few good ones are lost:
 
-1. labelled documents are dealt in two halves by a hash of doc_id;
-2. the first half's good documents give candidate cutoffs, one set per level (quantiles of each measure);
-3. on the other half, each level's false rejections are tested: the level is certified if the exact binomial
+1. labelled documents that pass the base rules are dealt in two by a hash of doc_id, a quarter of them to fit and
+   the rest to test, as a certificate takes more labels than a cutoff does;
+2. the first part's good documents give candidate cutoffs, one set per level (quantiles of each measure, and
+   beyond the largest value by a part of its distance from the median, and then not below the largest value
+   over all strata, as a small stratum has seen little);
+3. on the other part, each level's false rejections are tested: the level is certified if the exact binomial
    probability of so few of them, at a true rate of ``risk``, is at most ``doubt`` divided by the number of
-   tests over all strata and levels (Bonferroni).  This is the Clopper-Pearson upper bound at that level;
+   strata (Bonferroni).  This is the Clopper-Pearson upper bound at that level.  A level rejects all that a
+   looser one rejects, so within a stratum the tests are a fixed sequence from the loosest to the first that
+   fails, which needs no further correction;
 4. of the certified levels, the loosest that rejects nearly as many bad ones as the best is used.
 
-A stratum without a certified level takes the one of all strata together, which is tested like a stratum of
-its own; if there is none, only the base rules reject.
+In a stratum without a certified level of its own only the base rules reject.
 
 Edge cases: null or empty texts have no words and fail the base rules; a null language is a stratum; rows
 without a label or doc_id take no part in the choice, and of repeated labels the lowest counts; rows that
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm import textkit as T
 
-#: Quantiles of good documents that become cutoffs, strictest first.
-LEVELS = (0.98, 0.99, 0.995, 0.998, 1.0)
+#: Quantiles of good documents that become cutoffs, and what is added in distances from median to maximum; strictest first.
+LEVELS = ((0.98, 0.0), (0.99, 0.0), (0.995, 0.0), (0.998, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 1.0))
+#: The base rules.
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_twins")
 #: Measures with a cutoff; high is bad.
 MEASURES = {
@@ -102,19 +108,25 @@ def _measures() -> list[Column]:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
-    """stratum (null: all), and the cutoff of each measure, of each stratum with a certified level."""
+    """stratum, and the cutoff of each measure, of each stratum with a certified level."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    known = rows.where("n_words > 0").join(labels, "doc_id").select("doc_id", "lang", "good", *_measures())
-    both = known.withColumn("stratum", F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))))
-    known = T.stash(both.withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
-    fitted = known.where("fit and good").groupBy("stratum").agg(*(F.percentile_approx(m, list(LEVELS), 10_000).alias(m) for m in MEASURES))
+    known = rows.where(f"not ({BASE_FAILED})").join(labels, "doc_id").select("doc_id", F.col("lang").alias("stratum"), "good", *_measures())
+    known = T.stash(known.withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))
+    fitted = known.where("fit and good").groupBy("stratum").agg(*(F.percentile_approx(m, [q for q, _ in LEVELS] + [0.5], 10_000).alias(m) for m in MEASURES))
+    most = known.where("fit and good").agg(*(F.max(m).alias(m) for m in MEASURES)).first()  # one row
+    more = F.array(*(F.lit(x) for _, x in LEVELS))
     level = F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS) - 1))).alias("level")
-    fitted = fitted.select("stratum", level, *MEASURES).select("stratum", "level", *(F.col(m)[F.col("level")].alias(f"max_{m}") for m in MEASURES))
+
+    def cut(m):
+        own = F.col(m)[F.col("level")] + more[F.col("level")] * (F.col(m)[len(LEVELS) - 1] - F.col(m)[len(LEVELS)])
+        return F.when(more[F.col("level")] > 0, F.greatest(own, F.lit(most[m]).cast("double"))).otherwise(own).alias(f"max_{m}")
+
+    fitted = fitted.select("stratum", level, *MEASURES).select("stratum", "level", *(cut(m) for m in MEASURES))
     fitted = T.stash(fitted)
     over = F.lit(False)
     for m in MEASURES:
         over = over | (F.col(m) > F.col(f"max_{m}"))
-    held = known.where("not fit").join(fitted.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s"))).drop("s")
+    held = known.where("not fit").join(fitted, "stratum")
     tested = held.groupBy("stratum", "level").agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & over).alias("lost"), F.count_if(~F.col("good") & over).alias("caught"))
 
     def certify(frames):
@@ -123,11 +135,10 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
             yield f
 
     tested = T.stash(tested.mapInPandas(certify, tested.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",p:double"))
-    sure = tested.where(F.col("p") * F.lit(tested.count()) <= doubt)
+    sure = tested.where(F.col("p") * F.lit(tested.select("stratum").distinct().count()) <= doubt)
     best = F.max("caught").over(Window.partitionBy("stratum"))
     sure = sure.withColumn("best", best).where("caught >= 0.98 * best").groupBy("stratum").agg(F.max("level").alias("level"))
-    s = sure.select(F.col("stratum").alias("s"), F.col("level").alias("l"))
-    return s.join(fitted, F.col("s").eqNullSafe(F.col("stratum")) & (F.col("l") == F.col("level"))).drop("s", "l", "level")
+    return sure.join(fitted, ["stratum", "level"]).drop("level")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
@@ -140,15 +151,12 @@ def _judged(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
     T.session(docs.sparkSession)
     rows = T.stash(measured(docs))
     cuts = T.stash(cutoffs(rows, labels, risk, doubt))
-    own = cuts.where("stratum is not null").withColumnRenamed("stratum", "lang").withColumn("_own", F.lit(True))
-    rest = cuts.where("stratum is null").first()  # one row at most
+    own = cuts.withColumnRenamed("stratum", "lang")
     over = F.lit(False)
     for m, e in MEASURES.items():
-        cut = F.when(F.col("_own"), F.col(f"max_{m}")).otherwise(F.lit(rest[f"max_{m}"] if rest else None).cast("double"))
-        over = over | F.coalesce(F.expr(f"coalesce({e}, 0D)") > cut, F.lit(False))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+        over = over | F.coalesce(F.expr(f"coalesce({e}, 0D)") > F.col(f"max_{m}"), F.lit(False))
     out = rows.join(own, "lang", "left")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~over).select("doc_id", "lang", "h", *COUNTS, "base_failed", "kept")
+    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~over).select("doc_id", "lang", "h", *COUNTS, "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:

@@ -84,3 +84,14 @@ def test_a_good_row_keeps_no_bad_row_of_its_doc_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(r.text for r in Q.filter_documents(docs, none).collect()) == [good, good + " end"]
+
+
+def test_a_language_without_its_own_certificate_has_base_rules_alone(spark):
+    r = random.Random(4)
+    say = lambda mark: " ".join(f"wo{r.randrange(400)}{mark}" for _ in range(60))
+    rows = [(i, say("" if i % 5 else "##"), "en") for i in range(2000)] + [(3000 + i, say("#" if i > 9 else ""), "de") for i in range(40)] + [(4000, say("#"), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(x == "de" or i % 5 > 0), 0) for i, _, x in rows if i < 3010], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id: x.kept for x in Q.quality_rules(docs, labels).collect()}
+    assert all(kept[i] for i, _, x in rows if x != "en")
+    assert not any(kept[i] for i in range(0, 2000, 5)) and sum(not kept[i] for i in range(2000) if i % 5) < 0.02 * 1600
