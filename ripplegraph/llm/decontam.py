@@ -198,6 +198,6 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    dirty = _matched(docs, items, **how).select(F.col("doc_id").alias("_d"), F.col("null_hash").alias("_h")).distinct()
+    dirty = T.stash(_matched(docs, items, **how).select(F.col("doc_id").alias("_d"), F.col("null_hash").alias("_h")).distinct())
     own = F.when(F.col("doc_id").isNull(), T.text_hash())
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & own.eqNullSafe(F.col("_h")), "left_anti")
+    return T.without(docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", own), dirty, "_d", "_h").drop("_d", "_h")

@@ -1,137 +1,181 @@
 """Token ids of whole texts, with a cache of the pieces between white space.
 
-Both public BPE tokenizers used here cut a text at white space before anything else, so a text's ids are the
-ids of its pieces in a row and a worker encodes each different piece once.  A tokenizer that drops white space
-takes the words between it; one that keeps it takes each word with the space before it.  Texts in which a run
-of blanks decides otherwise, or with white space outside ASCII, go a slower and equally exact way.
+Both public BPE tokenizers used here cut a text at white space before anything else, so a text's ids are the ids of
+its pieces in a row.  A piece is a word with the blank before it, or a run of further blanks.  An Arrow batch's
+different pieces are found in one dictionary encoding, new ones are encoded once per worker, and the ids of all texts
+are gathered by index.  A text that holds white space outside ASCII, a separator control character or an added
+token's string is one piece and goes to the library whole.
 """
 
 from __future__ import annotations
 
-import array
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-#: Blanks before the last one of a run; a piece with the one space before it; any other blank.
-_PIECE = re.compile(r"[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]")
-#: A space between blanks, or a blank at the end.
-_RUN = re.compile(r"[ \t\n\r\f\v] [ \t\n\r\f\v]|[ \t\n\r\f\v]\Z")
+from ripplegraph.llm import textkit as T
+
+_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: A blank, letters that no normal form changes, and a mark after them: the parts are always tokens' borders.
+_SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
 #: Pieces held by a worker, and the longest that is held.
 _HELD, _LONG = 400_000, 60
+#: Words that are encoded as one text.
+_JOINED = 2000
 
 _encoders: dict[str, Encoder] = {}
 
 
-class _Pieces(dict):
-    """Ids by piece; what is not held is put together from its parts, or encoded."""
-
-    def __init__(self, encode, before: str = "", lower: bool = False):
-        super().__init__()
-        self.encode, self.before, self.lower = encode, before, lower
-
-    def base(self, piece: str) -> tuple[str, str]:
-        """The piece without a final stop or comma after a letter, which is always a token's border, and that mark."""
-        if self.lower and piece.isascii():
-            piece = piece.lower()
-        return (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() else (piece, "")
-
-    def learn(self, pieces: set[str], batch) -> None:
-        """Encode what the pieces are made of, at once."""
-        new = list({self.base(p)[0] for p in pieces} - self.keys())
-        self.update(zip(new, batch([self.before + p for p in new])))
-
-    def __missing__(self, piece: str) -> bytes:
-        base, mark = self.base(piece)
-        out = self.get(base)
-        if out is None:
-            out = self.encode(self.before + base)
-        if mark:
-            out = out + self.mark(mark)
-        if len(piece) <= _LONG:
-            self[piece] = out
-        return out
-
-    def mark(self, mark: str) -> bytes:
-        return self.encode(mark)
-
-
-class _Spaced(_Pieces):
-    """Ids of a piece with the space before it; one with line breaks inside is put together from its parts."""
-
-    def __init__(self, encode, plain: _Pieces):
-        super().__init__(encode, " ")
-        self.plain = plain
-
-    def mark(self, mark: str) -> bytes:
-        return self.plain[mark]
-
-    def parts(self, piece: str) -> tuple[list[str], list[str]]:
-        """What of a piece with line breaks has a space before it, and what has none."""
-        first, *more = _PIECE.findall(" " + piece)
-        return ([first[1:]], more) if len(first) > 1 and "\n" not in first else ([], [first, *more])
-
-    def __missing__(self, piece: str) -> bytes:
-        if "\n" in piece:
-            mine, plain = self.parts(piece)
-            return b"".join(map(self.__getitem__, mine)) + b"".join(map(self.plain.__getitem__, plain))
-        return super().__missing__(piece)
-
-
 class Encoder:
-    """Encodes texts as little-endian ids of ``dtype``."""
+    """Encodes columns of texts as ids of ``dtype``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.drops_blanks = not len(self._whole(" \n"))
-        self.plain = _Pieces(self._whole, lower=self.drops_blanks and self._whole("A") == self._whole("a"))
-        self.spaced = _Spaced(self._whole, self.plain)
-
-    def _whole(self, text: str) -> bytes:
-        return array.array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [array.array(self._code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, text: str) -> tuple[list[str] | None, list[str]]:
-        """The pieces without and with a space before them, in this order; None if the text is encoded whole."""
-        if not text.isascii() and _ODD.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None, []
-        if self.drops_blanks:
-            return text.split(), []
-        if _RUN.search(text):
-            return _PIECE.findall(text), []
-        first, *more = text.split(" ")
-        return _PIECE.findall(first), more
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.plain) + len(self.spaced) > _HELD:
-            self.plain.clear()
-            self.spaced.clear()
-        cut = [self._cut(t) for t in texts]
-        plain, spaced = set(), set()
-        for a, b in cut:
-            plain.update(a or ())
-            spaced.update(b)
-        plain -= self.plain.keys()
-        spaced -= self.spaced.keys()
-        for piece in [p for p in spaced if "\n" in p]:
-            spaced.discard(piece)
-            mine, other = self.spaced.parts(piece)
-            spaced.update(mine)
-            plain.update(other)
-        self.plain.learn(plain, self._batch)
-        self.spaced.learn(spaced, self._batch)
-        get, spaced_ = self.plain.__getitem__, self.spaced.__getitem__
-        return [self._whole(t) if a is None else b"".join([*map(get, a), *map(spaced_, b)]) for t, (a, b) in zip(texts, cut)]
+        self.folds = self.drops_blanks and self._whole("A") == self._whole("a")
+        # tokens at which a word begins (byte level: with its blank) or ends
+        self.border = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.border[i] = token.endswith("</w>") if self.drops_blanks else token.startswith("Ġ")
+        self.breaks = self._whole("\n")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.start, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self._hold([np.zeros(0, self.dtype)])  # number 0: no ids
+
+    def _hold(self, ids: list[np.ndarray]) -> range:
+        """Numbers of new id sequences."""
+        n, size = self.used, np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
+        top = int(self.start[n - 1] + self.size[n - 1]) if n else 0
+        while len(self.start) < n + len(ids):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while len(self.pool) < top + len(flat):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[top : top + len(flat)] = flat
+        self.size[n : n + len(ids)] = size
+        self.start[n : n + len(ids)] = top + np.cumsum(size) - size
+        self.used = n + len(ids)
+        return range(n, self.used)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._batch([text])[0], np.dtype("<u4"))
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], spaced: bool) -> list[np.ndarray]:
+        """The ids of words of letters, with a space before each or without; many are encoded as one text."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), _JOINED):
+            part = words[i : i + _JOINED]
+            if self.drops_blanks:
+                ids = np.array(self._batch([" ".join(part)])[0], self.dtype)
+                cut = np.flatnonzero(self.border[ids])[:-1] + 1
+                found = np.split(ids, cut)
+            elif spaced:
+                ids = np.array(self._batch([" " + " ".join(part)])[0], self.dtype)
+                found = np.split(ids, np.flatnonzero(self.border[ids])[1:])
+            else:
+                ids = np.array(self._batch(["\n".join(part)])[0], self.dtype)
+                cut = np.flatnonzero(ids == self.breaks[0])
+                found = [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]
+            if len(found) != len(part):  # a word that is not one run of letters to this tokenizer
+                found = [np.array(x, self.dtype) for x in self._batch([" " + w if spaced and not self.drops_blanks else w for w in part])]
+            out += found
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces and hold them."""
+        bases: tuple[dict[str, None], dict[str, None]] = {}, {}  # bare, spaced
+        simple, other = [], []
+        for p in pieces:
+            m = _SIMPLE.fullmatch(p)
+            if not m:
+                other.append(p)
+                continue
+            blank, word, mark = m.groups()
+            if self.folds and word.isascii():
+                word = word.lower()
+            spaced = not self.drops_blanks and blank == " "
+            simple.append((p, blank, word, mark, spaced))
+            bases[spaced][word] = None
+        ids = [dict(zip(b, self._words(list(b), bool(k)))) for k, b in enumerate(bases)]
+        ends = {c: self._whole(c).astype(self.dtype) for c in ".,!?;:"}
+        lead = np.zeros(0, self.dtype) if self.drops_blanks else self.breaks.astype(self.dtype)
+        found = []
+        for _, blank, word, mark, spaced in simple:
+            x = ids[spaced][word]
+            if mark:
+                x = np.concatenate([x, ends[mark]])
+            found.append(np.concatenate([lead, x]) if blank == "\n" else x)
+        found += [np.array(x, self.dtype) for x in self._batch(other)]
+        self.known.update(zip([s[0] for s in simple] + other, self._hold(found)))
+
+    def _cuts(self, col: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, at the first blank of a run, and at the last one if a word follows."""
+        if not len(data):
+            return np.zeros(0, np.int64)
+        blank = T._SPACE[data]
+        begin = np.zeros(len(data), bool)
+        begin[1:] = (blank[1:] & ~blank[:-1]) | (blank[1:] & np.append(~blank[2:], True))
+        first = off[:-1][off[1:] > off[:-1]]
+        begin[first] = True
+        # a blank that ends a text has no word after it
+        last = off[1:][off[1:] > off[:-1]] - 1
+        tail = last[blank[last] & (last > 0)]
+        begin[tail] = ~blank[tail - 1] | np.isin(tail, first)
+        begin[first] = True
+        odd = np.zeros(len(off) - 1, bool)
+        for token in self.added:
+            odd |= np.array(pc.match_substring(col, token))
+        total = np.concatenate([[0], np.cumsum((data >= 0x80) | ((data >= 0x1C) & (data <= 0x1F)))])
+        for i in np.flatnonzero(total[off[1:]] > total[off[:-1]]):
+            odd[i] = odd[i] or bool(_ODD.search(col[int(i)].as_py()))
+        for i in np.flatnonzero(odd):
+            begin[off[i] + 1 : off[i + 1]] = False
+        return np.flatnonzero(begin)
+
+    def __call__(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, ``end_id`` after each text, and where each text's ids begin (and the last end)."""
+        if pa.types.is_large_string(col.type) or isinstance(col, pa.ChunkedArray):
+            col = pa.array(col.to_pylist(), pa.string())
+        if col.null_count:
+            col = pc.fill_null(col, "")
+        if len(self.known) > _HELD:
+            self._clear()
+        data, off = T.arrow_bytes(col)
+        cuts = self._cuts(col, data, off)
+        whole = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data))
+        coded = whole.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._learn([p for p in pieces if p not in self.known])
+        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.array(coded.indices)] if pieces else np.zeros(0, np.int64)
+        if any(len(p) > _LONG for p in pieces):
+            for p in pieces:
+                if len(p) > _LONG:
+                    del self.known[p]
+        # ids of each piece, and one place for the end of each text
+        size = self.size[code]
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = total[np.searchsorted(cuts, off)] + np.arange(len(off))
+        out = np.empty(int(total[-1]) + len(off) - 1, self.dtype)
+        free = np.ones(len(out), bool)
+        free[at[1:] - 1] = False
+        out[at[1:] - 1] = end_id
+        out[free] = self.pool[np.arange(total[-1]) + np.repeat(self.start[code] - total[:-1], size)]
+        return out, at
 
 
 def encoder(path: str) -> Encoder:

@@ -8,10 +8,10 @@ segment) and probes the substrings of itself that can match a segment of a line
 Rule: lines are ordered by (doc_id, hash of the text, line number).  A line of at least ``min_chars`` characters is dropped if
 an equal line or a line within ``distance`` edits stands earlier.  Shorter lines always stay.
 
-Only keys that two different lines hold travel on.  Of those, each line is first held against the earliest
-line of the key, which settles nearly all lines of a large family; what is left meets every earlier line of
-the key block by block (blocks of bounded size, dealt by a hash), where character counts pick the pairs that
-are verified.
+A first pass over the texts finds the keys under which two different lines stand, with one pre-aggregated row per key.
+A second one takes the lines that hold such a key, once each.  Of those, each line is first held against the earliest
+line of the key, which settles nearly all lines of a large family; what is left meets every earlier line of the key
+block by block (blocks of bounded size, dealt by a hash), where character counts pick the pairs that are verified.
 
 Edge cases: null or empty texts have one empty line and stay; null doc_ids come after all others; rows that
 share a doc_id, or have none, are documents of their own if their texts differ, and one document if they are
@@ -20,14 +20,14 @@ equal; an empty table gives an empty result; other columns are carried along unr
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ripplegraph.llm import textkit as T
 
@@ -35,6 +35,9 @@ from ripplegraph.llm import textkit as T
 LAST = (1 << 63) - 1
 #: Lines of a block.
 BLOCK = 512
+#: Characters for which the edit distance looks up places at once.
+_CHUNK = 512
+_BASE = 0x9E3779B97F4A7C15
 
 
 def segments(length: int, distance: int) -> list[tuple[int, int]]:
@@ -67,8 +70,8 @@ def probes(length: int, distance: int) -> list[tuple[int, int, int, int]]:
 def within(a: str, b: str, distance: int) -> bool:
     """Whether the edit distance of two strings is at most ``distance``.
 
-    Common ends are cut off; the rest runs bit-parallel down a band of 2 * distance + 1 diagonals, so a step
-    works on a few bits whatever the length.
+    Common ends are cut off; the rest runs bit-parallel down a band of 2 * distance + 1 diagonals: a step for a
+    character works on all diagonals at once, in one number per edit.
     """
     if abs(len(a) - len(b)) > distance:
         return False
@@ -88,33 +91,27 @@ def within(a: str, b: str, distance: int) -> bool:
     # reach[e]: bit k set if, after the rows so far, diagonal k - distance can be reached with e edits
     width = 2 * distance + 1
     full = (1 << width) - 1
-    reach = [0] * (distance + 1)
-    for e in range(distance + 1):
-        for k in range(max(0, distance - e), min(width, distance + e + 1)):
-            if k >= distance:  # insertions before the first row
-                reach[e] |= 1 << k
-    for row, c in enumerate(a):
-        same = 0
-        for k in range(width):
-            col = row + k - distance
-            if 0 <= col < len(b) and b[col] == c:
-                same |= 1 << k
-        old, reach = reach, [0] * (distance + 1)
-        for e in range(distance + 1):
-            now = old[e] & same
-            if e:
-                now |= old[e - 1] | (old[e - 1] >> 1) | (reach[e - 1] << 1)
-            reach[e] = now & full
-        if not any(reach):
-            return False
+    # insertions before the first row
+    reach = [sum(1 << k for k in range(distance, min(width, distance + e + 1))) for e in range(distance + 1)]
+    for base in range(0, len(a), _CHUNK):
+        # where each character stands in the part of b that the band crosses, from position base - distance on
+        at: dict[str, int] = {}
+        for j in range(max(0, base - distance), min(len(b), base + _CHUNK + distance)):
+            at[b[j]] = at.get(b[j], 0) | 1 << (j - base + distance)
+        for row, c in enumerate(a[base : base + _CHUNK]):
+            same = at.get(c, 0) >> row & full
+            old, reach = reach, []
+            for e in range(distance + 1):
+                now = old[e] & same
+                if e:
+                    now |= old[e - 1] | (old[e - 1] >> 1) | (reach[e - 1] << 1)
+                reach.append(now & full)
+            if not any(reach):
+                return False
     k = len(b) - len(a) + distance
     return any(r >> k & 1 for r in reach)
 
 
-def _line_id(line: str) -> bytes:
-    return hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
-
-
 def _counts(line: str) -> bytes:
     """How often each of 32 classes of characters occurs, as 16-bit numbers; an edit changes at most two counts by one."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -133,25 +130,70 @@ def _close(mine: list[dict], others: list[dict], distance: int) -> list[tuple[by
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]):
+class Lines:
+    """The lines of at least ``least`` characters of a batch of texts: text, line number, place, length and id of each."""
+
+    def __init__(self, texts: list[str], least: int):
+        joined = "\n".join(texts)
+        self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        many = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        doc = np.repeat(np.arange(len(texts)), many)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        ends = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        keep = np.flatnonzero(ends - starts >= least)
+        all_ = joined.split("\n")
+        self.text = [all_[i] for i in keep]
+        self.doc, self.number, self.start, self.length = doc[keep], number[keep], starts[keep], (ends - starts)[keep]
+        self.id = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in self.text)
+
+    def ids(self, at: np.ndarray | slice = slice(None)) -> pa.Array:
+        flat = np.frombuffer(self.id, np.uint8).reshape(-1, 16)[at]
+        return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(0, 16 * len(flat) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+    def short(self) -> np.ndarray:
+        """The first half of each id."""
+        return np.frombuffer(self.id, "<i8")[::2]
+
+    def once(self) -> np.ndarray:
+        """One line of each id."""
+        return np.sort(np.unique(self.short(), return_index=True)[1])
+
+    def keys(self, at: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines at ``at``: place in it, key, and whether the line is indexed under it, for all of its probes."""
+        n = len(self.codes)
+        with np.errstate(over="ignore"):
+            up, down = np.full((2, n + 1), 1, np.uint64)
+            up[1:], down[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(T.mix64(self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        start, length, parts = self.start[at], self.length[at], distance + 1
+        out = []
+        for shorter in range(distance + 1):
+            own = length - shorter  # the length of the lines that are looked up
+            size, more = own // parts, own % parts
+            for i in range(parts):
+                place, n_chars = i * size + np.maximum(0, i - (parts - more)), size + (i >= parts - more)
+                low = np.maximum(np.maximum(0, place - i), place + shorter - (distance - i))
+                high = np.minimum(np.minimum(length - n_chars, place + i), place + shorter + (distance - i))
+                for step in range(2 * distance + 1):
+                    p = low + step
+                    ok = np.flatnonzero((p <= high) & (own >= parts))
+                    if not len(ok):
+                        break
+                    a = start[ok] + p[ok]
+                    with np.errstate(over="ignore"):
+                        h = (total[a + n_chars[ok]] - total[a]) * down[a] + T.mix64((own[ok] * parts + i).astype(np.uint64))
+                    out.append((ok, T.mix64(h).view(np.int64), (p[ok] == place[ok]) & (shorter == 0)))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _held(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
     for b in T.pieces(batches):
-        for d, t, h in zip(*(c.to_pylist() for c in b.columns)):
-            yield LAST if d is None else d, h, t.split("\n")
-
-
-def _flush(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= 50_000:
-            yield _flush(held, schema)
-            held = []
-    if held:
-        yield _flush(held, schema)
+        yield b, Lines(b.column(1).to_pylist(), least)
 
 
 def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
@@ -161,44 +203,46 @@ def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
 
 def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     """Lines to drop: doc_id (null as LAST), text_hash of the whole text, and line_no from 0."""
-    T.session(docs.sparkSession)
+    spark = T.session(docs.sparkSession)
     min_chars = max(min_chars, distance + 1)
     text = T.text_frame(docs, T.text_hash().alias("h"))
 
     def occurrences(batches):
-        schema = pa.schema([("id", pa.binary()), ("d", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
-        yield from _emit(((_line_id(x), d, h, i) for d, h, lines in _rows(batches) for i, x in enumerate(lines) if len(x) >= min_chars), schema)
+        for b, lines in _held(batches, min_chars):
+            doc = pa.array(lines.doc)
+            yield pa.RecordBatch.from_arrays([lines.ids(), b.column(0).fill_null(LAST).take(doc), b.column(2).take(doc), pa.array(lines.number.astype(np.int32))], ["id", "d", "h", "n"])
 
     def keyed(batches):
-        schema = pa.schema([("key", pa.int64()), ("id", pa.binary()), ("role", pa.int8())])
-
-        def rows():
-            for _, _, lines in _rows(batches):
-                for x in lines:
-                    if len(x) < min_chars:
-                        continue
-                    name, own = _line_id(x), {(len(x), i, at) for i, (at, _) in enumerate(segments(len(x), distance))}
-                    for length, i, at, size in probes(len(x), distance):
-                        key = xxhash.xxh3_64_intdigest(f"{length} {i} {x[at : at + size]}".encode("utf-8", "surrogatepass")) - (1 << 63)
-                        # 1: looks up, 3: looks up and is found
-                        yield key, name, 3 if (length, i, at) in own else 1
-
-        yield from _emit(rows(), schema)
-
-    lines = T.stash(text.mapInArrow(occurrences, "id binary, d long, h long, n int").groupBy("id", "d", "h", "n").agg(F.lit(1).alias("one")).select("id", "d", "h", "n"))
-    first = lines.groupBy("id").agg(F.min(F.struct("d", "h", "n")).alias("first"))
-    posting = text.mapInArrow(keyed, "key long, id binary, role tinyint").repartition("key").groupBy("key", "id").agg(F.max("role").alias("role"))
-    over = Window.partitionBy("key")
-    posting = T.stash(posting.withColumn("m", F.count("*").over(over)).withColumn("r", F.max("role").over(over)).where("m > 1 and r = 3").drop("r"))
-
-    wanted = posting.select("id").distinct()
-
-    def texts(batches):
-        schema = pa.schema([("id", pa.binary()), ("line", pa.string()), ("counts", pa.binary())])
-        yield from _emit(((_line_id(x), x, _counts(x)) for _, _, ls in _rows(batches) for x in ls if len(x) >= min_chars), schema)
-
-    known = T.thin(text.mapInArrow(texts, "id binary, line string, counts binary"), wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        for _, lines in _held(batches, min_chars):
+            at = lines.once()
+            place, key, own = lines.keys(at, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lines.short()[at][place]), pa.array(own)], ["key", "id", "own"])
+
+    lines = T.stash(text.mapInArrow(occurrences, "id binary, d long, h long, n int"))
+    first = lines.groupBy("id").agg(F.min(F.struct("d", "h", "n")).alias("first"), F.count("*").alias("times"))
+    met = text.mapInArrow(keyed, "key long, id long, own boolean").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.bool_or("own").alias("own"))
+    met = T.stash(met.where("own and a <> z").select("key"))
+    sieve = spark.sparkContext.broadcast(T.bitmap(met, "key"))
+
+    def takes(batches):
+        """A line, its letter counts, and those of its keys that the sieve lets through."""
+        for _, lines in _held(batches, min_chars):
+            at = lines.once()
+            place, key, own = lines.keys(at, distance)
+            hit = np.flatnonzero(T.in_bitmap(sieve.value, key))
+            hit = hit[np.argsort(place[hit], kind="stable")]
+            line, many = np.unique(place[hit], return_counts=True)
+            cut = np.concatenate([[0], np.cumsum(many)])
+            some = at[line]
+            texts = [lines.text[i] for i in some]
+            yield pa.RecordBatch.from_arrays([lines.ids(some), pa.array(texts, pa.string()), pa.array([_counts(x) for x in texts], pa.binary()), T.list_column(key[hit], cut), T.list_column(own[hit], cut)], ["id", "line", "counts", "keys", "own"])
+
+    known = text.mapInArrow(takes, "id binary, line string, counts binary, keys array<long>, own array<boolean>").dropDuplicates(["id"])
     known = T.stash(known.join(first, "id"))
+    posting = known.select("id", "first", "counts", F.explode(F.arrays_zip("keys", "own")).alias("k")).select("id", "first", "counts", F.col("k.keys").alias("key"), F.when(F.col("k.own"), 3).otherwise(1).alias("role"))
+    # 1: looks up, 3: looks up and is found
+    posting = posting.join(met, "key", "left_semi").groupBy("key", "id").agg(F.max("role").alias("role"), F.first("first").alias("first"), F.first("counts").alias("counts"))
+    posting = T.stash(posting)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (id, other), the ids that are within the distance of an other."""
@@ -213,8 +257,8 @@ def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFr
         return pairs.join(a, "id").join(b, "other").select("id", "a", "b").mapInArrow(run, "id binary").distinct()
 
     # 1: every line against the earliest line of the key
-    posting = T.stash(posting.join(known.select("id", "first", "counts"), "id"))
-    heads = posting.groupBy("key").agg(F.min(F.struct("first", F.col("id").alias("other"))).alias("h")).select("key", F.col("h.first").alias("since"), "h.other")
+    heads = posting.groupBy("key").agg(F.min(F.struct("first", F.col("id").alias("other"))).alias("h"), F.count("*").alias("m")).select("key", F.col("h.first").alias("since"), "h.other", "m")
+    heads = T.stash(heads.where("m > 1"))
     near = posting.join(heads, "key").where("first > since").select("id", "other").distinct()
     settled = T.stash(verified(near))
 
@@ -232,11 +276,13 @@ def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFr
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["id", "other"])
 
-    rest = dealt(left, "mine").join(dealt(posting, "all"), "key").select("mine", "all").mapInArrow(meet, "id binary, other binary").distinct()
+    busy = left.select("key", "m").distinct()
+    rest = dealt(left, "mine").join(dealt(posting.join(busy, "key"), "all"), "key").select("mine", "all").mapInArrow(meet, "id binary, other binary").distinct()
     late = settled.union(verified(rest)).distinct()
 
-    out = lines.join(first, "id").join(late.withColumn("late", F.lit(True)), "id", "left")
-    return out.where("late or d <> first.d or h <> first.h or n <> first.n").select(F.col("d").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("line_no"))
+    late = late.withColumn("late", F.lit(True))
+    judged = first.join(late, "id", "left").where("late or times > 1")
+    return lines.join(judged, "id").where("late or d <> first.d or h <> first.h or n <> first.n").select(F.col("d").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("line_no"))
 
 
 def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
@@ -244,18 +290,25 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
 
     A document all of whose lines go has an empty text.
     """
-    gone = row_drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list("line_no").alias("_gone"))
+    gone = row_drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
     gone = T.stash(gone)
     rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", T.text_hash())
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.element_at(lines, i + 1))
+    columns, text = list(docs.columns), docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            out, many = [], []
+            for t, g in zip(b.column(text).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                lines, g = (t or "").split("\n"), set(g or ())
+                many.append((len(lines), len(g)))
+                out.append("\n".join(x for i, x in enumerate(lines) if i not in g) if g else t)
+            cols = list(b.columns)[:-3]
+            cols[text] = pa.array(out, b.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([m[k] for m in many], pa.int64()) for k in range(2))], [*columns, "n_lines", "n_dropped"])
+
+    some = T.thin(rows, gone, "_d", "_h").join(gone, ["_d", "_h"], "left").select(*docs.columns, "_d", "_h", "_gone")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     count = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
-
-    def counted(df):
-        return df.withColumn("n_lines", F.coalesce(count, F.lit(1)).cast("long"))
-
-    cut = counted(T.thin(rows, gone, "_h").join(gone, ["_d", "_h"], "left")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    cut = cut.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop("_gone", "_d", "_h")
     # documents that lose nothing are not shuffled
-    same = counted(T.rest(rows, gone, "_h")).withColumn("n_dropped", F.lit(0).cast("long")).drop("_d", "_h")
-    return same.unionByName(cut)
+    same = T.rest(rows, gone, "_d", "_h").withColumn("n_lines", F.coalesce(count, F.lit(1)).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
+    return same.drop("_d", "_h").unionByName(some.mapInArrow(cut, schema))

@@ -247,7 +247,7 @@ def _packed(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
             blobs = [tokens[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("doc_id", "grp", "copies", "sig")] + [sig, pa.array(blobs, pa.binary())], ["rep", "grp", "copies", "want", "sig", "tokens"])
 
-    rows = T.thin(T.text_frame(docs), members.withColumnRenamed("rep", "doc_id")).join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "copies", "sig")
+    rows = T.thin(T.text_frame(docs), members.withColumnRenamed("rep", "doc_id"), "doc_id").join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "copies", "sig")
     # rows that repeat a doc_id may have other texts; those with the same text are told apart when a group is opened
     sets = rows.mapInArrow(run, "rep long, grp long, copies long, want binary, sig binary, tokens binary").where("want = sig")
     return sets.groupBy("grp").agg(F.collect_list(F.struct("rep", "copies", "tokens")).alias("members"))

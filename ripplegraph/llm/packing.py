@@ -2,16 +2,14 @@
 
 A document of more than ``limit`` tokens is cut into pieces of the limit, the first one shorter; whole pieces
 fill a sequence each.  The others go by bands of length, longest first.  A round sorts the band's documents
-and the open gaps by size and sweeps down: each document takes the smallest gap that still holds it, as a
-stack of gaps gives it (a gap is put on when the sweep reaches its size, the last one put on is the smallest
-that fits).  Conflicts are resolved by rank: the i-th document of a size takes the i-th free gap of the size
-that the sweep names.  Gaps shrink, and rounds repeat until the band is empty.  When next to nothing fits, the documents
-that are left open as many sequences as their tokens need, the longest documents first.
+and the open gaps by size and sweeps down over both: each document takes the smallest gap that still holds it
+(``matched``: ranks, prefix sums over counts per size and one window per depth, all of it in Spark).  Gaps shrink, and
+rounds repeat until the band is empty.  When a round has placed less than one in OPEN of its documents, the next one
+also has as many new sequences to offer as the rest's tokens need, and when few are left, as many as hold them all; what
+fits an older gap still takes that.
 
-Sizes are whole numbers up to the limit, so a sweep needs counts per size only (twice ``limit`` numbers,
-whatever the input); ranks within a size come from counts per size and hash deal, and documents meet their
-gaps in an equi-join on (size, rank).  A large gap offers several places at once, as many as documents of
-the band surely fit.
+A large gap offers several places at once, as many as documents of the band surely fit.  The driver sees five numbers a
+round.
 
 Edge cases: a null text is empty and has the end id alone; rows that repeat a doc_id, or have none, are packed
 as documents of their own; an empty table gives no pieces; other columns are not read.
@@ -32,7 +30,13 @@ from ripplegraph.llm import textkit as T
 from ripplegraph.llm.encoding import encoder
 
 #: Deals of a size class: one class may hold most rows.
-DEALS = 16
+DEALS = 32
+#: New sequences are opened when a round has placed less than one in so many documents.
+OPEN = 20
+#: When less than one in so many of a band's documents are left, the next round has a place for each of them.
+LEFT = 20
+#: A band's documents are at most so many times as long as the next band's.
+STEP = 4
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
@@ -40,144 +44,106 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]):
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
         item = TaskContext.get().partitionId() << 40
         for b in T.pieces(batches):
-            rows = []
-            for d, x in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                ids = np.frombuffer(x + end, encode.dtype).astype("<u4")
-                cut = [0, *range(len(ids) % limit or limit, len(ids) + 1, limit)]
-                for k, (i, j) in enumerate(zip(cut, cut[1:])):
-                    rows.append((item, d, k, i, j - i, zlib.crc32(ids[i:j].tobytes())))
-                    item += 1
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
+            flat, at = encode(b.column(1), end_id)
+            n = np.diff(at)
+            many = -(-n // limit)  # pieces of each document; the first may be shorter
+            doc = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = np.maximum(n[doc] - (many[doc] - piece) * limit, 0)
+            length = n[doc] - (many[doc] - piece - 1) * limit - start
+            ids = memoryview(flat.astype("<u4")).cast("B")
+            crc = [zlib.crc32(ids[4 * i : 4 * (i + k)]) for i, k in zip((at[doc] + start).tolist(), length.tolist())]
+            cols = [pa.array(np.arange(item, item + len(doc))), b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            item += len(doc)
+            yield pa.RecordBatch.from_arrays(cols, ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return T.text_frame(docs).mapInArrow(run, "item long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _bases(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], dict[int, int]]:
-    """From (size, deal, rows): the rank at which each deal of a size begins, and the rows of each size."""
-    bases, sizes = [], {}
-    for size, deal, n in sorted(counts):
-        bases.append((size, deal, sizes.get(size, 0)))
-        sizes[size] = sizes.get(size, 0) + n
-    return bases, sizes
-
-
-def _ranked(dealt: DataFrame, size: str, keys: list[str], bases: list[tuple[int, int, int]]) -> DataFrame:
-    """Adds rank, from 0 within a size: local to a hash deal of the size, and moved on by the deals before it."""
-    base = F.broadcast(dealt.sparkSession.createDataFrame(bases, f"{size} long, _deal int, _base long"))  # DEALS rows a size
-    local = F.row_number().over(Window.partitionBy(size, "_deal").orderBy(*keys)) - 1
-    return dealt.withColumn("_local", local).join(base, [size, "_deal"]).withColumn("rank", F.col("_base") + F.col("_local")).drop("_deal", "_local", "_base")
-
-
-def _dealt(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(DEALS)).cast("int"))
-
-
-def sweep(docs: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit matches as (length, first rank, end rank, gap size, first gap rank): runs of equal sizes."""
-    stack: list[list[int]] = []
-    out = []
-    for size in sorted({*docs, *gaps}, reverse=True):
-        if gaps.get(size):
-            stack.append([size, 0, gaps[size]])
-        at, left = 0, docs.get(size, 0)
-        while left and stack:
-            top = stack[-1]
-            n = min(left, top[2] - top[1])
-            out.append((size, at, at + n, top[0], top[1]))
-            at, left, top[1] = at + n, left - n, top[1] + n
-            if top[1] == top[2]:
-                stack.pop()
-    return out
-
-
-def _bands(limit: int) -> list[tuple[int, int]]:
-    out, high = [], limit
-    while high > 64:
-        out.append((high // 2, high))
-        high //= 2
-    return [*out, (0, high)]
+def matched(docs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``docs`` (item, length) with the gap that each takes: sequence_id and slot, null where none is left.
+
+    ``gaps`` has sequence_id, slot and size.  Sizes run from the largest down, gaps before documents; a document takes
+    the last gap that no other has taken, which is the smallest that holds it.  Seen as brackets, a gap opens and a
+    document closes, so the two belong together if they are neighbours at the same depth.  Depths are ranks within a
+    cell (size, kind and a hash deal, so that no size is ranked in one task) moved on by the cells before it, and each
+    depth has one gap and one document of a size at most.
+    """
+    deal = F.pmod(F.xxhash64("a", "b"), F.lit(DEALS)).cast("int").alias("deal")
+    both = gaps.select(F.col("size").cast("long").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("a"), F.col("slot").cast("long").alias("b"))
+    both = both.union(docs.select("length", F.lit(1), "item", F.lit(0).cast("long"))).select("*", deal)
+    cell = ["size", "kind", "deal"]
+    sign = F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.lit(-1))
+    # at most 2 * limit * DEALS rows
+    cells = both.groupBy(*cell).count().withColumn("depth", F.coalesce(F.sum(F.col("count") * sign).over(Window.orderBy(F.desc("size"), "kind", "deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("a", "b"))
+    level = F.when(F.col("kind") == 0, F.col("depth") + F.col("rank")).otherwise(F.col("depth") - F.col("rank") + 1)
+    rows = both.withColumn("rank", rank).join(F.broadcast(cells.select(*cell, "depth")), cell).select("size", "kind", "a", "b", level.alias("level"))
+    last = F.lag(F.struct("kind", "a", "b")).over(Window.partitionBy("level").orderBy(F.desc("size"), "kind"))
+    own = F.col("last.kind") == 0
+    return rows.withColumn("last", last).where("kind = 1").select(F.col("a").alias("item"), F.col("size").alias("length"), F.when(own, F.col("last.a")).alias("sequence_id"), F.when(own, F.col("last.b")).alias("slot"))
+
+
+def _bands(limit: int) -> list[int]:
+    """The lower ends (exclusive) of the bands of length."""
+    out, low = [], limit // STEP
+    while low >= 2 * STEP:
+        out.append(low)
+        low //= STEP
+    return [*out, 0]
 
 
 def best_fit(items: DataFrame, limit: int) -> DataFrame:
     """item, sequence_id, offset for ``items`` (item, length from 1 to ``limit``)."""
     spark = items.sparkSession
-    todo = T.stash(items.where(F.col("length") < limit).select("item", "length"))
+    rest = T.stash(items.where(F.col("length") < limit).select("item", "length"))
     gaps = T.stash(spark.createDataFrame([], "sequence_id long, gap long"))
-    placed = [items.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    for low, high in _bands(limit):
-        rest = _dealt(todo.where((F.col("length") > low) & (F.col("length") <= high)), "item")
+    placed, opened, turn = [], -1, 0
+    whole = items.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    bands = _bands(limit)
+    for low in bands:
+        band, rest = rest.where(F.col("length") > low), rest.where(F.col("length") <= low)
+        all_ = before = None  # documents of the band, and before the last round, if it opened none
         while True:
-            open_ = _dealt(gaps.where(F.col("gap") > low), "sequence_id")
-            count = lambda df, size, kind: df.groupBy(F.col(size).alias("size"), "_deal").count().withColumn("kind", F.lit(kind))
-            # at most DEALS rows a size and kind
-            found = [(r["kind"], (r["size"], r["_deal"], r["count"])) for r in count(rest, "length", 0).union(count(open_, "gap", 1)).collect()]
-            bases, lengths = _bases([c for kind, c in found if kind == 0])
-            if not lengths:
+            zero = F.lit(0).cast("long")
+            size = band.agg(F.count("*").alias("n"), F.sum("length").alias("volume"), F.min("length").alias("least"), F.max("length").alias("most"), F.count_if(2 * F.col("length") > limit).alias("large"))
+            at, held = size.union(gaps.where(F.col("gap") > low).agg(F.count("*"), zero, zero, zero, zero)).collect()
+            held = held.n
+            all_ = all_ or at.n
+            if not at.n:
                 break
-            least, most, n = min(lengths), max(lengths), sum(lengths.values())
-            fit = [c for kind, c in found if kind == 1 and c[0] >= least]
-            many = max(1, -(-2 * n // max(1, sum(c[2] for c in fit))))
-            ranked = _ranked(rest, "length", ["item"], bases)
+            usable = gaps.where(F.col("gap") >= at.least)
+            fresh, many = 0, max(1, -(-2 * at.n // max(1, held)))
+            if LEFT * at.n < all_:
+                many = max(many, limit // at.most)
+                fresh = -(-at.n // (limit // at.most))
+            elif OPEN * held < at.n or (before is not None and OPEN * (before - at.n) < before):
+                fresh = max(-(-at.volume // limit), at.large)
+                many = max(1, -(-2 * at.n // (held + fresh)))
+            if fresh:
+                new = spark.range(fresh).select((F.lit(opened) - F.col("id")).alias("sequence_id"), F.lit(limit).cast("long").alias("gap"))
+                usable, gaps = usable.union(new), gaps.union(new)
+                opened -= fresh
+            before = None if fresh else at.n
             # all places of a gap but the last have the longest document's length
-            offers = []
-            for gap, deal, k in fit:
-                slots = min(max(gap // most, 1), many)
-                offers += [(most, deal, k * (slots - 1)), (gap - most * (slots - 1), deal, k)]
-            starts, sizes = _bases(_added(offers))
-            runs = sweep(lengths, sizes)
-            matched = sum(z - a for _, a, z, _, _ in runs)
-            if 50 * matched < n:
-                # next to nothing fits: new sequences by volume, and one for each document over half of the limit
-                fresh = max(-(-sum(k * v for k, v in lengths.items()) // limit), sum(v for k, v in lengths.items() if 2 * k > limit))
-                new = T.stash(_opened(ranked, lengths, fresh, limit // most))
-                gaps = gaps.union(new.groupBy("sequence_id").agg((F.lit(limit) - F.sum("length")).alias("gap")))
-                matched = min(n, fresh * (limit // most))
-            else:
-                slots = F.least(F.greatest(F.floor(F.col("gap") / most), F.lit(1)), F.lit(many))
-                slot = open_.where(F.col("gap") >= least).withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
-                size = F.when(F.col("slot") < F.col("slots"), F.lit(most)).otherwise(F.col("gap") - F.lit(most) * (F.col("slots") - 1))
-                offered = _ranked(slot.select("sequence_id", "gap", "slot", "_deal", size.cast("long").alias("size")), "size", ["sequence_id", "slot"], starts)
-                match = F.broadcast(spark.createDataFrame(runs, "length long, a long, z long, size long, g long"))
-                taken = ranked.join(match, "length").where("rank >= a and rank < z").select("item", "length", "size", (F.col("g") + F.col("rank") - F.col("a")).alias("rank")).join(offered, ["size", "rank"])
-                before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-                new = T.stash(taken.select("item", "length", "sequence_id", (F.lit(limit) - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset")))
-                used = new.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-                gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-            placed.append(new.select("item", "sequence_id", "offset"))
-            gaps = T.stash(gaps.where("gap > 0"))
-            if matched == n:
-                break
-            rest = rest.join(new.select("item"), "item", "left_anti")
-    out = placed[0]
+            slots = F.least(F.greatest(F.floor(F.col("gap") / at.most), F.lit(1)), F.lit(many))
+            offers = usable.withColumn("slots", slots).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
+            size = F.when(F.col("slot") < F.col("slots"), F.lit(at.most)).otherwise(F.col("gap") - F.lit(at.most) * (F.col("slots") - 1))
+            met = T.stash(matched(band, offers.select("sequence_id", "slot", size.alias("size"))))
+            taken = met.where("sequence_id is not null")
+            placed.append(taken.select("item", "length", "sequence_id", F.lit(turn).alias("turn"), "slot"))
+            used = taken.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+            gaps = T.stash(gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
+            band, turn = met.where("sequence_id is null").select("item", "length"), turn + 1
+    if not placed:
+        return whole
+    rows = placed[0]
     for p in placed[1:]:
-        out = out.union(p)
-    return out
-
-
-def _added(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Rows summed over equal (size, deal)."""
-    out: dict[tuple[int, int], int] = {}
-    for size, deal, n in counts:
-        if n:
-            out[size, deal] = out.get((size, deal), 0) + n
-    return [(size, deal, n) for (size, deal), n in out.items()]
-
-
-def _opened(ranked: DataFrame, lengths: dict[int, int], fresh: int, each: int) -> DataFrame:
-    """Deal the longest ranked documents round into ``fresh`` new sequences, up to ``each`` a sequence."""
-    bases, at = [], 0
-    for length in sorted(lengths, reverse=True):
-        bases.append((length, at))
-        at += lengths[length]
-    base = F.broadcast(ranked.sparkSession.createDataFrame(bases, "length long, base long"))
-    rows = ranked.join(base, "length").withColumn("place", F.col("base") + F.col("rank")).where(F.col("place") < fresh * each).withColumn("chunk", F.col("place") % fresh)
-    one = Window.partitionBy("chunk").orderBy("place")
-    before = F.coalesce(F.sum("length").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("item", "length", F.first("item").over(one).alias("sequence_id"), before.alias("offset"))
+        rows = rows.union(p)
+    until = Window.partitionBy("sequence_id").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)  # at most ``limit`` rows
+    return rows.select("item", "sequence_id", F.coalesce(F.sum("length").over(until), F.lit(0)).alias("offset")).union(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 2048) -> DataFrame:

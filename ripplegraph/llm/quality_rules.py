@@ -39,15 +39,15 @@ LEVELS = ((0.98, 0.0), (0.99, 0.0), (0.995, 0.0), (0.998, 0.0), (1.0, 0.0), (1.0
 #: The base rules.
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_twins")
-#: Measures with a cutoff; high is bad.
+#: Measures with a cutoff, as a share of two counts (nothing by nothing is 0) and its sign; high is bad.
 MEASURES = {
-    "symbols": "n_symbols / n_words",
-    "repeats": "n_repeat_words / n_words",
-    "upper": "n_upper / word_chars",
-    "marks": "n_marks / n_words",
-    "twins": "n_twins / n_words",
-    "longish": "word_chars / n_words",
-    "shortish": "- word_chars / n_words",
+    "symbols": ("n_symbols", "n_words", 1),
+    "repeats": ("n_repeat_words", "n_words", 1),
+    "upper": ("n_upper", "word_chars", 1),
+    "marks": ("n_marks", "n_words", 1),
+    "twins": ("n_twins", "n_words", 1),
+    "longish": ("word_chars", "n_words", 1),
+    "shortish": ("word_chars", "n_words", -1),
 }
 _SYMBOL, _UPPER, _MARK, _SPACE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b" \t\n\r\x0b\x0c"))
 
@@ -84,14 +84,14 @@ def counts(col: pa.Array) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the hash of the text and the COUNTS of every row."""
+    """doc_id, lang and the COUNTS of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in T.pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(x.astype(np.int64)) for x in counts(b.column(1)))], ["doc_id", "lang", "h", *COUNTS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x.astype(np.int64)) for x in counts(b.column(1)))], ["doc_id", "lang", *COUNTS])
 
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return T.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), T.text_hash().alias("h")).mapInArrow(run, f"doc_id long, lang string, h long, {kinds}")
+    return T.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).mapInArrow(run, f"doc_id long, lang string, {kinds}")
 
 
 def chance(rejected: int, good: int, risk: float) -> float:
@@ -103,14 +103,15 @@ def chance(rejected: int, good: int, risk: float) -> float:
     return float(min(1.0, np.exp(ways + k * math.log(risk) + (good - k) * math.log1p(-risk)).sum()))
 
 
-def _measures() -> list[Column]:
-    return [F.expr(f"coalesce({e}, 0D)").cast("double").alias(m) for m, e in MEASURES.items()]
+def _measure(m: str) -> Column:
+    over, by, sign = MEASURES[m]
+    return F.coalesce(F.try_divide(F.lit(float(sign)) * F.col(over), F.col(by).cast("double")), F.lit(0.0)).alias(m)
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
     """stratum, and the cutoff of each measure, of each stratum with a certified level."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    known = rows.where(f"not ({BASE_FAILED})").join(labels, "doc_id").select("doc_id", F.col("lang").alias("stratum"), "good", *_measures())
+    known = rows.where(f"not ({BASE_FAILED})").join(labels, "doc_id").select("doc_id", F.col("lang").alias("stratum"), "good", *map(_measure, MEASURES))
     known = T.stash(known.withColumn("fit", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))
     fitted = known.where("fit and good").groupBy("stratum").agg(*(F.percentile_approx(m, [q for q, _ in LEVELS] + [0.5], 10_000).alias(m) for m in MEASURES))
     most = known.where("fit and good").agg(*(F.max(m).alias(m) for m in MEASURES)).first()  # one row
@@ -143,24 +144,37 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float, doubt: float) -> Da
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
     """doc_id, the COUNTS, base_failed and kept of every row of ``docs`` (doc_id, text, lang)."""
-    return _judged(docs, labels, risk, doubt).select("doc_id", *COUNTS, "base_failed", "kept")
-
-
-def _judged(docs: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
-    """The columns of ``quality_rules``, lang, and h, the hash of the text."""
     T.session(docs.sparkSession)
     rows = T.stash(measured(docs))
-    cuts = T.stash(cutoffs(rows, labels, risk, doubt))
-    own = cuts.withColumnRenamed("stratum", "lang")
+    own = cutoffs(rows, labels, risk, doubt).withColumnRenamed("stratum", "lang")
     over = F.lit(False)
-    for m, e in MEASURES.items():
-        over = over | F.coalesce(F.expr(f"coalesce({e}, 0D)") > F.col(f"max_{m}"), F.lit(False))
+    for m in MEASURES:
+        over = over | F.coalesce(_measure(m) > F.col(f"max_{m}"), F.lit(False))
     out = rows.join(own, "lang", "left")
-    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~over).select("doc_id", "lang", "h", *COUNTS, "base_failed", "kept")
+    return out.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~over).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, each by its own text and language."""
-    kept = _judged(docs, labels, risk, doubt).where("kept").select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("h").alias("_h")).distinct()
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (T.text_hash() == F.col("_h")) & (lang == F.col("_l")), "left_semi")
+    """The rows of ``docs`` that the rules keep, each by its own text and language.
+
+    Rows that may be labelled are measured for the cutoffs; then every row is measured and judged in one pass, and none
+    is shuffled.  The cutoffs that travel are one row a certified stratum, each of which took some hundred labels.
+    """
+    T.session(docs.sparkSession)
+    wanted = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    some = T.thin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), wanted, "doc_id")
+    cuts = cutoffs(T.stash(measured(some)), labels, risk, doubt).collect()
+    limits = {r.stratum: [r[f"max_{m}"] for m in MEASURES] for r in cuts}
+    columns, text = list(docs.columns), docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]):
+        for b in T.pieces(batches):
+            n = dict(zip(COUNTS, counts(b.column(text))))
+            keep = (n["n_words"] >= 50) & (100 * n["n_repeat_words"] <= 50 * n["n_words"])
+            lang = b.column(b.num_columns - 1).to_pylist()
+            for k, (over, by, sign) in enumerate(MEASURES.values()):
+                most = np.array([limits[x][k] if x in limits else np.inf for x in lang])
+                keep &= sign * n[over] / np.maximum(n[by], 1) <= most
+            yield b.filter(pa.array(keep)).select(columns)
+
+    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)

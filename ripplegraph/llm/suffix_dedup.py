@@ -111,7 +111,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 keys.append(runs[s].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids).astype(np.int64))), pa.array(np.concatenate(starts)), pa.array(np.concatenate(keys))], ["doc_id", "start", "run"])
 
-    some = T.thin(text, spots).join(spots, "doc_id").select("doc_id", "text", "at")
+    some = T.thin(text, spots, "doc_id").join(spots, "doc_id").select("doc_id", "text", "at")
     runs = T.stash(some.mapInArrow(extended, "doc_id long, start int, run long"))
     shared = runs.groupBy("run").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("z")).where("first_doc_id <> z").drop("z")
     found = runs.join(shared, "run").select("doc_id", "start", "first_doc_id")

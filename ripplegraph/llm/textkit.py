@@ -220,24 +220,68 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(heads.select("id", F.col("id").alias("component")))
 
 
-#: Cells of the sieve that thins documents before they are shuffled to a join.
-SIEVE = 1 << 20
+#: Bits of a sieve at most, as a power of two: 4 MB.  Beyond it lets more through, and the exact join that follows has more to do.
+SIEVE_BITS = 25
 
 
-def _sieve(docs: DataFrame, wanted: DataFrame, key: str, how: str) -> DataFrame:
-    cell = F.xxhash64(F.col(key)).bitwiseAND(F.lit(SIEVE - 1))
-    cells = wanted.select(cell.alias("_cell")).distinct()
-    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", how).drop("_cell")
+def _bits(wanted: DataFrame) -> int:
+    """The size of a sieve as a power of two: some 32 bits for each wanted row, within bounds."""
+    return max(16, min(SIEVE_BITS, (32 * wanted.count()).bit_length()))
 
 
-def thin(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key may be among ``wanted``'s: a superset, found without a shuffle of ``docs``.
+def _words(cells: DataFrame) -> DataFrame:
+    """The 64-bit words of a sieve, by number, from the column _cell."""
+    return cells.select(F.shiftright("_cell", 6).alias("_word"), F.expr("shiftleft(1L, cast(_cell & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
-    At most SIEVE hash cells are broadcast, whatever the input; an exact join has to follow.
+
+def _sieve(docs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], keep: bool) -> DataFrame:
+    cell = F.xxhash64(*keys).bitwiseAND(F.lit((1 << _bits(wanted)) - 1))
+    words = _words(wanted.select(cell.alias("_cell")))
+    rows = docs.withColumn("_cell", cell).withColumn("_word", F.shiftright("_cell", 6))
+    hit = F.expr("coalesce(shiftright(_bits, cast(_cell & 63 as int)) & 1, 0) = 1")
+    return rows.join(F.broadcast(words), "_word", "left").where(hit if keep else ~hit).drop("_cell", "_word", "_bits")
+
+
+def thin(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``docs`` whose keys may be among ``wanted``'s: a superset, found without a shuffle of ``docs``.
+
+    At most 2**(SIEVE_BITS - 6) words are broadcast, whatever the input; an exact join has to follow.
     """
-    return _sieve(docs, wanted, key, "left_semi")
+    return _sieve(docs, wanted, keys, True)
 
 
-def rest(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+def rest(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """The rows that ``thin`` leaves out."""
-    return _sieve(docs, wanted, key, "left_anti")
+    return _sieve(docs, wanted, keys, False)
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``docs`` whose keys are not among ``gone``'s (null is equal to null); most rows are not shuffled."""
+    same = F.lit(True)
+    other = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+    return rest(docs, gone, *keys).unionByName(thin(docs, gone, *keys).join(other, same, "left_anti"))
+
+
+#: Three places in a sieve come from these shifts of a hash.
+_SHIFTS = (0, 20, 39)
+
+
+def bitmap(wanted: DataFrame, key: str) -> np.ndarray:
+    """The sieve of a column of 64-bit hashes as words, for tasks that look up in numpy, three bits for each hash; bounded like ``thin``'s."""
+    bits = _bits(wanted)
+    cells = F.explode(F.array(*(F.shiftright(key, k).bitwiseAND(F.lit((1 << bits) - 1)) for k in _SHIFTS)))
+    found = _words(wanted.select(cells.alias("_cell"))).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["_word"].to_numpy(np.int64)] = found["_bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which hashes the sieve lets through."""
+    hit = np.ones(len(keys), bool)
+    for k in _SHIFTS:
+        cell = keys >> np.int64(k) & np.int64(64 * len(words) - 1)
+        hit &= (words[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return hit

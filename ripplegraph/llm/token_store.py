@@ -1,7 +1,8 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are range-partitioned and sorted by doc_id, encoded, and written as shards of bounded size.  A
-shard is one binary value of a Parquet table, so any store that Spark writes to will do:
+Documents are range-partitioned and sorted by doc_id (and a hash of the text, so that one doc_id may hold any number
+of rows), encoded, and written as shards of bounded size.  A shard is one binary value of a Parquet table, so any store
+that Spark writes to will do:
 
     magic 4s | id width u4 | documents u4 | distinct keys u4 | buckets u4 | tokens u8
     displacement i4[buckets] | fingerprint u4[keys] | ordinal u4[keys]      the hash index, by slot
@@ -12,7 +13,8 @@ the key's first document: one probe whatever the size.  A fingerprint that diffe
 there; one that agrees is wrong for a foreign key with odds of 2**-32, so the stored key is compared as well.
 
 Edge cases: a null text is empty and has the end id alone; a null doc_id sorts first and is not in the index;
-rows that repeat a doc_id stand next to each other, ordered by text; an empty table has no shards.
+rows that repeat a doc_id stand next to each other, ordered by a hash of the text, over as many shards as they need; an
+empty table has no shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -80,8 +82,8 @@ def _fingerprint(keys: np.ndarray) -> np.ndarray:
     return (T.mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype("<u4")
 
 
-def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """A shard of documents in order; equal keys stand next to each other."""
+def pack(keys: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
+    """A shard of documents in order; equal keys stand next to each other.  ``width`` is the bytes of an id."""
     has = np.array([k is not None for k in keys], np.uint8)
     plain = np.array([k or 0 for k in keys], "<i8")
     distinct, ordinal = np.unique(plain[has == 1], return_index=True)
@@ -89,9 +91,9 @@ def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     shift, slot = build_index(distinct)
     prints, places = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
     prints[slot], places[slot] = _fingerprint(distinct), ordinal
-    offset = np.concatenate([[0], np.cumsum([len(x) // width for x in ids])]).astype("<u8")
+    offset = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u8")
     head = _HEAD.pack(_MAGIC, width, len(keys), len(distinct), len(shift), int(offset[-1]))
-    return b"".join([head, shift.astype("<i4").tobytes(), prints.tobytes(), places.tobytes(), plain.tobytes(), has.tobytes(), offset.tobytes(), *ids])
+    return b"".join([head, shift.astype("<i4").tobytes(), prints.tobytes(), places.tobytes(), plain.tobytes(), has.tobytes(), offset.tobytes(), *(x.tobytes() for x in ids)])
 
 
 class Shard:
@@ -142,31 +144,31 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
 
     def run(batches: Iterator[pa.RecordBatch]):
         encode = encoder(tokenizer)
-        width, end = encode.dtype.itemsize, np.array([end_id], encode.dtype).tobytes()
+        width = encode.dtype.itemsize
         part, shard = TaskContext.get().partitionId(), 0
         keys: list = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def flush():
             known = [k for k in keys if k is not None]
-            row = [part, shard, min(known, default=None), max(known, default=None), len(keys), size // width, pack(keys, ids, width)]
+            row = [part, shard, min(known, default=None), max(known, default=None), len(keys), size, pack(keys, ids, width)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "shard", "low", "high", "docs", "tokens", "data"])
 
         for b in T.pieces(batches):
-            for k, x in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                # a repeated key stays in the shard of its first document
-                if keys and (len(keys) >= SHARD_DOCS or size >= SHARD_BYTES) and keys[-1] != k:
+            flat, at = encode(b.column(1), end_id)
+            for k, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:]):
+                if len(keys) >= SHARD_DOCS or size * width >= SHARD_BYTES:
                     yield flush()
                     keys, ids, size, shard = [], [], 0, shard + 1
                 keys.append(k)
-                ids.append(x + end)
-                size += len(ids[-1])
+                ids.append(flat[i:j])
+                size += int(j - i)
         if keys:
             yield flush()
 
-    rows = T.text_frame(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, STORE).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    rows = T.text_frame(docs, T.text_hash().alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows.select("doc_id", "text").mapInArrow(run, STORE).write.option("compression", "zstd").mode("overwrite").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -180,31 +182,33 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for start, data in zip(b.column(b.schema.get_field_index("start")).to_pylist(), b.column(b.schema.get_field_index("data"))):
+            for part, shard, data in zip(*(b.column(b.schema.get_field_index(c)) for c in ("part", "shard", "data"))):
                 s = Shard(data.as_py())
-                crc = [zlib.crc32(s.ids(i).astype("<u4").tobytes()) for i in range(s.docs)]
                 at = s.offset.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s.keys, mask=s.has == 0), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                ids = memoryview(s.payload.astype("<u4")).cast("B")
+                crc = [zlib.crc32(ids[4 * i : 4 * j]) for i, j in zip(at[:-1], at[1:])]
+                same = [pa.array(np.full(s.docs, x.as_py(), np.int32)) for x in (part, shard)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.keys, mask=s.has == 0), *same, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "part", "shard", "at", "n_tokens", "ids_crc32"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    out = T.stash(store.select("part", "shard", "data").join(starts, ["part", "shard"]).select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    rows = T.stash(store.select("part", "shard", "data").mapInArrow(run, "doc_id long, part int, shard int, at long, n_tokens long, ids_crc32 long"))
     T.session(spark)
-    return out
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("at") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id and ids (array of int) of the documents under the keys (column doc_id), a row each.
 
-    A key meets only the shards whose range holds it: the parts' bounds, one number a task of the writer,
-    name its part, and the join is on that.
+    A key meets only the shards whose range holds it: the parts' bounds, two numbers a task of the writer, name its
+    parts (more than one, if a key has very many documents), and the join is on that.
     """
     store = spark.read.schema(STORE).parquet(path)
-    bounds = [r.high for r in store.groupBy("part").agg(F.max("high").alias("high")).where("high is not null").orderBy("part").collect()]
-    parts = [r.part for r in store.where("high is not null").groupBy("part").agg(F.max("high").alias("high")).orderBy("part").collect()]
-    if not parts:
+    bounds = store.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("high is not null").collect()
+    if not bounds:
         return keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("ids")).limit(0)
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id")))
-    asked = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("part", F.element_at(F.array(*map(F.lit, parts)), place + 1)).where(place < len(parts))
+    parts = F.array(*(F.struct(F.lit(r.part).alias("part"), F.lit(r.low).alias("low"), F.lit(r.high).alias("high")) for r in bounds))
+    mine = F.filter(parts, lambda p: (p["low"] <= F.col("doc_id")) & (p["high"] >= F.col("doc_id")))
+    asked = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select("doc_id", F.explode(F.transform(mine, lambda p: p["part"])).alias("part"))
     hit = asked.join(store, "part").where("doc_id between low and high").groupBy("part", "shard").agg(F.collect_list("doc_id").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -6,21 +6,24 @@ import public_tokenizers as P
 from ripplegraph.llm import packing as K
 
 
-def test_sweep_is_best_fit():
+def test_matches_are_best_fit(spark):
     r = random.Random(2)
-    for _ in range(300):
-        docs = {r.randrange(1, 30): r.randrange(1, 4) for _ in range(r.randrange(8))}
-        gaps = {r.randrange(1, 30): r.randrange(1, 4) for _ in range(r.randrange(8))}
-        want, free = defaultdict(int), dict(gaps)
-        for n in sorted(docs, reverse=True):
-            for _ in range(docs[n]):
-                fit = min((g for g in free if g >= n and free[g]), default=None)
-                if fit:
-                    free[fit] -= 1
-                    want[n, fit] += 1
-        got = defaultdict(int)
-        for n, a, z, g, _ in K.sweep(docs, gaps):
-            got[n, g] += z - a
+    for most, n in ((12, 60), (30, 40), (3, 200)):
+        docs = [(i, r.randrange(1, most)) for i in range(r.randrange(n))]
+        gaps = [(-i - 1, 1 + i % 3, r.randrange(1, most)) for i in range(n)]
+        want, free = defaultdict(int), sorted(g for _, _, g in gaps)
+        for _, size in sorted(docs, key=lambda d: -d[1]):
+            fit = next((g for g in free if g >= size), None)
+            want[size, fit] += 1
+            if fit:
+                free.remove(fit)
+        rows = K.matched(spark.createDataFrame(docs, "item long, length long"), spark.createDataFrame(gaps, "sequence_id long, slot long, size long")).collect()
+        assert sorted(x.item for x in rows) == [i for i, _ in docs]
+        taken = [(x.sequence_id, x.slot) for x in rows if x.slot is not None]
+        assert len(taken) == len(set(taken))
+        size, got = {(a, b): g for a, b, g in gaps}, defaultdict(int)
+        for x in rows:
+            got[x.length, size.get((x.sequence_id, x.slot))] += 1
         assert got == want
 
 
