@@ -19,12 +19,13 @@ import pyarrow.compute as pc
 from ripplegraph.llm import textkit as T
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: A blank, letters that no normal form changes, and a mark after them: the parts are always tokens' borders.
-_SIMPLE = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
+#: A space and letters that no normal form changes: one word to a tokenizer.
+_SIMPLE = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Pieces held by a worker, and the longest that is held.
 _HELD, _LONG = 400_000, 60
 #: Words that are encoded as one text.
 _JOINED = 2000
+_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes(range(65, 91)) + bytes(range(97, 123))))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -51,22 +52,21 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.start, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-        self._hold([np.zeros(0, self.dtype)])  # number 0: no ids
+        self.ends: dict[int, int] = {}
+        self.pool, self.start, self.size, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
 
-    def _hold(self, ids: list[np.ndarray]) -> range:
-        """Numbers of new id sequences."""
-        n, size = self.used, np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
+    def _hold(self, flat: np.ndarray, size: np.ndarray) -> range:
+        """Numbers of new id sequences, which stand in a row."""
+        n, more = self.used, len(size)
         top = int(self.start[n - 1] + self.size[n - 1]) if n else 0
-        while len(self.start) < n + len(ids):
+        while len(self.start) < n + more:
             self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while len(self.pool) < top + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[top : top + len(flat)] = flat
-        self.size[n : n + len(ids)] = size
-        self.start[n : n + len(ids)] = top + np.cumsum(size) - size
-        self.used = n + len(ids)
+        self.size[n : n + more] = size
+        self.start[n : n + more] = top + np.cumsum(size) - size
+        self.used = n + more
         return range(n, self.used)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -75,77 +75,82 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], spaced: bool) -> list[np.ndarray]:
-        """The ids of words of letters, with a space before each or without; many are encoded as one text."""
-        out: list[np.ndarray] = []
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces one by one and hold them."""
+        found = self._batch(pieces)
+        flat = np.fromiter((i for x in found for i in x), self.dtype)
+        self.known.update(zip(pieces, self._hold(flat, np.array([len(x) for x in found], np.int64))))
+
+    def _learn_words(self, words: list[str], spaced: bool) -> None:
+        """Encode words of letters, all with a space before them or all without, as one text, and hold them."""
         for i in range(0, len(words), _JOINED):
             part = words[i : i + _JOINED]
-            if self.drops_blanks:
-                ids = np.array(self._batch([" ".join(part)])[0], self.dtype)
-                cut = np.flatnonzero(self.border[ids])[:-1] + 1
-                found = np.split(ids, cut)
-            elif spaced:
-                ids = np.array(self._batch([" " + " ".join(part)])[0], self.dtype)
-                found = np.split(ids, np.flatnonzero(self.border[ids])[1:])
+            sep = "" if spaced else " " if self.drops_blanks else "\n"
+            ids = np.array(self._batch([sep.join(part)])[0], self.dtype)
+            if self.drops_blanks or spaced:
+                cut = np.flatnonzero(self.border[ids])
+                cut = np.concatenate([[0], cut[:-1] + 1]) if self.drops_blanks else cut
+                size = np.diff(np.append(cut, len(ids)))
             else:
-                ids = np.array(self._batch(["\n".join(part)])[0], self.dtype)
-                cut = np.flatnonzero(ids == self.breaks[0])
-                found = [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]
-            if len(found) != len(part):  # a word that is not one run of letters to this tokenizer
-                found = [np.array(x, self.dtype) for x in self._batch([" " + w if spaced and not self.drops_blanks else w for w in part])]
-            out += found
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces and hold them."""
-        bases: tuple[dict[str, None], dict[str, None]] = {}, {}  # bare, spaced
-        simple, other = [], []
-        for p in pieces:
-            m = _SIMPLE.fullmatch(p)
-            if not m:
-                other.append(p)
-                continue
-            blank, word, mark = m.groups()
-            if self.folds and word.isascii():
-                word = word.lower()
-            spaced = not self.drops_blanks and blank == " "
-            simple.append((p, blank, word, mark, spaced))
-            bases[spaced][word] = None
-        ids = [dict(zip(b, self._words(list(b), bool(k)))) for k, b in enumerate(bases)]
-        ends = {c: self._whole(c).astype(self.dtype) for c in ".,!?;:"}
-        lead = np.zeros(0, self.dtype) if self.drops_blanks else self.breaks.astype(self.dtype)
-        found = []
-        for _, blank, word, mark, spaced in simple:
-            x = ids[spaced][word]
-            if mark:
-                x = np.concatenate([x, ends[mark]])
-            found.append(np.concatenate([lead, x]) if blank == "\n" else x)
-        found += [np.array(x, self.dtype) for x in self._batch(other)]
-        self.known.update(zip([s[0] for s in simple] + other, self._hold(found)))
-
-    def _cuts(self, col: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at texts, at the first blank of a run, and at the last one if a word follows."""
+                gap = ids == self.breaks[0]
+                cut = np.flatnonzero(gap)
+                size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                ids = ids[~gap]
+            if len(size) == len(part):
+                self.known.update(zip(part, self._hold(ids, size)))
+            else:  # a word that is not one run of letters to this tokenizer
+                self._learn(part)
+
+    def _pieces(self, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and how many of them stand before each text (and in all).
+
+        Pieces begin at texts, at the first blank of a run, at the last one if a word follows, after a line break, and at
+        a mark after a letter that ends a word.  A tokenizer that drops blanks has pieces without them.
+        """
+        data, off = T.arrow_bytes(col)
         if not len(data):
-            return np.zeros(0, np.int64)
-        blank = T._SPACE[data]
-        begin = np.zeros(len(data), bool)
-        begin[1:] = (blank[1:] & ~blank[:-1]) | (blank[1:] & np.append(~blank[2:], True))
-        first = off[:-1][off[1:] > off[:-1]]
-        begin[first] = True
-        # a blank that ends a text has no word after it
-        last = off[1:][off[1:] > off[:-1]] - 1
-        tail = last[blank[last] & (last > 0)]
-        begin[tail] = ~blank[tail - 1] | np.isin(tail, first)
-        begin[first] = True
+            return pa.array([], pa.string()), np.zeros(len(off), np.int64)
         odd = np.zeros(len(off) - 1, bool)
         for token in self.added:
-            odd |= np.array(pc.match_substring(col, token))
+            odd |= np.array(pc.match_substring(col, token, ignore_case=self.folds))
         total = np.concatenate([[0], np.cumsum((data >= 0x80) | ((data >= 0x1C) & (data <= 0x1F)))])
         for i in np.flatnonzero(total[off[1:]] > total[off[:-1]]):
             odd[i] = odd[i] or bool(_ODD.search(col[int(i)].as_py()))
-        for i in np.flatnonzero(odd):
+        whole = np.flatnonzero(odd)
+        filled = off[1:] > off[:-1]
+        first, last = off[:-1][filled], off[1:][filled] - 1
+        blank = T._SPACE[data]
+        after = np.append(blank[1:], True)  # a blank, or a text's end, comes next
+        after[last] = True
+        begin = np.zeros(len(data), bool)
+        begin[1:] = ~blank[:-1] & blank[1:] | blank[1:] & ~after[1:]
+        if self.drops_blanks:
+            begin = np.zeros(len(data), bool)
+            begin[1:] = blank[:-1] & ~blank[1:]
+        else:
+            begin[1:] |= (data[:-1] == 10) & ~after[:-1]
+        mark = np.flatnonzero(_MARK[data] & after)
+        mark = mark[mark > 0]
+        begin[mark[_LETTER[data[mark - 1]]]] = True
+        begin[first] = True
+        if self.folds:
+            plain = T._LOWER[data]
+            for i in whole:
+                plain[off[i] : off[i + 1]] = data[off[i] : off[i + 1]]
+            data = plain
+        for i in whole:
             begin[off[i] + 1 : off[i + 1]] = False
-        return np.flatnonzero(begin)
+        if self.drops_blanks:
+            kept = ~blank
+            for i in whole:
+                kept[off[i] : off[i + 1]] = True
+            begin &= kept
+            shift = np.concatenate([[0], np.cumsum(kept)])
+            data, off = data[kept], shift[off]
+            begin = begin[kept]
+        cuts = np.flatnonzero(begin)
+        pieces = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        return pieces, np.searchsorted(cuts, off)
 
     def __call__(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``end_id`` after each text, and where each text's ids begin (and the last end)."""
@@ -155,27 +160,29 @@ class Encoder:
             col = pc.fill_null(col, "")
         if len(self.known) > _HELD:
             self._clear()
-        data, off = T.arrow_bytes(col)
-        cuts = self._cuts(col, data, off)
-        whole = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data))
-        coded = whole.dictionary_encode()
+        if end_id not in self.ends:
+            self.ends[end_id] = self._hold(np.array([end_id], self.dtype), np.array([1]))[0]
+        cut, until = self._pieces(col)
+        coded = cut.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        self._learn([p for p in pieces if p not in self.known])
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.array(coded.indices)] if pieces else np.zeros(0, np.int64)
-        if any(len(p) > _LONG for p in pieces):
-            for p in pieces:
-                if len(p) > _LONG:
-                    del self.known[p]
-        # ids of each piece, and one place for the end of each text
+        get = self.known.get
+        new = [i for i, p in enumerate(pieces) if get(p) is None]
+        if new:
+            some = coded.dictionary.take(pa.array(new))
+            simple = pc.match_substring_regex(some, _SIMPLE)
+            words = some.filter(simple)
+            spaced = pc.starts_with(words, " ")
+            self._learn_words(words.filter(spaced).to_pylist(), True)
+            self._learn_words(words.filter(pc.invert(spaced)).to_pylist(), False)
+            self._learn(some.filter(pc.invert(simple)).to_pylist())
+        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)] if pieces else np.zeros(0, np.int64)
+        for i in np.flatnonzero(np.asarray(pc.binary_length(coded.dictionary)) > _LONG):
+            del self.known[pieces[i]]
+        code = np.insert(code, until[1:], self.ends[end_id])
         size = self.size[code]
-        total = np.concatenate([[0], np.cumsum(size)])
-        at = total[np.searchsorted(cuts, off)] + np.arange(len(off))
-        out = np.empty(int(total[-1]) + len(off) - 1, self.dtype)
-        free = np.ones(len(out), bool)
-        free[at[1:] - 1] = False
-        out[at[1:] - 1] = end_id
-        out[free] = self.pool[np.arange(total[-1]) + np.repeat(self.start[code] - total[:-1], size)]
-        return out, at
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = self.pool[np.arange(total[-1]) + np.repeat(self.start[code] - total[:-1], size)]
+        return out, total[np.concatenate([[0], until[1:] + np.arange(1, len(until))])]
 
 
 def encoder(path: str) -> Encoder:
