@@ -14,9 +14,24 @@ def strip_comments(sql: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+#: A literal, a quoted name, a comment, a word or number, or a sign.
+TOKEN = r"""'[^']*(?:''[^']*)*'|"[^"]*(?:""[^"]*)*"|`[^`]*`|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|--[^\n]*|[A-Za-z0-9_]+|[^ \t\n\r\f\x0B]"""
+
+
 def signature(sql: Column) -> Column:
-    """The text with white space collapsed: equal signatures mean that nothing but layout changed."""
-    return F.trim(F.regexp_replace(sql, r"[ \t\n\r]+", " "))
+    """The tokens of a text, without comments and white space between tokens.
+
+    Equal signatures mean that nothing but layout and comments changed: what stands in a literal or a quoted name
+    counts, and a line comment ends where its line does.
+    """
+    return F.filter(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("--") & ~(t.startswith("/*") & (F.length(t) > 3)))
+
+
+def unreadable(sql: Column) -> Column:
+    """Whether a quote or a bracket in the text has no partner, so that no reading of it can be trusted."""
+    tokens = signature(sql)
+    count = lambda sign: F.size(F.filter(tokens, lambda t: t == sign))
+    return F.exists(tokens, lambda t: t.isin("'", '"', "`")) | (count("(") != count(")"))
 
 
 #: ripple:allow(change|break) [column=name] reason="text", after a comment mark

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.text import signature
+from ripplegraph.functions.text import signature, unreadable
 
 #: Which of several changes of one column is reported.
 PRIORITY = {"removed": 5, "type_changed": 4, "logic_changed": 3, "added": 1}
@@ -89,9 +89,34 @@ def git_scope(files: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def compare_expressions(base: Column, head: Column) -> Column:
-    """equivalent, indeterminate or meaning_changed, from token signatures; one side empty can't be told."""
+    """equivalent, indeterminate or meaning_changed, from token signatures; a side that is empty or unreadable can't be told."""
     b, h = F.coalesce(base, F.lit("")), F.coalesce(head, F.lit(""))
-    return F.when(signature(b) == signature(h), "equivalent").when((F.trim(b) == "") | (F.trim(h) == ""), "indeterminate").otherwise("meaning_changed")
+    unsure = (F.size(signature(b)) == 0) | (F.size(signature(h)) == 0) | unreadable(b) | unreadable(h)
+    return F.when(signature(b) == signature(h), "equivalent").when(unsure, "indeterminate").otherwise("meaning_changed")
+
+
+def classify_changes(base: DataFrame, head: DataFrame, keys: list[str], expression: str) -> DataFrame:
+    """(keys, semantic) of the keys whose derivation differs between two tables with a row per branch.
+
+    One branch on each side is compared as an expression; an unreadable or missing expression anywhere makes it
+    indeterminate; several branches that differ have another meaning.
+    """
+    side = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.coalesce(expression, F.lit("")))).alias(name))
+    both = side(base, "_b").join(side(head, "_h"), keys)
+    poor = lambda xs: F.exists(xs, lambda x: (F.size(signature(x)) == 0) | unreadable(x))
+    one = (F.size("_b") == 1) & (F.size("_h") == 1)
+    alike = F.transform("_b", signature) == F.transform("_h", signature)
+    semantic = F.when(one, compare_expressions(F.col("_b")[0], F.col("_h")[0])).when(poor(F.col("_b")) | poor(F.col("_h")), "indeterminate").otherwise("meaning_changed")
+    return both.where(~alike | poor(F.col("_b")) | poor(F.col("_h"))).select(*keys, semantic.alias("semantic"))
+
+
+def unattributed(models: DataFrame, explained: DataFrame, columns: DataFrame) -> DataFrame:
+    """Logic changes of models whose SQL changed with no column to explain it: each head column, indeterminate.
+
+    ``models`` has model, base_sql and head_sql; a model whose whole statement reads the same has none.
+    """
+    same = compare_expressions(F.col("base_sql"), F.col("head_sql")) == "equivalent"
+    return indeterminate_columns(models.where(~same).join(explained.select("model").distinct(), "model", "left_anti").select("model"), columns)
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

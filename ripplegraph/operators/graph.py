@@ -46,6 +46,26 @@ def upstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return bfs_levels(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
 
 
+def parse_selector(selector: str) -> tuple[bool, str, bool]:
+    """(upstream, node, downstream) of ``[+]node[+]``; without a plus both directions are meant."""
+    up, down = selector.startswith("+"), selector.endswith("+")
+    node = selector.strip().strip("+")
+    if not node:
+        raise ValueError(f"selector {selector!r} names no node")
+    return (up, node, down) if up or down else (True, node, True)
+
+
+def select(edges: DataFrame, selector: str) -> DataFrame:
+    """(node, side, level): what a selector names; side is self, upstream or downstream."""
+    up, node, down = parse_selector(selector)
+    seeds = edges.sparkSession.range(1).select(F.lit(0).alias("key"), F.lit(node).alias("node"))
+    out = seeds.select("node", F.lit("self").alias("side"), F.lit(0).alias("level"))
+    for wanted, side, walk in ((up, "upstream", upstream), (down, "downstream", bfs_levels)):
+        if wanted:
+            out = out.union(walk(edges, seeds).where("level > 0").select("node", F.lit(side), "level"))
+    return out
+
+
 def immediate(edges: DataFrame) -> DataFrame:
     """Each node's direct dependents: (src, n_dependents)."""
     return edges.select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n_dependents"))
@@ -64,16 +84,13 @@ def choose_edge(edges: DataFrame, by: list[str], tie: str) -> DataFrame:
 def fold_max(edges: DataFrame, own: DataFrame, unknown: int) -> DataFrame:
     """(node, value): a node's own value if it has one, else the largest of its parents', ``unknown`` without any.
 
-    A fixpoint of one aggregate a round; values only rise within the lattice, so cycles settle.  ``own`` is
-    (node, value) with null for nodes to be inferred and has every node.
+    Values only rise within the lattice, so cycles settle.  A round pushes only the nodes whose value rose in the one
+    before, and ends when none did.  ``own`` is (node, value) with null for nodes to be inferred and has every node.
     """
-    own = own.select("node", F.col("value").alias("given"))
     # a start below every value, turned to ``unknown`` at the end
-    now = stash(own.select("node", F.coalesce("given", F.lit(-1)).alias("value")))
-    while True:
-        up = edges.join(now, edges["src"] == now["node"]).groupBy("dst").agg(F.max("value").alias("up"))
-        new = stash(own.join(up, own["node"] == up["dst"], "left").select("node", F.coalesce("given", "up", F.lit(-1)).alias("value")))
-        same = new.exceptAll(now).isEmpty()
-        now = new
-        if same:
-            return now.withColumn("value", F.when(F.col("value") < 0, unknown).otherwise(F.col("value")))
+    now = stash(own.select("node", F.col("value").isNotNull().alias("fixed"), F.coalesce("value", F.lit(-1)).alias("value"), F.col("value").isNotNull().alias("rose")))
+    while not now.where("rose").isEmpty():
+        up = edges.join(now.where("rose").select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("value").alias("up"))
+        better = ~F.col("fixed") & F.coalesce(F.col("up") > F.col("value"), F.lit(False))
+        now = stash(now.join(up, "node", "left").select("node", "fixed", F.when(better, F.col("up")).otherwise(F.col("value")).alias("value"), better.alias("rose")))
+    return now.select("node", F.when(F.col("value") < 0, unknown).otherwise(F.col("value")).alias("value"))

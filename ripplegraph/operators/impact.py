@@ -32,6 +32,29 @@ def rowset_dependents(reached: DataFrame, predicates: DataFrame, values: DataFra
     return uses.join(valued, "dst", "left_anti").groupBy("dst").agg(F.min("src").alias("src"), F.count("*").alias("n_sources"))
 
 
+def rowset_reach(direct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): models whose rows depend on a change (``direct`` has node), and all that is built from them.
+
+    Other rows in a model are other rows in everything downstream, whichever columns that reads.
+    """
+    from ripplegraph.operators.graph import bfs_levels
+
+    return bfs_levels(edges, direct.select(F.lit(0).alias("key"), "node")).groupBy("node").agg(F.min("level").alias("level"))
+
+
+def column_impact(values: DataFrame, rowset: DataFrame, exposures: DataFrame) -> DataFrame:
+    """(key, node, mechanism, level): one result for all that a column reaches.
+
+    ``values`` has key, node, level, transformation; ``rowset`` key, node, level; ``exposures`` src, dst.  A node that a
+    value reaches is no row-set dependent as well; exposures of any reached node are added one level further.
+    """
+    v = values.select("key", "node", mechanism(F.col("transformation")).alias("mechanism"), "level")
+    r = rowset.join(v.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", F.lit(MECHANISM["filter"]).alias("mechanism"), "level")
+    both = v.unionByName(r)
+    e = both.join(exposures.select(F.col("src").alias("node"), "dst"), "node").groupBy("key", F.col("dst").alias("node")).agg((F.min("level") + 1).alias("level"))
+    return both.unionByName(e.select("key", "node", F.lit("exposure").alias("mechanism"), "level"))
+
+
 def changeset_impact(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, node, level, transformation): reached nodes with the most severe edge from another reached node."""
     from ripplegraph.operators.graph import severity
@@ -53,11 +76,12 @@ def partition_status(opaque: Column, has_columns: Column, unresolved: Column, ca
     )
 
 
-def confidence(resolution: DataFrame, by: list[str]) -> DataFrame:
-    """Counts per status and a level: full if every model is resolved, else partial."""
+def confidence(resolution: DataFrame, by: list[str], unsure: Column | None = None) -> DataFrame:
+    """Counts per status and a level: full if every model is resolved and no logic is ``unsure``, else partial."""
+    unsure = F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(True))
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("catalog_backed", "parsed", "partial_edges", "opaque", "parse_failed", "no_column_info")]
-    weak = F.count_if(~F.col("status").isin("catalog_backed", "parsed"))
-    return resolution.groupBy(*by).agg(*counts, F.count("*").alias("n_total"), F.when(weak == 0, "full").otherwise("partial").alias("level"))
+    weak = F.count_if(~F.col("status").isin("catalog_backed", "parsed") | unsure)
+    return resolution.groupBy(*by).agg(*counts, F.count_if(unsure).alias("n_indeterminate_logic"), F.count("*").alias("n_total"), F.when(weak == 0, "full").otherwise("partial").alias("level"))
 
 
 def selection(edited: DataFrame, reached: DataFrame, unsure: DataFrame, universe: DataFrame, widen: bool) -> DataFrame:

@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def provable_breaks(tests: DataFrame, base_columns: DataFrame, head_columns: DataFrame, head_tests: DataFrame, keys: list[str]) -> DataFrame:
+def provable_breaks(tests: DataFrame, base_columns: DataFrame, head_columns: DataFrame, head_tests: DataFrame, keys: list[str], referenced: DataFrame | None = None) -> DataFrame:
     """Tests of a column that the base has and the head has not, while the test itself is still in the head.
 
-    ``tests`` and ``head_tests`` have test_id; a test is reported once, for its least column.
+    ``tests`` and ``head_tests`` have test_id; a test is reported once, for its least column.  ``referenced`` (test_id,
+    keys) has the other side of relationship tests; with it there is a column side, own or referenced, and own comes first.
     """
     gone = base_columns.select(*keys).distinct().join(head_columns.select(*keys).distinct(), keys, "left_anti")
-    hit = tests.join(gone, keys, "left_semi").join(head_tests.select("test_id").distinct(), "test_id", "left_semi")
-    return hit.groupBy("test_id").agg(F.min(F.struct(*keys)).alias("k")).select("test_id", "k.*")
+    sides = tests.select("test_id", *keys, F.lit("own").alias("side"))
+    if referenced is not None:
+        sides = sides.union(referenced.select("test_id", *keys, F.lit("referenced")))
+    hit = sides.join(gone, keys, "left_semi").join(head_tests.select("test_id").distinct(), "test_id", "left_semi")
+    out = hit.groupBy("test_id").agg(F.min(F.struct("side", *keys)).alias("k")).select("test_id", "k.*")
+    return out if referenced is not None else out.drop("side")
 
 
 def verdict(facts: DataFrame, by: list[str]) -> DataFrame:
     """block, review or safe per group.
 
-    ``facts`` has a row per reached thing: is_break, excused (an override allows it), critical and overridden.
-    A break without an excuse blocks; a demoted break, a critical effect that not every change overrides, or
-    a break at all is reviewed.
+    ``facts`` has a row per reached thing: is_break, excused (an override allows it), critical and overridden, and may
+    have is_filter (rows change), is_exposure and is_shift (the meaning changed or can't be told).  A break without an
+    excuse blocks.  A demoted break is reviewed, and so is a critical thing, a filter or an exposure unless every change
+    that reaches one is overridden, and a shift that no override covers.
     """
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in facts.columns else F.lit(False)
     block = F.bool_or(F.col("is_break") & ~F.col("excused"))
-    review = F.bool_or(F.col("is_break")) | (F.bool_or("critical") & ~F.bool_and(F.col("overridden") | ~F.col("critical")))
+    touchy = F.col("critical") | has("is_filter") | has("is_exposure")
+    review = F.bool_or(F.col("is_break")) | (F.bool_or(touchy) & ~F.bool_and(F.col("overridden") | ~touchy)) | F.bool_or(has("is_shift") & ~F.col("overridden"))
     return facts.groupBy(*by).agg(F.when(block, "block").when(review, "review").otherwise("safe").alias("verdict"), F.count_if(F.col("is_break") & ~F.col("excused")).alias("n_unexcused"))
 
 

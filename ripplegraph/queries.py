@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import text, tri
@@ -138,9 +138,14 @@ def mechanism_breakdown(spark, sf_dir):
 
 
 @_query("""with o as (select 'c' || c_custkey as node, case when c_acctbal < 0 then 2 when c_acctbal > 9000 then 0 end as v, c_nationkey as k from customer),
- n as (select n_nationkey as k, max(case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 end) as v from nation join region on r_regionkey = n_regionkey group by 1)
+ n as (select n_nationkey as k, max(case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 end) as v from nation join region on r_regionkey = n_regionkey group by 1),
+ c as (select substr(node, 2)::bigint as key, coalesce(o.v, n.v) as v from o left join n using (k)), s as (select s_suppkey as key, n.v from supplier join n on n.k = s_nationkey),
+ l as (select max(greatest(coalesce(c.v, -1), coalesce(s.v, -1))) as v from lineitem join orders on o_orderkey = l_orderkey left join c on c.key = o_custkey left join s on s.key = l_suppkey group by l_orderkey, l_linenumber)
  select substr(node, 1, 1) as kind, value, count(*) as n_nodes from (
-  select o.node, coalesce(o.v, n.v, 1) as value from o left join n using (k)
+  select 'c' || key as node, coalesce(v, 1) as value from c
+  union all select 's' || key, coalesce(v, 1) from s
+  union all select 'p' || p_partkey, 1 from part
+  union all select 'l', case when v < 0 then 1 else v end from l
   union all select 'n' || k, coalesce(v, 1) from n
   union all select 'o' || o_orderkey, coalesce(o.v, n.v, 1) from orders left join o on o.node = 'c' || o_custkey left join n using (k)
   union all select 'r' || r_regionkey, case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 else 1 end from region) group by 1, 2""")
@@ -150,8 +155,9 @@ def inferred_meta_fold(spark, sf_dir):
     none = F.lit(None)
     given = own(t.region, _id("r", "r_regionkey"), F.when(F.col("r_name") == "ASIA", 2).when(F.col("r_name") == "EUROPE", 0))
     given = given.union(own(t.nation, _id("n", "n_nationkey"), none)).union(own(t.orders, _id("o", "o_orderkey"), none))
+    given = given.union(own(t.supplier, _id("s", "s_suppkey"), none)).union(own(t.part, _id("p", "p_partkey"), none)).union(own(t.lineitem, _id("l", "l_orderkey", "l_linenumber"), none).distinct())
     given = given.union(own(t.customer, _id("c", "c_custkey"), F.when(F.col("c_acctbal") < 0, 2).when(F.col("c_acctbal") > 9000, 0)))
-    folded = graph.fold_max(_edges(t).where("substr(dst, 1, 1) in ('n', 'c', 'o')"), given, unknown=1)
+    folded = graph.fold_max(_edges(t), given, unknown=1)
     return folded.groupBy(F.substring("node", 1, 1).alias("kind"), "value").agg(F.count("*").alias("n_nodes"))
 
 
@@ -192,15 +198,56 @@ def diff_priority_dedup(spark, sf_dir):
     return diff.dedup_changes(rows, ["user_id", "bucket"], "event_id")
 
 
-@_query(r"""with p as (select doc_id, text as base, source, case when lang = 'es' then null when lang = 'de' then text || ' where x' else replace(text, chr(10), '  ') end as head from documents)
+def _tokens(sql: str) -> str:
+    """DuckDB's token signature."""
+    pattern = text.TOKEN.replace("'", "''")
+    return f"list_filter(regexp_extract_all({sql}, '{pattern}'), lambda x: not starts_with(x, '--') and not (starts_with(x, '/*') and length(x) > 3))"
+
+
+@_query(f"""with p as (select doc_id, '''' || text || '''' as base, source, case when lang = 'es' then null when lang = 'de' then text || ' where x' when doc_id % 2 = 0 then '''' || replace(text, chr(10), '  ') || '''' else '''' || text || '''' || chr(10) || ' -- said' end as head from documents)
  select source, status, count(*) as n_models from (select source, case when (base is null or head is null) and source <> 'src0' then 'indeterminate' when base is null or head is null then 'unchanged'
-  when trim(regexp_replace(base, '[ \t\n\r]+', ' ', 'g')) = trim(regexp_replace(head, '[ \t\n\r]+', ' ', 'g')) then 'unchanged' else 'changed' end as status from p) group by 1, 2""")
+  when {_tokens("base")} = {_tokens("head")} then 'unchanged' else 'changed' end as status from p) group by 1, 2""")
 def logic_status_three_state(spark, sf_dir):
-    head = F.when(F.col("lang") == "es", None).when(F.col("lang") == "de", F.concat("text", F.lit(" where x"))).otherwise(F.replace("text", F.lit("\n"), F.lit("  ")))
-    status = diff.logic_status(F.col("text"), head, F.col("source") != "src0")
+    head = F.when(F.col("lang") == "es", None).when(F.col("lang") == "de", F.concat("text", F.lit(" where x"))).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("'"), F.replace("text", F.lit("\n"), F.lit("  ")), F.lit("'"))).otherwise(F.concat(F.lit("'"), "text", F.lit("'\n -- said")))
+    status = diff.logic_status(F.concat(F.lit("'"), "text", F.lit("'")), head, F.col("source") != "src0")
     return Tables(spark, sf_dir).documents.select("source", status.alias("status")).groupBy("source", "status").agg(F.count("*").alias("n_models"))
 
 
+@_query("""with e as (select p_partkey as k, case p_partkey % 9 when 3 then 'unequal' when 4 then 'unequal' when 6 then 'unsure' when 7 then 'unsure' when 8 then 'unequal' else 'equal' end as s from part)
+ select case s when 'equal' then 'equivalent' when 'unsure' then 'indeterminate' else 'meaning_changed' end as semantic, count(*) as n_columns, min(k) as least from e group by 1""")
+def expression_compare(spark, sf_dir):
+    """Nine ways to change an expression; the SQL states what each of them is, without reading text."""
+    k = F.col("p_partkey")
+    make = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    base = make("case when p_size > ", size, " then '", name, "  x' else \"A  b\" end -- note\n + 1")
+    heads = [
+        make("case  when\np_size>", size, " then '", name, "  x' else \"A  b\" end\n+ 1"),  # layout
+        make("case when p_size > ", size, " then '", name, "  x' /* c */ else \"A  b\" end -- note\n + 1"),  # a block comment
+        make("case when p_size > ", size, " then '", name, "  x' else \"A  b\" end + -- note\n 1"),  # a comment elsewhere
+        make("case when p_size > ", size, " then '", name, " x' else \"A  b\" end -- note\n + 1"),  # space in a literal
+        make("case when p_size > ", size, " then '", name, "  x' else \"A  b\" end -- note + 1"),  # the comment takes a term along
+        make("case when p_size > ", size, " then '", name, "  x' else \"A  b\" end -- changed note\n + 1"),  # a comment's text
+        F.lit("-- nothing"),
+        make("case when p_size > (", size, " then '", name, "  x' else \"A  b\" end -- note\n + 1"),  # a bracket without partner
+        make("case when p_size > ", size, " then '", name, "  x' else \"A b\" end -- note\n + 1"),  # space in a quoted name
+    ]
+    head = F.element_at(F.array(*heads), (k % 9 + 1).cast("int"))
+    return Tables(spark, sf_dir).part.select(k.alias("k"), diff.compare_expressions(base, head).alias("semantic")).groupBy("semantic").agg(F.count("*").alias("n_columns"), F.min("k").alias("least"))
+
+
+@_query("""with s as (select l_suppkey as supplier, l_partkey as part, l_linestatus as side, list(case when l_returnflag = 'A' and l_linenumber > 5 then '' else 'sum(' || l_returnflag || ')' end) as xs from lineitem group by 1, 2, 3),
+ j as (select b.supplier, list_sort(b.xs) as bx, list_sort(h.xs) as hx from s b join s h using (supplier, part) where b.side = 'O' and h.side = 'F'),
+ c as (select supplier, case when list_contains(bx, '') or list_contains(hx, '') then case when len(bx) = 1 and len(hx) = 1 and bx = hx then 'equivalent' else 'indeterminate' end when bx <> hx then 'meaning_changed' end as semantic from j)
+ select supplier, semantic, count(*) as n_columns from c where semantic is not null group by 1, 2""")
+def change_classes(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    poor = (F.col("l_returnflag") == "A") & (F.col("l_linenumber") > 5)
+    rows = t.lineitem.select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "l_linestatus", F.when(poor, "").otherwise(F.concat(F.lit("sum("), "l_returnflag", F.lit(")"))).alias("x"))
+    found = diff.classify_changes(rows.where("l_linestatus = 'O'"), rows.where("l_linestatus = 'F'"), ["supplier", "part"], "x")
+    return found.groupBy("supplier", "semantic").agg(F.count("*").alias("n_columns"))
+
+
 @_query("""with s as (select l_suppkey as supplier, l_partkey as part, l_linestatus as side, list_sort(list((l_returnflag, cast(l_quantity as bigint)))) as sig from lineitem group by 1, 2, 3)
  select h.supplier, count(*) as n_changed, count(*) filter (b.sig is null) as n_new from (select * from s where side = 'F') h
  left join (select * from s where side = 'O') b on b.supplier = h.supplier and b.part = h.part where b.sig is null or b.sig <> h.sig group by 1""")
@@ -259,23 +306,56 @@ def pragma_scan(spark, sf_dir):
 # ---- impact
 
 
-@_query("""with v as (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_returnflag = 'N'), p as (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_returnflag = 'R'),
- r as (select p_partkey as src from part where p_type = 'ECONOMY'), u as (select * from p where not exists (select 1 from v where v.src = p.src and v.dst = p.dst) and src in (select src from r))
- select dst, min(src) as src, count(*) as n_sources from u where dst not in (select dst from v where src in (select src from r)) group by dst""")
+ROWSET = """v as (select distinct l_partkey as src, l_orderkey as dst from lineitem where l_returnflag = 'N'), p as (select distinct l_partkey as src, l_orderkey as dst from lineitem where l_returnflag = 'R'),
+ r as (select p_partkey as src from part where p_type = 'ECONOMY'), u as (select * from p where not exists (select 1 from v where v.src = p.src and v.dst = p.dst) and src in (select src from r)),
+ x as (select dst, min(src) as src, count(*) as n_sources from u where dst not in (select dst from v where src in (select src from r)) group by dst)"""
+
+
+def _rowset(t: Tables) -> DataFrame:
+    use = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return impact.rowset_dependents(t.part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("src")), use("R"), use("N"))
+
+
+@_query(f"with {ROWSET} select * from x")
 def rowset_dependents(spark, sf_dir):
+    return _rowset(Tables(spark, sf_dir))
+
+
+@_query(f"""with {ROWSET}, o as (select distinct dst from x)
+ select 0 as level, count(*) as n_nodes from o union all select 1, count(distinct (l_orderkey, l_linenumber)) from lineitem where l_orderkey in (select dst from o)""")
+def rowset_transitive(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    use = lambda f: t.lineitem.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return impact.rowset_dependents(t.part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("src")), use("R"), use("N"))
+    return impact.rowset_reach(_rowset(t).select(_id("o", "dst").alias("node")), _edges(t)).groupBy("level").agg(F.count("*").alias("n_nodes"))
 
 
-@_query(f"""with recursive {EDGES}, w(key, node, level) as (select r_regionkey, 'r' || r_regionkey, 0 from region union select w.key, e.dst, w.level + 1 from w join edges e on e.src = w.node where substr(e.dst, 1, 1) in ('n', 'c', 's')),
+@_query(f"""with {ROWSET}, w as (select distinct l_orderkey as node, 1 as level from lineitem join part on p_partkey = l_partkey where p_type = 'ECONOMY' and l_returnflag = 'N'),
+ b as (select node, 'derived_recompute' as mechanism, level from w union all select dst, 'rowset_filter', 1 from x where dst not in (select node from w)),
+ e as (select o_custkey as node, min(level) + 1 as level from b join orders on o_orderkey = b.node group by 1)
+ select mechanism, level, count(*) as n_nodes from (select * from b union all select node, 'exposure', level from e) group by 1, 2""")
+def column_impact(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    key = F.lit("p_type").alias("key")
+    hit = t.lineitem.where("l_returnflag = 'N'").join(t.part.where("p_type = 'ECONOMY'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    values = hit.select(key, F.col("l_orderkey").alias("node"), F.lit(1).alias("level"), F.lit("derived").alias("transformation")).distinct()
+    rowset = _rowset(t).select(key, F.col("dst").alias("node"), F.lit(1).alias("level"))
+    shown = t.orders.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return impact.column_impact(values, rowset, shown).groupBy("mechanism", "level").agg(F.count("*").alias("n_nodes"))
+
+
+@_query(f"""with recursive {EDGES}, d(node) as (select 'o1' union select e.dst from d join edges e on e.src = d.node), u(node) as (select 'o1' union select e.src from u join edges e on e.dst = u.node)
+ select node, case when node = 'o1' then 'self' else side end as side from (select node, 'downstream' as side from d union select node, 'upstream' from u where node <> 'o1')""")
+def node_selector(spark, sf_dir):
+    return graph.select(_edges(Tables(spark, sf_dir)), "o1").select("node", "side")
+
+
+@_query(f"""with recursive {EDGES}, w(key, node, level) as (select r_regionkey, 'r' || r_regionkey, 0 from region union select w.key, e.dst, w.level + 1 from w join edges e on e.src = w.node),
  m as (select key, node, min(level) as level from w group by 1, 2)
- select m.key, m.level, t.t as transformation, count(*) as n_nodes from (select key, node, level, case when substr(node, 1, 1) = 'n' then 'direct' when substr(node, 1, 1) = 'c' then 'derived' else 'renamed' end as t from m where level > 0) t join m using (key, node) group by 1, 2, 3""")
+ select key, level, case substr(node, 1, 1) when 'n' then 'direct' when 's' then 'renamed' when 'o' then 'renamed' else 'derived' end as transformation, count(*) as n_nodes from m where level > 0 group by 1, 2, 3""")
 def changeset_impact(spark, sf_dir):
     t = Tables(spark, sf_dir)
     kind = F.substring("dst", 1, 1)
-    edges = _edges(t).where(kind.isin("n", "c", "s")).withColumn("transformation", F.when(kind == "n", "direct").when(kind == "c", "derived").otherwise("renamed"))
-    reached = graph.bfs_levels(edges, _seeds(t))
+    edges = _edges(t).withColumn("transformation", F.when(kind == "n", "direct").when(kind.isin("s", "o"), "renamed").otherwise("derived"))
+    reached = graph.layered_levels(_layers(t), _seeds(t))
     return impact.changeset_impact(reached, edges).groupBy("key", "level", "transformation").agg(F.count("*").alias("n_nodes"))
 
 
@@ -296,9 +376,9 @@ def reach_partition(spark, sf_dir):
 
 
 @_query(f"""with {RESOLUTION} select source, count(*) filter (status = 'catalog_backed') as n_catalog_backed, count(*) filter (status = 'parsed') as n_parsed, count(*) filter (status = 'partial_edges') as n_partial_edges, count(*) filter (status = 'opaque') as n_opaque,
- count(*) filter (status = 'parse_failed') as n_parse_failed, count(*) filter (status = 'no_column_info') as n_no_column_info, count(*) as n_total, case when count(*) filter (status not in ('catalog_backed', 'parsed')) = 0 then 'full' else 'partial' end as level from res group by 1""")
+ count(*) filter (status = 'parse_failed') as n_parse_failed, count(*) filter (status = 'no_column_info') as n_no_column_info, count(*) filter (lang = 'fr') as n_indeterminate_logic, count(*) as n_total, case when count(*) filter (status not in ('catalog_backed', 'parsed') or lang = 'fr') = 0 then 'full' else 'partial' end as level from res group by 1""")
 def confidence_block(spark, sf_dir):
-    return impact.confidence(_resolution(Tables(spark, sf_dir)), ["source"])
+    return impact.confidence(_resolution(Tables(spark, sf_dir)), ["source"], F.col("lang") == "fr")
 
 
 @_query(f"""with {RESOLUTION} select status, reason, n_models, row_number() over (partition by status order by n_models desc, reason) as rank from (select status, lang as reason, count(*) as n_models from res group by 1, 2)""")
@@ -347,11 +427,23 @@ def provable_breaks(spark, sf_dir):
     return verdict.provable_breaks(b, b, h, h, ["l_suppkey", "l_partkey"])
 
 
-@_query("""with f as (select o_custkey as custkey, o_orderstatus = 'P' and o_orderpriority = '1-URGENT' as is_break, o_totalprice < 200000 as excused, o_orderpriority = '2-HIGH' and o_orderstatus = 'O' as critical, o_totalprice < 150000 as overridden from orders)
- select custkey, case when bool_or(is_break and not excused) then 'block' when bool_or(is_break) or (bool_or(critical) and not bool_and(overridden or not critical)) then 'review' else 'safe' end as verdict, count(*) filter (is_break and not excused) as n_unexcused from f group by 1""")
+@_query("""with gone as (select distinct l_suppkey, l_partkey from lineitem where l_linestatus = 'O' except select distinct l_suppkey, l_partkey from lineitem where l_linestatus = 'F'),
+ t as (select l_orderkey as test_id, l_suppkey, l_partkey, case when l_linenumber % 2 = 1 then 'own' else 'referenced' end as side from lineitem where l_linestatus = 'O'),
+ x as (select * from t where (l_suppkey, l_partkey) in (select (l_suppkey, l_partkey) from gone) and test_id in (select l_orderkey from lineitem where l_linestatus = 'F'))
+ select test_id, side, l_suppkey, l_partkey from (select *, row_number() over (partition by test_id order by side, l_suppkey, l_partkey) as k from x) where k = 1""")
+def relationship_breaks(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    b, h = _sides(t)
+    tests = t.lineitem.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("test_id"), "l_suppkey", "l_partkey", "l_linenumber")
+    return verdict.provable_breaks(tests.where("l_linenumber % 2 = 1"), b, h, h, ["l_suppkey", "l_partkey"], tests.where("l_linenumber % 2 = 0"))
+
+
+@_query("""with f as (select o_custkey as custkey, o_orderstatus = 'P' and o_orderpriority = '1-URGENT' as is_break, o_totalprice < 200000 as excused, o_orderpriority = '2-HIGH' and o_orderstatus = 'O' as critical, o_totalprice < 150000 as overridden,
+  o_totalprice > 480000 as fl, o_totalprice between 470000 and 475000 as ex, o_totalprice between 460000 and 462000 as sh from orders)
+ select custkey, case when bool_or(is_break and not excused) then 'block' when bool_or(is_break) or (bool_or(critical or fl or ex) and not bool_and(overridden or not (critical or fl or ex))) or bool_or(sh and not overridden) then 'review' else 'safe' end as verdict, count(*) filter (is_break and not excused) as n_unexcused from f group by 1""")
 def verdict_rollup(spark, sf_dir):
     c, p, s, price = F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
-    facts = Tables(spark, sf_dir).orders.select(c.alias("custkey"), ((s == "P") & (p == "1-URGENT")).alias("is_break"), (price < 200000).alias("excused"), ((p == "2-HIGH") & (s == "O")).alias("critical"), (price < 150000).alias("overridden"))
+    facts = Tables(spark, sf_dir).orders.select(c.alias("custkey"), ((s == "P") & (p == "1-URGENT")).alias("is_break"), (price < 200000).alias("excused"), ((p == "2-HIGH") & (s == "O")).alias("critical"), (price < 150000).alias("overridden"), (price > 480000).alias("is_filter"), price.between(470000, 475000).alias("is_exposure"), price.between(460000, 462000).alias("is_shift"))
     return verdict.verdict(facts, ["custkey"])
 
 
@@ -559,13 +651,13 @@ def snapshot_staleness(spark, sf_dir):
 # ---- ingest
 
 
-@_query("""select d.doc_id, coalesce(l.quality, -1) as quality, 'model' as origin from documents d left join labels l on l.doc_id = d.doc_id
- union all select item_id, -1, 'source' from benchmark where item_id not in (select doc_id from documents)""")
+@_query("""with own as (select distinct doc_id as node from documents), src as (select distinct item_id as node from benchmark where item_id not in (select node from own)), k as (select distinct doc_id as node from labels)
+ select node, origin, node in (select node from k) as in_catalog from (select node, 'manifest' as origin from own union all select node, 'source' from src)""")
 def catalog_enrichment(spark, sf_dir):
+    from ripplegraph.sources.artifacts import merged_universe
+
     t = Tables(spark, sf_dir)
-    own = t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.lit("model").alias("origin"))
-    extra = t.benchmark.withColumnRenamed("item_id", "doc_id").join(t.documents, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("quality"), F.lit("source").alias("origin"))
-    return own.unionByName(extra)
+    return merged_universe(t.documents.select(F.col("doc_id").alias("node")), t.benchmark.select(F.col("item_id").alias("node")), t.labels.select(F.col("doc_id").alias("node")))
 
 
 @_query(r"""with o as (select l_orderkey as test, list_sort(list(distinct l_suppkey)) as deps, 'ref(''m' || min(l_suppkey) || ''')' as ref from lineitem group by 1)
@@ -577,6 +669,90 @@ def test_attribution(spark, sf_dir):
     return o.groupBy(F.when(sole(F.col("deps")).isNotNull(), "attributed").otherwise("ambiguous").alias("state")).agg(F.count("*").alias("n_tests"), F.count_distinct(ref_target(F.col("ref"))).alias("n_targets"))
 
 
+# ---- column lineage: models over the given tables, their edges joined with what the sources hold
+
+MODELS = {
+    "m_paid": "with x as (select * from orders) select o_orderkey, o_custkey as customer, o_totalprice * 2 as twice from x where o_orderstatus = 'F'",
+    "m_star": "select * except (twice) from m_paid",
+    "m_both": "select c_custkey as k from customer union all select s_suppkey from supplier",
+    "m_join": "select c.c_name, n.n_name as nation, sum(p.twice) as total from customer c join nation n on n.n_nationkey = c.c_nationkey join m_paid p on p.customer = c.c_custkey group by c.c_name, n.n_name",
+    "m_common": "select o_custkey from orders intersect select c_custkey from customer",
+    "m_idle": "select c_custkey from customer except select o_custkey from orders",
+    "m_lateral": "select o_totalprice * 2 as a, a + o_orderkey as b from orders",
+    "m_flat": "select o_orderkey, part from orders lateral view explode(split(o_orderpriority, '-')) as part",
+    "m_sub": "select s_name from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
+    "m_broken": "select no_such_column from orders",
+}
+_SIZES = "(" + " union all ".join(f"select '{x}' as source, count(*) as n from {x}" for x in ("orders", "customer", "supplier", "nation")) + ")"
+
+
+def _lineage(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ripplegraph.plans import lineage
+
+    return lineage.edges(t.spark, MODELS, {x: getattr(t, x).schema for x in ("orders", "customer", "supplier", "nation")})
+
+
+def _sized(t: Tables, edges: DataFrame) -> DataFrame:
+    """Adds the rows of each source that is a table."""
+    sizes = [getattr(t, x).agg(F.count("*").alias("n_rows")).select(F.lit(x).alias("source"), "n_rows") for x in ("orders", "customer", "supplier", "nation")]
+    both = sizes[0]
+    for x in sizes[1:]:
+        both = both.union(x)
+    return edges.join(both, "source", "left")
+
+
+def _listed(columns: str, rows: str) -> str:
+    return f"e({columns}) as (values " + ", ".join("(" + ", ".join(f"'{v}'" for v in r.split()) + ")" for r in rows.strip().splitlines()) + ")"
+
+
+@_query("with " + _listed("model, col, source, source_column, transformation", """
+m_paid o_orderkey orders o_orderkey direct
+m_paid customer orders o_custkey renamed
+m_paid twice orders o_totalprice derived
+m_star o_orderkey m_paid o_orderkey direct
+m_star customer m_paid customer direct
+m_both k customer c_custkey renamed
+m_both k supplier s_suppkey renamed
+m_join c_name customer c_name direct
+m_join nation nation n_name renamed
+m_join total m_paid twice derived
+m_common o_custkey orders o_custkey direct
+m_common o_custkey customer c_custkey renamed
+m_idle c_custkey customer c_custkey direct
+m_lateral a orders o_totalprice derived
+m_lateral b orders o_totalprice derived
+m_lateral b orders o_orderkey derived
+m_flat o_orderkey orders o_orderkey direct
+m_flat part orders o_orderpriority derived
+m_sub s_name supplier s_name direct
+""") + f" select model, col as \"column\", e.source, source_column, transformation, n as n_rows from e left join {_SIZES} s on s.source = e.source")
+def lineage_edges(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _sized(t, _lineage(t)[0].drop("branch"))
+
+
+@_query("with " + _listed("model, source, source_column", """
+m_paid orders o_orderstatus
+m_join customer c_nationkey
+m_join nation n_nationkey
+m_join m_paid customer
+m_join customer c_custkey
+m_idle orders o_custkey
+m_sub supplier s_nationkey
+m_sub nation n_nationkey
+m_sub nation n_regionkey
+""") + f" select model, e.source, source_column, n as n_rows from e left join {_SIZES} s on s.source = e.source")
+def lineage_predicates(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _sized(t, _lineage(t)[1].drop("condition"))
+
+
+@_query("select 'm_broken' as model, count(*) as n_rows from orders")
+def opaque_models(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _sized(t, _lineage(t)[2].select("model", F.lit("orders").alias("source"))).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

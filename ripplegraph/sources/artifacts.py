@@ -92,11 +92,17 @@ class Project:
 
     def universe(self) -> DataFrame:
         """node, origin, in_catalog: the manifest's nodes, and the catalog's sources that share no name with one."""
-        own = self.nodes().select(F.col("name").alias("node"), F.lit("manifest").alias("origin"))
-        known = self.columns().select("node").distinct().withColumn("in_catalog", F.lit(True))
-        sources = self.manifest.select(F.explode("sources").alias("id", "s")).select(F.lower(F.coalesce("s.identifier", "s.name")).alias("node"), F.lit("source").alias("origin")).distinct()
-        both = own.unionByName(sources.join(own.select("node"), "node", "left_anti"))
-        return both.join(known, "node", "left").withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))
+        own = self.nodes().select(F.col("name").alias("node"))
+        sources = self.manifest.select(F.explode("sources").alias("id", "s")).select(F.lower(F.coalesce("s.identifier", "s.name")).alias("node"))
+        return merged_universe(own, sources, self.columns().select("node"))
+
+
+def merged_universe(own: DataFrame, sources: DataFrame, cataloged: DataFrame) -> DataFrame:
+    """node, origin (manifest or source), in_catalog: a source that shares its name with a node is that node."""
+    others = sources.select("node").distinct().join(own.select("node"), "node", "left_anti").select("node", F.lit("source").alias("origin"))
+    known = cataloged.select("node").distinct().withColumn("in_catalog", F.lit(True))
+    both = own.select("node", F.lit("manifest").alias("origin")).unionByName(others)
+    return both.join(known, "node", "left").withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))
 
 
 def saved_changes(spark: SparkSession, path: str) -> DataFrame:

@@ -167,3 +167,60 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_relation_names_that_are_not_unique_name_nothing(spark):
     rel = spark.createDataFrame([(1, "D", "S", "T"), (2, "D", "S2", "t"), (3, '"d"', "s3", "u")], "relation_id int, database string, schema string, table string")
     assert {tuple(r) for r in bi.relation_index(rel).collect()} == {("d.s.t", 1), ("s.t", 1), ("d.s2.t", 2), ("s2.t", 2), ("d.s3.u", 3), ("s3.u", 3), ("u", 3)}
+
+
+def test_signatures_read_literals_and_comments(spark):
+    pairs = [
+        ("x = 'a  b'", "x = 'a b'", "meaning_changed"),
+        ("select a -- c\n, b from t", "select a -- c , b from t", "meaning_changed"),
+        ("select a /* c */ from t", "select  a\nfrom t", "equivalent"),
+        ("select 'it''s -- no comment' /* * */", "select 'it''s -- no comment'", "equivalent"),
+        ("select 'a''b'", "select 'a' 'b'", "meaning_changed"),
+        ('select "a  b"', 'select "a b"', "meaning_changed"),
+        ("a+b", "a + b", "equivalent"),
+        ("ab", "a b", "meaning_changed"),
+        ("select 'open", "select 'other", "indeterminate"),
+        ("select (a", "select a", "indeterminate"),
+        (None, "a", "indeterminate"),
+        ("-- only", "a", "indeterminate"),
+        (None, "", "equivalent"),
+        ("'" + "x y" * 20_000 + "'", "'" + "x y" * 20_000 + "' -- long", "equivalent"),
+    ]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = rows.select("i", diff.compare_expressions(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [p[2] for p in pairs]
+
+
+def test_unattributed_changes_are_indeterminate(spark):
+    models = spark.createDataFrame([("m", "a", "b"), ("n", "a", "a -- x"), ("o", "a", None), ("p", "a", "c")], "model string, base_sql string, head_sql string")
+    explained = spark.createDataFrame([("p", "x")], "model string, column string")
+    columns = spark.createDataFrame([("m", "u"), ("m", "v"), ("n", "w")], "model string, column string")
+    got = {(r.model, r.column, r.semantic) for r in diff.unattributed(models, explained, columns).collect()}
+    assert got == {("m", "u", "indeterminate"), ("m", "v", "indeterminate"), ("o", "*", "indeterminate")}
+
+
+def test_selector(spark):
+    assert graph.parse_selector("+a.b") == (True, "a.b", False) and graph.parse_selector("a+") == (False, "a", True) and graph.parse_selector("a") == (True, "a", True)
+    with pytest.raises(ValueError):
+        graph.parse_selector("+")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "b")], "src string, dst string")
+    assert {tuple(r) for r in graph.select(edges, "+b").collect()} == {("b", "self", 0), ("a", "upstream", 1), ("x", "upstream", 1), ("c", "upstream", 2)}
+
+
+def test_lineage_of_set_operations_leaves_no_views_behind(spark):
+    spark.createDataFrame([], "a long, b long").createOrReplaceTempView("t_left")
+    spark.createDataFrame([], "c long").createOrReplaceTempView("t_right")
+    e, p, _ = (x.collect() for x in lineage.edges(spark, {"t_i": "select a from t_left intersect select c from t_right", "t_x": "select a from t_left except select c from t_right"}))
+    assert {tuple(x)[:5] for x in e} == {("t_i", "a", "t_left", "a", "direct"), ("t_i", "a", "t_right", "c", "renamed"), ("t_x", "a", "t_left", "a", "direct")}
+    assert {(x.model, x.source, x.source_column) for x in p} == {("t_x", "t_right", "c")}
+    assert not spark.catalog.tableExists("t_i")
+
+
+def test_verdict_causes(spark):
+    schema = "k string, is_break boolean, excused boolean, critical boolean, overridden boolean, is_filter boolean, is_exposure boolean, is_shift boolean"
+    quiet = [False] * 7
+    rows = [("safe", *quiet), ("filter", *quiet[:4], True, False, False), ("both", False, False, True, True, False, False, False), ("both", *quiet[:4], False, True, False), ("waved", False, False, True, True, True, True, True), ("shift", *quiet[:6], True), ("demoted", True, True, *quiet[2:]), ("block", True, False, *quiet[2:])]
+    from ripplegraph.operators import verdict
+
+    got = {r.k: r.verdict for r in verdict.verdict(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert got == {"safe": "safe", "filter": "review", "both": "review", "waved": "safe", "shift": "review", "demoted": "review", "block": "block"}
