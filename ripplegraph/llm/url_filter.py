@@ -44,22 +44,30 @@ def by_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(known, "host", "left").withColumn("best", fits).withColumn("rule", F.col("best.rule")).withColumn("ruled", F.col("best.verdict")).drop("rules", "best")
 
 
-def _ranks(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank of every host: (host, rank). ``seeds`` has every host and its weight."""
+def _ranks(seeds: DataFrame, edges: DataFrame, tolerance: float, damping: float) -> DataFrame:
+    """Personalised PageRank of every host: (host, rank). ``seeds`` has every host and its weight.
+
+    Goes on, four rounds at a time, until the last of them has moved less than ``tolerance`` of all rank.
+    """
     total = seeds.agg(F.sum("weight")).first()[0]  # one number
     seeds = T.stash(seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("seed")))
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
     flow = T.stash(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")))
     rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
+    k = 0
+    while True:
+        k, before = k + 1, rank
         given = flow.join(rank, flow["src"] == rank["host"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         rank = seeds.join(given, seeds["host"] == given["dst"], "left").select("host", ((1 - damping) * F.col("seed") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3:
-            rank = T.stash(rank)
-    return rank
+        if k % 4 == 0:
+            moved = rank.select("host", F.col("rank").alias("now")).join(before, "host").select("host", F.col("now").alias("rank"), F.abs(F.col("now") - F.col("rank")).alias("moved"))
+            moved = T.stash(moved)
+            rank = moved.select("host", "rank")
+            if (moved.agg(F.sum("moved")).first()[0] or 0.0) <= tolerance:  # one number
+                return rank
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, damping: float = 0.85, lift: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, lift: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url, html)."""
     pages = host_and_path(pages.select("page_id", "url", "html"))
     ruled = T.stash(by_rule(pages.select("page_id", "host", "path"), rules))
@@ -70,9 +78,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, damping: flo
     hosts = T.stash(hosts)
     links = links.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst", "links")
     edges = T.stash(links.union(hosts.select("host", "host", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("links").alias("links")))
-    trust = _ranks(hosts.select("host", F.col("good").alias("weight")), edges, rounds, damping)
+    trust = _ranks(hosts.select("host", F.col("good").alias("weight")), edges, tolerance, damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = _ranks(hosts.select("host", F.col("bad").alias("weight")), back, rounds, damping)
+    distrust = _ranks(hosts.select("host", F.col("bad").alias("weight")), back, tolerance, damping)
     share = F.col("urls") / F.lit(float(hosts.agg(F.sum("urls")).first()[0] or 1))  # one number
     verdict = F.when(F.col("distrust") - F.col("trust") > lift * share, "block").otherwise("allow")
     judged = hosts.select("host", "urls").join(trust.withColumnRenamed("rank", "trust"), "host").join(distrust.withColumnRenamed("rank", "distrust"), "host").select("host", verdict.alias("own"))

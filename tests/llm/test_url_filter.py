@@ -4,7 +4,7 @@ from ripplegraph.llm import url_filter as U
 from ripplegraph.llm.queries import url_rules
 
 
-def brute(pages, rules, rounds=8, damping=0.85, lift=1.0):
+def brute(pages, rules, rounds=200, damping=0.85, lift=1.0):
     rows, links = [], defaultdict(int)
     for p, url, html in pages:
         u = url or ""
@@ -64,3 +64,11 @@ def test_verdicts_match_brute_force(spark):
     assert got == brute(PAGES, rules)
     assert all(r[4] == "allow" for r in got if r[0] in (7, 8))
     assert U.judge_urls(pages.limit(0), url_rules(spark)).collect() == []
+
+
+def test_ranks_reach_the_end_of_a_long_chain(spark):
+    pages = [(i, f"http://h{i:02}.example/", f'<a href="http://h{i + 1:02}.example/">') for i in range(14)] + [(99, "http://bad.net/", None), (98, "http://h14.example/", '<a href="http://bad.net/">')]
+    rules = [tuple(r) for r in url_rules(spark).collect()]
+    got = sorted(map(tuple, U.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), url_rules(spark), lift=0.0).collect()), key=str)
+    assert got == brute(pages, rules, lift=0.0)
+    assert {r[4] for r in got} == {"block"}  # distrust flows back over all links of the chain
