@@ -86,16 +86,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def _bounded(rows: list, most: int) -> list:
-    out, size = [], 0
-    for r in rows:
-        size += len(r.text.encode("utf-8", "surrogatepass"))
-        if out and size > most:
-            break
-        out.append(r)
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_bytes: int = 6 << 20) -> Model | float:
     """The model, or the one score of all texts if there are not labels of both kinds."""
     labels = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -103,8 +93,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_bytes: in
     for q in (0, 1):
         # at most ``sample`` ids, so the join is a broadcast of a known size
         ids = labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows = T.text_frame(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
-        found[q] = _bounded(rows.orderBy("h", "doc_id").limit(sample).select("h", "text").collect(), sample_bytes)
+        rows = T.text_frame(docs, T.text_hash().alias("h")).join(F.broadcast(ids), "doc_id").withColumn("size", F.octet_length("text"))
+        # sizes first, so that no more than ``sample_bytes`` of text ever travels; a text of over a sixteenth of that is no sample
+        sizes = rows.where(F.col("size") <= sample_bytes // 16).groupBy("doc_id").agg(F.min(F.struct("h", "size")).alias("x")).select("doc_id", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+        until = int(np.searchsorted(np.cumsum([r.size for r in sizes]), sample_bytes, side="right"))
+        chosen = {(r.doc_id, r.h): k for k, r in enumerate(sizes[:until])}
+        texts = {}
+        if chosen:
+            keys = docs.sparkSession.createDataFrame(list(chosen), "doc_id long, h long")
+            texts = {chosen[r.doc_id, r.h]: r for r in rows.join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text").collect()}
+        found[q] = [texts[k] for k in sorted(texts)]
     n = {q: len(r) for q, r in found.items()}
     if not n[0] or not n[1]:
         return n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
