@@ -7,7 +7,9 @@ diagonal form an alignment.  An alignment counts if it covers at least ``cover``
 (and its literal words say something: at least ``literal`` of them), and if its slots are consistent: one
 value in the item always stands for one value in the document.  So a copy is caught, and a question whose
 numbers, units or names were exchanged throughout is caught, while a text that only follows the same pattern
-of placeholders with values at odds is not.
+of placeholders with values at odds is not.  An item that is there word by word counts with fewer literal words as well,
+if it has ``VERBATIM`` words.  An item's first word is read both as a name and as a plain word, as what stands before it
+decides that in a document.
 
 Names are capitalised words inside a sentence; a sentence's first word is literal, as its capital says nothing.
 
@@ -32,6 +34,8 @@ from ripplegraph.llm import textkit as T
 
 #: Windows that are broadcast; beyond that they are joined by a shuffle. 8 bytes each.
 BROADCAST_WINDOWS = 1 << 20
+#: Words of an item that counts when it is there word by word, however few of them are literal.
+VERBATIM = 3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*%?")
@@ -122,6 +126,18 @@ def matches(doc: str, item: str, window: int, cover: int, literal: int) -> tuple
     ik, iw = canonical(item)
     if not ik:
         return None
+    readings = [ik, ["<p>", *ik[1:]]] if _named(item) else [ik]
+    found = [m for m in (_aligned(dk, dw, x, iw, window, cover, literal) for x in readings) if m]
+    return max(found, key=lambda m: (m[0], -m[1]), default=None)
+
+
+def _named(item: str) -> bool:
+    """Whether the item's first word would be a name inside a sentence."""
+    core = (_WORD.findall(item) or [""])[0].strip(_EDGE)
+    return core[:1].isupper() and core[1:].islower()
+
+
+def _aligned(dk: list[str], dw: list[str], ik: list[str], iw: list[str], window: int, cover: int, literal: int) -> tuple[int, int, int, int] | None:
     size = min(window, len(ik))
     at = defaultdict(list)
     for i in range(len(ik) - size + 1):
@@ -133,7 +149,8 @@ def matches(doc: str, item: str, window: int, cover: int, literal: int) -> tuple
     best = None
     for shift, places in lines.items():
         p = sorted(places)
-        if 100 * len(p) < cover * len(ik) or sum(ik[i][0] != "<" for i in p) < literal:
+        whole = len(p) == len(ik) >= VERBATIM and all(iw[i] == dw[i + shift] for i in p)
+        if 100 * len(p) < cover * len(ik) or (sum(ik[i][0] != "<" for i in p) < literal and not whole):
             continue
         if not consistent([iw[i] for i in p], [ik[i] for i in p], [dw[i + shift] for i in p]):
             continue
@@ -156,7 +173,15 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
     def item_rows(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             ids = np.array(b.column(0).fill_null(-1))
-            hashes, count = templates(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            hashes, count = templates(texts)
+            # the other reading of a first word, as items of their own
+            named = np.array([_named(t) for t in texts], bool)
+            first = np.cumsum(count) - count
+            other = hashes.copy()
+            other[first[named]] = _P
+            again = np.repeat(named, count)
+            hashes, count, ids = np.concatenate([hashes, other[again]]), np.concatenate([count, count[named]]), np.concatenate([ids, ids[named]])
             for size in np.unique(np.minimum(count[count > 0], window)):  # a short item is one window of its own size
                 doc, key = windows(hashes, count, int(size))
                 own = np.minimum(count[doc], window) == size

@@ -57,3 +57,10 @@ def test_a_dirty_row_without_doc_id_takes_no_clean_one_along(spark):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(map(str, (r.text for r in D.decontaminate(docs, items).collect()))) == ["None", "clean", "quite another text"]
     assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()] == [(None, 1)] * 2
+
+
+def test_short_items_word_by_word_and_first_words_inside_a_sentence(spark):
+    items = spark.createDataFrame([(1, "What is 12 * 7 ?"), (2, "Who wrote Hamlet?"), (3, "Then Alice gave all of her seven old books away"), (4, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "He asks: What is 12 * 7 ? Nobody knows"), (2, "What is 13 * 7 ?"), (3, "in question 12 Who wrote Hamlet?"), (4, "Who wrote Macbeth?"), (5, "and so on Then Alice gave all of her seven old books away again"), (6, "one two three")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(1, 1), (3, 2), (5, 3)}
+    assert {r.doc_id for r in D.decontaminate(docs, items).collect()} == {2, 4, 6}
