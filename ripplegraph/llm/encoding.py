@@ -22,7 +22,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: A space and letters that no normal form changes: one word to a tokenizer.
 _SIMPLE = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Pieces held by a worker, and the longest that is held.
-_HELD, _LONG = 400_000, 60
+_HELD, _LONG = 800_000, 60
 #: Words that are encoded as one text.
 _JOINED = 2000
 _MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes(range(65, 91)) + bytes(range(97, 123))))
