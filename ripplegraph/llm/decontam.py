@@ -68,8 +68,8 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
 #: Words held by a worker.
 _HELD = 500_000
 _N, _U, _P = (np.uint64(xxhash.xxh3_64_intdigest(k)) for k in ("<n>", "<u>", "<p>"))
-_known: dict[str, int] = {}
-_facts: list[tuple[int, bool, bool, bool, bool]] = []  # literal's hash; number, unit, capitalised, ends a sentence
+#: The name under which it holds them: number of each word, and facts by number (literal's hash; number, unit, capitalised, ends a sentence).
+_NAME = "words"
 
 
 def _fact(w: str) -> tuple[int, bool, bool, bool, bool]:
@@ -81,18 +81,19 @@ def _fact(w: str) -> tuple[int, bool, bool, bool, bool]:
 def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each canonical word of all texts in a row, and how many words each text has."""
     words = [_WORD.findall(t) for t in texts]
-    if len(_known) > _HELD:
-        _known.clear()
-        _facts.clear()
-    for w in {w for ws in words for w in ws} - _known.keys():
-        _known[w] = len(_facts)
-        _facts.append(_fact(w))
+    known, all_facts = T.held(_NAME, lambda: ({}, []))
+    if len(known) > _HELD:
+        known.clear()
+        all_facts.clear()
+    for w in {w for ws in words for w in ws} - known.keys():
+        known[w] = len(all_facts)
+        all_facts.append(_fact(w))
     count = np.array([len(ws) for ws in words], np.int64)
-    at = np.fromiter((_known[w] for ws in words for w in ws), np.int64, int(count.sum()))
+    at = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(count.sum()))
     if not len(at):
         return np.zeros(0, np.uint64), count
     used, at = np.unique(at, return_inverse=True)
-    facts = [_facts[i] for i in used]
+    facts = [all_facts[i] for i in used]
     literal = np.array([f[0] for f in facts], np.uint64)[at]
     number, unit, capital, ends = (np.array([f[k] for f in facts])[at] for k in (1, 2, 3, 4))
     first = np.cumsum(count)[:-1]
@@ -193,7 +194,7 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
     known = spark.sparkContext.broadcast(np.sort(keys.select("key").distinct().toPandas()["key"].to_numpy(np.int64))) if few else None
 
     def doc_rows(batches: Iterator[pa.RecordBatch]):
-        for b in T.pieces(batches):
+        for b in T.pieces(batches, holds=_NAME):
             hashes, count = templates(b.column(1).to_pylist())
             for size in sizes:
                 doc, key = windows(hashes, count, size)

@@ -27,8 +27,6 @@ _HELD, _LONG = 800_000, 60
 _JOINED = 2000
 _MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes(range(65, 91)) + bytes(range(97, 123))))
 
-_encoders: dict[str, Encoder] = {}
-
 
 class Encoder:
     """Encodes columns of texts as ids of ``dtype``."""
@@ -186,7 +184,5 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's own encoder for a vocabulary file, held under its path."""
+    return T.held(path, lambda: Encoder(path))

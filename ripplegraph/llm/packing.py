@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]):
         encode = encoder(tokenizer)
         item = TaskContext.get().partitionId() << 40
-        for b in T.pieces(batches):
+        for b in T.pieces(batches, holds=tokenizer):
             flat, at = encode(b.column(1), end_id)
             n = np.diff(at)
             many = -(-n // limit)  # pieces of each document; the first may be shorter

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +176,24 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(doc, np.arange(len(words.count) + 1)), found
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Split batches so that each holds a few MB of text, or one longer text."""
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker holds under ``name`` from task to task, made if it isn't there."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES, holds: str = "") -> Iterator[pa.RecordBatch]:
+    """Split batches so that each holds a few MB of text, or one longer text.
+
+    What the worker holds under another name than ``holds`` goes, so that no operator pays for the caches of others.
+    """
+    for name in [n for n in _held if n != holds]:
+        del _held[name]
+    pa.default_memory_pool().release_unused()
     for b in batches:
         if not b.num_rows:
             continue

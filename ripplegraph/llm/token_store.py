@@ -155,7 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
             row = [part, shard, min(known, default=None), max(known, default=None), len(keys), size, pack(keys, ids, width)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "shard", "low", "high", "docs", "tokens", "data"])
 
-        for b in T.pieces(batches):
+        for b in T.pieces(batches, holds=tokenizer):
             flat, at = encode(b.column(1), end_id)
             for k, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:]):
                 if len(keys) >= SHARD_DOCS or size * width >= SHARD_BYTES:
