@@ -3,11 +3,16 @@
 Of each text's suffixes (one a word), those at minimiser positions are kept: where the hash of the next four
 words is the least of ``span`` neighbouring positions.  The choice depends on content only, so two copies of
 a passage keep the same places, and a passage of ``min_words`` has one among its first ``span`` positions,
-with ``min_words - span + 1`` words to its right.  Suffixes are sorted by those words and neighbours
-compared; one whose neighbours are all from its own document is dropped.  The rest is extended left and
-right: a passage of ``min_words`` over such a place starts at most ``span - 1`` words before it, so the
-windows of ``min_words`` words that start there are compared across documents, exactly, and windows that
-overlap or touch make up a passage.
+with ``min_words - span + 1`` words to its right.
+
+The kept suffixes are range-sorted by a 64-bit hash of those words, then by document, and neighbours are
+compared: one whose neighbours with the same words are all from its own document is dropped.  The others are
+extended: a passage over such a place starts at most ``span - 1`` words before it, so the suffixes that start
+there are range-sorted by two 64-bit hashes, of the first and the second half of their ``min_words`` words,
+and again compared with their neighbours; those that follow each other in a text make up a passage, as far
+left and right as they go.  The order is one of hashed blocks of words, not of letters, and words count as
+equal by 128 bits of hash.  A sort takes the document as its last key, so a passage that many documents share
+spreads over ranges.
 
 Words are read as they stand (case matters), white space between them does not.
 
@@ -74,6 +79,70 @@ def _spots(hashes: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, n
     return at, right[at]
 
 
+def _flush(cols: list[np.ndarray], n_keys: int, opened: list, last: bool, first: bool, run_rows: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Rows of sorted columns that have a neighbour of another document, their first documents (with a mask of
+    those that are still open), and the rows of the last key, which later rows may continue."""
+    n = len(cols[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols[:n_keys]], axis=0)
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, n))
+    head = cols[n_keys][at]
+    shared = head != cols[n_keys][at + size - 1]
+    wait = np.zeros(len(at), bool)
+    wait[0] = first or opened == [c[0] for c in cols[:n_keys]]
+    kept = n
+    if last or size[-1] > run_rows or (wait[-1] and len(at) == 1):
+        wait[-1] = True
+        opened[:] = [c[-1] for c in cols[:n_keys]]
+    else:
+        shared[-1] = False
+        kept = at[-1]
+    keep = np.repeat(shared | wait, size) & (np.arange(n) < kept)
+    rows = [c[keep] for c in cols] + [np.repeat(head, size)[keep]]
+    return rows, np.repeat(wait, size)[keep], [c[kept:] for c in cols]
+
+
+def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1 << 15, run_rows: int = 1 << 16) -> DataFrame:
+    """The rows that have the keys of a row of another doc_id, and first_doc_id, the smallest doc_id with these keys.
+
+    Rows are range-sorted by keys, doc_id and place, and each range is read once, ``sort_rows`` at a time.  Keys at
+    the edges of a range, and those of more than ``run_rows`` rows in it, are open when the range has been read;
+    what is known of them is brought together by an aggregate of these few keys.
+    """
+    names = [*keys, "doc_id", place]
+    types = dict(rows.dtypes)
+
+    def compared(batches: Iterator[pa.RecordBatch]):
+        opened: list = []
+        held: list[list[np.ndarray]] = []
+        count, first = 0, True
+
+        def emit(last: bool):
+            nonlocal held, count, first
+            cols = [np.concatenate(c) for c in zip(*held)]
+            out, wait, rest = _flush(cols, len(keys), opened, last, first, run_rows)
+            first, held, count = False, [rest] if len(rest[0]) else [], 0
+            arrays = [pa.array(c) for c in out[:-1]] + [pa.array(out[-1], mask=wait)]
+            return pa.RecordBatch.from_arrays(arrays, [*names, "first_doc_id"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+                count += b.num_rows
+            if count >= sort_rows:
+                yield emit(False)
+        if held:
+            yield emit(True)
+
+    schema = ", ".join(f"{c} {types[c]}" for c in names) + ", first_doc_id long"
+    sorted_ = rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
+    found = T.stash(sorted_.mapInArrow(compared, schema))
+    open_ = found.where("first_doc_id is null").drop("first_doc_id")
+    heads = open_.groupBy(*keys).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("z")).where("first_doc_id <> z").drop("z")
+    return found.where("first_doc_id is not null").unionByName(open_.join(heads, keys))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, start, n_words, first_doc_id: the passages of at least ``min_words`` words that another document holds too.
 
@@ -91,30 +160,32 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             cat = lambda k, kind: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(cat(1, np.int64).astype(np.int32)), pa.array(cat(2, np.uint64).view(np.int64))], ["doc_id", "at", "right"])
 
-    spots = text.mapInArrow(suffixes, "doc_id long, at int, right long")
-    alike = spots.groupBy("right").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("right")
-    spots = T.stash(spots.join(alike, "right", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")))
+    spots = T.stash(text.mapInArrow(suffixes, "doc_id long, at int, right long"))
+    spots = T.stash(neighbours(spots, ["right"], "at").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")))
+    half = min_words // 2
 
     def extended(batches: Iterator[pa.RecordBatch]):
         for b in T.pieces(batches):
             w = T.Words(b.column(1), lower=False)
-            ids, starts, keys = [], [], []
+            ids, starts, heads, tails = [], [], [], []
             for i, at in enumerate(b.column(2).to_pylist()):
-                runs = run_hashes(w.hash[w.first[i] : w.first[i] + w.count[i]], min_words)
-                mark = np.zeros(len(runs) + 1, np.int64)
+                h = w.hash[w.first[i] : w.first[i] + w.count[i]]
+                n = max(len(h) - min_words + 1, 0)
+                mark = np.zeros(n + 1, np.int64)
                 a = np.array(at, np.int64)
-                np.add.at(mark, np.minimum(np.maximum(a - span + 1, 0), len(runs)), 1)
-                np.add.at(mark, np.minimum(a + 1, len(runs)), -1)
+                np.add.at(mark, np.minimum(np.maximum(a - span + 1, 0), n), 1)
+                np.add.at(mark, np.minimum(a + 1, n), -1)
                 s = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
                 ids.append(np.full(len(s), i))
                 starts.append(s.astype(np.int32))
-                keys.append(runs[s].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids).astype(np.int64))), pa.array(np.concatenate(starts)), pa.array(np.concatenate(keys))], ["doc_id", "start", "run"])
+                heads.append(run_hashes(h, half)[s].view(np.int64))
+                tails.append(run_hashes(h, min_words - half)[s + half].view(np.int64))
+            cols = [b.column(0).take(pa.array(np.concatenate(ids).astype(np.int64))), *(pa.array(np.concatenate(c)) for c in (starts, heads, tails))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "head", "tail"])
 
     some = T.thin(text, spots, "doc_id").join(spots, "doc_id").select("doc_id", "text", "at")
-    runs = T.stash(some.mapInArrow(extended, "doc_id long, start int, run long"))
-    shared = runs.groupBy("run").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("z")).where("first_doc_id <> z").drop("z")
-    found = runs.join(shared, "run").select("doc_id", "start", "first_doc_id")
+    runs = T.stash(some.mapInArrow(extended, "doc_id long, start int, head long, tail long"))
+    found = neighbours(runs, ["head", "tail"], "start").select("doc_id", "start", "first_doc_id")
     # windows that overlap or touch are one passage
     order = Window.partitionBy("doc_id").orderBy("start")
     step = F.col("start") - F.lag("start").over(order)

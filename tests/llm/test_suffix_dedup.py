@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from ripplegraph.llm.suffix_dedup import repeated_passages
+from ripplegraph.llm.suffix_dedup import neighbours, repeated_passages
 
 
 def brute(rows, n):
@@ -46,3 +46,17 @@ def test_passages_match_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "1 as at", "2 as run")
     assert {tuple(x) for x in repeated_passages(docs, 50).collect()} == brute(rows, 50)
     assert repeated_passages(docs.limit(0), 50).collect() == []
+
+
+def test_neighbours_match_brute_force_at_all_edges(spark):
+    r = random.Random(4)
+    for hot, sort_rows, run_rows in [(0, 1, 1), (0, 7, 3), (200, 5, 20), (200, 1000, 1000), (400, 50, 10)]:
+        rows = {(r.randrange(60), r.randrange(3), r.randrange(4), at) for at in range(400)} | {(7, 1, r.randrange(3), at) for at in range(hot)}
+        rows |= {(99, 0, 5, at) for at in range(hot)}
+        docs = defaultdict(set)
+        for a, b, d, _ in rows:
+            docs[a, b].add(d)
+        want = {(a, b, d, at, min(docs[a, b])) for a, b, d, at in rows if len(docs[a, b]) > 1}
+        found = neighbours(spark.createDataFrame(list(rows), "a long, b long, doc_id long, at int"), ["a", "b"], "at", sort_rows, run_rows)
+        got = [tuple(x) for x in found.select("a", "b", "doc_id", "at", "first_doc_id").collect()]
+        assert set(got) == want and len(got) == len(want)
