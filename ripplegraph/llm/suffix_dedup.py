@@ -79,68 +79,89 @@ def _spots(hashes: np.ndarray, span: int, min_words: int) -> tuple[np.ndarray, n
     return at, right[at]
 
 
-def _flush(cols: list[np.ndarray], n_keys: int, opened: list, last: bool, first: bool, run_rows: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Rows of sorted columns that have a neighbour of another document, their first documents (with a mask of
-    those that are still open), and the rows of the last key, which later rows may continue."""
-    n = len(cols[0])
-    new = np.ones(n, bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols[:n_keys]], axis=0)
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
-    head = cols[n_keys][at]
-    shared = head != cols[n_keys][at + size - 1]
-    wait = np.zeros(len(at), bool)
-    wait[0] = first or opened == [c[0] for c in cols[:n_keys]]
-    kept = n
-    if last or size[-1] > run_rows or (wait[-1] and len(at) == 1):
-        wait[-1] = True
-        opened[:] = [c[-1] for c in cols[:n_keys]]
-    else:
-        shared[-1] = False
-        kept = at[-1]
-    keep = np.repeat(shared | wait, size) & (np.arange(n) < kept)
-    rows = [c[keep] for c in cols] + [np.repeat(head, size)[keep]]
-    return rows, np.repeat(wait, size)[keep], [c[kept:] for c in cols]
-
-
-def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1 << 15, run_rows: int = 1 << 16) -> DataFrame:
+class _Range:
+    """Compares the rows of one range, which come sorted by keys, doc_id and place, with their neighbours.
+
+    The range's first key may have begun before, so its rows are open: no first document is given.  Of any other
+    key the first document is known.  Rows of one document are held until another document's row of their key
+    comes, so no more is held than one document has.
+    """
+
+    def __init__(self, n_keys: int):
+        self.n_keys = n_keys
+        self.key: list | None = None  # of the last row given out
+        self.head: int | None = None  # its first document, none if open
+
+    def take(self, cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Rows that are shared or open, their first documents, which of them are open, and rows to come again."""
+        n, keys, doc = len(cols[0]), cols[: self.n_keys], cols[self.n_keys]
+        new = np.ones(n, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in keys], axis=0)
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, n))
+        head, tail = doc[at].copy(), doc[at + size - 1]
+        wait = np.zeros(len(at), bool)
+        if self.key is None:
+            wait[0] = True
+        elif self.key == [c[0] for c in keys]:
+            wait[0] = self.head is None
+            head[0] = head[0] if wait[0] else self.head
+        shared = head != tail
+        if self.key is not None and self.head is not None and self.key == [c[0] for c in keys]:
+            shared[0] = True
+        single = not shared[-1] and not wait[-1]
+        if single and last:
+            wait[-1] = True
+        kept = at[-1] if single and not last else n
+        if kept:
+            run = len(at) - 1 if kept == n else len(at) - 2
+            self.key = [c[at[run]] for c in keys]
+            self.head = None if wait[run] else int(head[run])
+        keep = np.repeat(shared | wait, size) & (np.arange(n) < kept)
+        same = np.zeros(n, bool)
+        same[1:] = np.all([c[1:] == c[:-1] for c in cols], axis=0)
+        keep &= ~same
+        out, first, open_ = [c[keep] for c in cols], np.repeat(head, size)[keep], np.repeat(wait, size)[keep]
+        if last and not wait[-1]:
+            # the next range's first rows may go on with this key
+            out = [np.append(c, np.array([v], c.dtype)) for c, v in zip(out, [*self.key, self.head, -1])]
+            first, open_ = np.append(first, 0), np.append(open_, True)
+        return out, first, open_, [c[kept:] for c in cols]
+
+
+def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1 << 15) -> DataFrame:
     """The rows that have the keys of a row of another doc_id, and first_doc_id, the smallest doc_id with these keys.
 
-    Rows are range-sorted by keys, doc_id and place, and each range is read once, ``sort_rows`` at a time.  Keys at
-    the edges of a range, and those of more than ``run_rows`` rows in it, are open when the range has been read;
-    what is known of them is brought together by an aggregate of these few keys.
+    Rows are range-sorted by keys, doc_id and place (0 or more), and each range is read once, ``sort_rows`` at a
+    time.  What is not known of a range's first and last key is brought together by an aggregate: two keys a range
+    at most, which is the bound of the broadcast.  Rows that repeat another one wholly may be given once.
     """
     names = [*keys, "doc_id", place]
     types = dict(rows.dtypes)
 
     def compared(batches: Iterator[pa.RecordBatch]):
-        opened: list = []
-        held: list[list[np.ndarray]] = []
-        count, first = 0, True
-
-        def emit(last: bool):
-            nonlocal held, count, first
-            cols = [np.concatenate(c) for c in zip(*held)]
-            out, wait, rest = _flush(cols, len(keys), opened, last, first, run_rows)
-            first, held, count = False, [rest] if len(rest[0]) else [], 0
-            arrays = [pa.array(c) for c in out[:-1]] + [pa.array(out[-1], mask=wait)]
-            return pa.RecordBatch.from_arrays(arrays, [*names, "first_doc_id"])
+        range_, held, count = _Range(len(keys)), [], 0
+
+        def given(last: bool):
+            nonlocal held, count
+            out, first, open_, rest = range_.take([np.concatenate(c) for c in zip(*held)], last)
+            held, count = [rest] if len(rest[0]) else [], 0
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in out), pa.array(first, mask=open_)], [*names, "first_doc_id"])
 
         for b in batches:
             if b.num_rows:
                 held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
                 count += b.num_rows
             if count >= sort_rows:
-                yield emit(False)
+                yield given(False)
         if held:
-            yield emit(True)
+            yield given(True)
 
     schema = ", ".join(f"{c} {types[c]}" for c in names) + ", first_doc_id long"
-    sorted_ = rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names)
-    found = T.stash(sorted_.mapInArrow(compared, schema))
-    open_ = found.where("first_doc_id is null").drop("first_doc_id")
-    heads = open_.groupBy(*keys).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("z")).where("first_doc_id <> z").drop("z")
-    return found.where("first_doc_id is not null").unionByName(open_.join(heads, keys))
+    found = T.stash(rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(compared, schema))
+    heads = found.where("first_doc_id is null").groupBy(*keys).agg(F.min("doc_id").alias("_head"), F.max("doc_id").alias("_last"))
+    both = found.where(F.col(place) >= 0).join(F.broadcast(heads.where("_head <> _last").drop("_last")), keys, "left")
+    return both.select(*names, F.coalesce("first_doc_id", "_head").alias("first_doc_id")).where("first_doc_id is not null")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
