@@ -121,23 +121,17 @@ class _Range:
         same = np.zeros(n, bool)
         same[1:] = np.all([c[1:] == c[:-1] for c in cols], axis=0)
         keep &= ~same
-        out, first, open_ = [c[keep] for c in cols], np.repeat(head, size)[keep], np.repeat(wait, size)[keep]
-        if last and not wait[-1]:
-            # the next range's first rows may go on with this key
-            out = [np.append(c, np.array([v], c.dtype)) for c, v in zip(out, [*self.key, self.head, -1])]
-            first, open_ = np.append(first, 0), np.append(open_, True)
-        return out, first, open_, [c[kept:] for c in cols]
+        return [c[keep] for c in cols], np.repeat(head, size)[keep], np.repeat(wait, size)[keep], [c[kept:] for c in cols]
 
 
 def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1 << 15) -> DataFrame:
     """The rows that have the keys of a row of another doc_id, and first_doc_id, the smallest doc_id with these keys.
 
-    Rows are range-sorted by keys, doc_id and place (0 or more), and each range is read once, ``sort_rows`` at a
+    Rows are range-sorted by keys and doc_id (long) and place (int, 0 or more), and each range is read once, ``sort_rows`` at a
     time.  What is not known of a range's first and last key is brought together by an aggregate: two keys a range
     at most, which is the bound of the broadcast.  Rows that repeat another one wholly may be given once.
     """
     names = [*keys, "doc_id", place]
-    types = dict(rows.dtypes)
 
     def compared(batches: Iterator[pa.RecordBatch]):
         range_, held, count = _Range(len(keys)), [], 0
@@ -146,7 +140,11 @@ def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1
             nonlocal held, count
             out, first, open_, rest = range_.take([np.concatenate(c) for c in zip(*held)], last)
             held, count = [rest] if len(rest[0]) else [], 0
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in out), pa.array(first, mask=open_)], [*names, "first_doc_id"])
+            return batch(out, first, open_)
+
+        def batch(cols: list[np.ndarray], first: np.ndarray, open_: np.ndarray):
+            arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * (len(keys) + 1) + [pa.int32()])]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(first, pa.int64(), mask=open_)], [*names, "first_doc_id"])
 
         for b in batches:
             if b.num_rows:
@@ -156,8 +154,10 @@ def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1
                 yield given(False)
         if held:
             yield given(True)
+        if range_.head is not None:  # the next range's first rows may go on with this key
+            yield batch([np.array([v]) for v in (*range_.key, range_.head, -1)], np.zeros(1, np.int64), np.ones(1, bool))
 
-    schema = ", ".join(f"{c} {types[c]}" for c in names) + ", first_doc_id long"
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + f", {place} int, first_doc_id long"
     found = T.stash(rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(compared, schema))
     heads = found.where("first_doc_id is null").groupBy(*keys).agg(F.min("doc_id").alias("_head"), F.max("doc_id").alias("_last"))
     both = found.where(F.col(place) >= 0).join(F.broadcast(heads.where("_head <> _last").drop("_last")), keys, "left")
