@@ -125,7 +125,7 @@ class _Range:
 
 
 def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1 << 15) -> DataFrame:
-    """The rows that have the keys of a row of another doc_id, and first_doc_id, the smallest doc_id with these keys.
+    """doc_id and place of the rows that have the keys of a row of another doc_id, and first_doc_id, the smallest doc_id with these keys.
 
     Rows are range-sorted by keys and doc_id (long) and place (int, 0 or more), and each range is read once, ``sort_rows`` at a
     time.  What is not known of a range's first and last key is brought together by an aggregate: two keys a range
@@ -143,8 +143,10 @@ def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1
             return batch(out, first, open_)
 
         def batch(cols: list[np.ndarray], first: np.ndarray, open_: np.ndarray):
-            arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * (len(keys) + 1) + [pa.int32()])]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(first, pa.int64(), mask=open_)], [*names, "first_doc_id"])
+            # keys are only written where they are still needed
+            arrays = [pa.array(c, pa.int64(), mask=~open_) for c in cols[:-2]]
+            arrays += [pa.array(cols[-2], pa.int64()), pa.array(cols[-1], pa.int32()), pa.array(first, pa.int64(), mask=open_)]
+            return pa.RecordBatch.from_arrays(arrays, [*names, "first_doc_id"])
 
         for b in batches:
             if b.num_rows:
@@ -161,7 +163,7 @@ def neighbours(rows: DataFrame, keys: list[str], place: str, sort_rows: int = 1
     found = T.stash(rows.select(*names).repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(compared, schema))
     heads = found.where("first_doc_id is null").groupBy(*keys).agg(F.min("doc_id").alias("_head"), F.max("doc_id").alias("_last"))
     both = found.where(F.col(place) >= 0).join(F.broadcast(heads.where("_head <> _last").drop("_last")), keys, "left")
-    return both.select(*names, F.coalesce("first_doc_id", "_head").alias("first_doc_id")).where("first_doc_id is not null")
+    return both.select("doc_id", place, F.coalesce("first_doc_id", "_head").alias("first_doc_id")).where("first_doc_id is not null")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -206,7 +208,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     some = T.thin(text, spots, "doc_id").join(spots, "doc_id").select("doc_id", "text", "at")
     runs = T.stash(some.mapInArrow(extended, "doc_id long, start int, head long, tail long"))
-    found = neighbours(runs, ["head", "tail"], "start").select("doc_id", "start", "first_doc_id")
+    found = neighbours(runs, ["head", "tail"], "start")
     # windows that overlap or touch are one passage
     order = Window.partitionBy("doc_id").orderBy("start")
     step = F.col("start") - F.lag("start").over(order)

@@ -59,12 +59,12 @@ def test_neighbours_match_brute_force_at_all_edges(spark):
 def _neighbours_at_all_edges(spark):
     r = random.Random(4)
     for hot, sort_rows in [(0, 1), (0, 7), (200, 5), (200, 1000), (400, 50)]:
-        rows = {(r.randrange(60), r.randrange(3), r.randrange(4), at) for at in range(400)} | {(7, 1, r.randrange(30), at) for at in range(hot)}
-        rows |= {(99, 0, 5, at) for at in range(hot)}
+        rows = {(r.randrange(60), r.randrange(3), r.randrange(4), at) for at in range(400)} | {(7, 1, r.randrange(30), 1000 + at) for at in range(hot)}
+        rows |= {(99, 0, 5, 2000 + at) for at in range(hot)}
         docs = defaultdict(set)
         for a, b, d, _ in rows:
             docs[a, b].add(d)
-        want = {(a, b, d, at, min(docs[a, b])) for a, b, d, at in rows if len(docs[a, b]) > 1}
+        want = {(d, at, min(docs[a, b])) for a, b, d, at in rows if len(docs[a, b]) > 1}
         found = neighbours(spark.createDataFrame(list(rows), "a long, b long, doc_id long, at int"), ["a", "b"], "at", sort_rows)
-        got = [tuple(x) for x in found.select("a", "b", "doc_id", "at", "first_doc_id").collect()]
+        got = [tuple(x) for x in found.select("doc_id", "at", "first_doc_id").collect()]
         assert set(got) == want and len(got) == len(want)
