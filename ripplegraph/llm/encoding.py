@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,9 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces one by one and hold them."""
         found = self._batch(pieces)
-        flat = np.fromiter((i for x in found for i in x), self.dtype)
-        self.known.update(zip(pieces, self._hold(flat, np.array([len(x) for x in found], np.int64))))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum()))
+        self.known.update(zip(pieces, self._hold(flat, size)))
 
     def _learn_words(self, words: list[str], spaced: bool) -> None:
         """Encode words of letters, all with a space before them or all without, as one text, and hold them."""
@@ -163,9 +165,9 @@ class Encoder:
         cut, until = self._pieces(col)
         coded = cut.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        get = self.known.get
-        new = [i for i, p in enumerate(pieces) if get(p) is None]
-        if new:
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(number < 0)
+        if len(new):
             some = coded.dictionary.take(pa.array(new))
             simple = pc.match_substring_regex(some, _SIMPLE)
             words = some.filter(simple)
@@ -173,7 +175,8 @@ class Encoder:
             self._learn_words(words.filter(spaced).to_pylist(), True)
             self._learn_words(words.filter(pc.invert(spaced)).to_pylist(), False)
             self._learn(some.filter(pc.invert(simple)).to_pylist())
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)] if pieces else np.zeros(0, np.int64)
+            number[new] = np.fromiter(map(self.known.__getitem__, [pieces[i] for i in new]), np.int64, len(new))
+        code = number[np.asarray(coded.indices)]
         for i in np.flatnonzero(np.asarray(pc.binary_length(coded.dictionary)) > _LONG):
             del self.known[pieces[i]]
         code = np.insert(code, until[1:], self.ends[end_id])
