@@ -26,7 +26,11 @@ _SIMPLE = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _HELD, _LONG = 800_000, 60
 #: Words that are encoded as one text.
 _JOINED = 2000
-_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:", bytes(range(65, 91)) + bytes(range(97, 123))))
+_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,!?;:#*$%&", bytes(range(65, 91)) + bytes(range(97, 123))))
+
+
+def _strings(col: pa.Array) -> list[str]:
+    return col.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
 
 
 class Encoder:
@@ -105,7 +109,7 @@ class Encoder:
         """The pieces of all texts, and how many of them stand before each text (and in all).
 
         Pieces begin at texts, at the first blank of a run, at the last one if a word follows, after a line break, and at
-        a mark after a letter that ends a word.  A tokenizer that drops blanks has pieces without them.
+        marks after a letter that end a word.  A tokenizer that drops blanks has pieces without them.
         """
         data, off = T.arrow_bytes(col)
         if not len(data):
@@ -129,9 +133,15 @@ class Encoder:
             begin[1:] = blank[:-1] & ~blank[1:]
         else:
             begin[1:] |= (data[:-1] == 10) & ~after[:-1]
-        mark = np.flatnonzero(_MARK[data] & after)
-        mark = mark[mark > 0]
-        begin[mark[_LETTER[data[mark - 1]]]] = True
+        mark = _MARK[data]
+        starts, ends = mark.copy(), mark & after
+        starts[1:] &= ~mark[:-1]
+        starts[first] = mark[first]
+        ends[:-1] |= mark[:-1] & ~mark[1:]
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+        starts = starts[after[ends] & (starts > 1)]
+        accent = (data[starts - 2] == 0xC3) & (data[starts - 1] != 0x97) & (data[starts - 1] != 0xB7)
+        begin[starts[_LETTER[data[starts - 1]] | accent]] = True
         begin[first] = True
         if self.folds:
             plain = T._LOWER[data]
@@ -164,7 +174,7 @@ class Encoder:
             self.ends[end_id] = self._hold(np.array([end_id], self.dtype), np.array([1]))[0]
         cut, until = self._pieces(col)
         coded = cut.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = _strings(coded.dictionary)
         number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(number < 0)
         if len(new):
@@ -172,9 +182,9 @@ class Encoder:
             simple = pc.match_substring_regex(some, _SIMPLE)
             words = some.filter(simple)
             spaced = pc.starts_with(words, " ")
-            self._learn_words(words.filter(spaced).to_pylist(), True)
-            self._learn_words(words.filter(pc.invert(spaced)).to_pylist(), False)
-            self._learn(some.filter(pc.invert(simple)).to_pylist())
+            self._learn_words(_strings(words.filter(spaced)), True)
+            self._learn_words(_strings(words.filter(pc.invert(spaced))), False)
+            self._learn(_strings(some.filter(pc.invert(simple))))
             number[new] = np.fromiter(map(self.known.__getitem__, [pieces[i] for i in new]), np.int64, len(new))
         code = number[np.asarray(coded.indices)]
         for i in np.flatnonzero(np.asarray(pc.binary_length(coded.dictionary)) > _LONG):
