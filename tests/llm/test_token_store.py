@@ -70,3 +70,13 @@ def test_a_key_with_most_rows_goes_on_in_further_shards(spark, tmp_path, monkeyp
     parts = spark.read.parquet(path).where("low <= 5 and high >= 5").select("part", "shard").collect()
     assert len(parts) > 20 and len({p.part for p in parts}) > 1
     assert S.lookup(spark, path, spark.createDataFrame([(5,), (3,)], "doc_id long")).groupBy("doc_id").count().orderBy("doc_id").collect() == [(3, 1), (5, 301)]
+
+
+def test_runs_of_marks_and_accents_match_the_library():
+    r = random.Random(3)
+    letters = "aB zé.,!?;:#*$%&ñ×÷'\n\t 12-_çÉ\"(x"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = Encoder(P.path(name))
+        out, at = e(pa.array(texts), 1)
+        assert [out[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [x.ids + [1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
