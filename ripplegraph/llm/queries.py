@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.decontam import contaminated
+from ripplegraph.llm.fim import fill_in_middle, restored
 from ripplegraph.llm.line_dedup import line_dedup
 from ripplegraph.llm.lm_score import score_texts
 from ripplegraph.llm.ngram_join import ngram_components
 from ripplegraph.llm.packing import pack_documents
 from ripplegraph.llm.quality_classifier import classify
 from ripplegraph.llm.quality_rules import quality_rules
+from ripplegraph.llm.source_audit import source_audit
 from ripplegraph.llm.suffix_dedup import repeated_passages
 from ripplegraph.llm.token_store import token_store
 from ripplegraph.llm.url_filter import judge_urls
@@ -75,6 +77,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, transformed=90, spm=20)
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 OP1_SQL = f"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') as ws from documents),
@@ -130,6 +142,38 @@ select doc_id, min(start) as start, max(start) - min(start) + 50 as n_words, arg
 """
 
 
+OP11_SQL = """
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select *, len(u) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when n = 0 or regexp_matches(t, '<[PSM]>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, coalesce(array_to_string(u[1:a], ''), '') as pre, coalesce(array_to_string(u[a + 1:b], ''), '') as mid, coalesce(array_to_string(u[b + 1:n], ''), '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p
+"""
+
+
+OP12_SQL = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws from documents),
+w as (select r, lang, source, unnest(ws) as term from d),
+k as (select lang, term, count(*) as c from w group by 1, 2 having count(distinct r) >= 3),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v, sum(c) as n from k group by 1),
+n as (select lang, source, term, count(*) as c from w join k using (lang, term) group by 1, 2, 3),
+t as (select lang, source, sum(c) as n from n group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(n.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(n.c, 0) + 1)) // (coalesce(t.n, 0) + v.v)::hugeint as p,
+  1 + (1000000000::hugeint * (k.c + 1)) // (v.n + v.v)::hugeint as q
+  from g join k using (lang) join v using (lang) left join t on t.lang = g.lang and t.source = g.source left join n on n.lang = g.lang and n.source = g.source and n.term = k.term),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+o as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where c > 0 and p > q)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from o) where part = 'pair' or rank <= 200
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -142,8 +186,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_source_audit": op12_source_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_suffix_dedup": OP8_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_suffix_dedup": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_audit": OP12_SQL}
