@@ -20,6 +20,7 @@ from ripplegraph.llm.source_audit import source_audit
 from ripplegraph.llm.suffix_dedup import repeated_passages
 from ripplegraph.llm.token_store import token_store
 from ripplegraph.llm.url_filter import judge_urls
+from ripplegraph.llm.warc import archived_pages
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -87,6 +88,10 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"), least=100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP1_SQL = f"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') as ws from documents),
@@ -174,6 +179,14 @@ select * from (select *, row_number() over (partition by lang, source, part orde
 """
 
 
+OP13_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by 1)
+select page_id, n as payload_bytes, p.d as payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type, case when page_id <> first then first end as refers_to
+from p left join f on f.d = p.d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -188,8 +201,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_source_audit": op12_source_audit,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_suffix_dedup": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_audit": OP12_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_suffix_dedup": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_warc": OP13_SQL}
