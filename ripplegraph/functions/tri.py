@@ -71,25 +71,29 @@ def subset_of(left: Column, right: Column) -> Column:
 
 
 def compare(op: str, left: Column, right) -> Column:
-    """The plain value of an operator; null where an operand is missing."""
+    """The plain value of an operator; null where an operand is missing, or is nothing that the operator can take."""
+    as_list = lambda x: F.array(*map(F.lit, x)) if isinstance(x, (list, tuple, set)) else x
+    flag = left.try_cast("boolean")
+    # text against a number has no answer; it doesn't stop the job
+    ordered = left.try_cast("double") if isinstance(right, float) else left.try_cast("decimal(38,9)") if isinstance(right, int) else left
     pairs = {
         "exists": lambda: left.isNotNull(),
         "absent": lambda: left.isNull(),
-        "is_true": lambda: F.coalesce(left.cast("boolean"), F.lit(False)),
-        "is_false": lambda: F.coalesce(~left.cast("boolean"), F.lit(False)),
+        "is_true": lambda: F.when(left.isNull(), False).otherwise(flag),
+        "is_false": lambda: F.when(left.isNull(), False).otherwise(~flag),
         "eq": lambda: left == right,
         "ne": lambda: left != right,
         "in": lambda: left.isin(right),
         "not_in": lambda: ~left.isin(right),
         "matches": lambda: left.rlike(rf"\A(?:{right})\z"),
-        "intersects": lambda: F.arrays_overlap(left, right),
-        "subset_of": lambda: subset_of(left, right),
-        "not_subset_of": lambda: ~subset_of(left, right),
-        "superset_of": lambda: subset_of(right, left),
-        "gt": lambda: left > right,
-        "ge": lambda: left >= right,
-        "lt": lambda: left < right,
-        "le": lambda: left <= right,
+        "intersects": lambda: F.arrays_overlap(left, as_list(right)),
+        "subset_of": lambda: subset_of(left, as_list(right)),
+        "not_subset_of": lambda: ~subset_of(left, as_list(right)),
+        "superset_of": lambda: subset_of(as_list(right), left),
+        "gt": lambda: ordered > right,
+        "ge": lambda: ordered >= right,
+        "lt": lambda: ordered < right,
+        "le": lambda: ordered <= right,
     }
     if op not in pairs:
         raise ValueError(f"unknown operator: {op}")

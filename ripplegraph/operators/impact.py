@@ -77,10 +77,13 @@ def partition_status(opaque: Column, has_columns: Column, unresolved: Column, ca
 
 
 def confidence(resolution: DataFrame, by: list[str], unsure: Column | None = None) -> DataFrame:
-    """Counts per status and a level: full if every model is resolved and no logic is ``unsure``, else partial."""
+    """Counts per status and a level: full if every model is resolved and no logic is ``unsure``, else partial.
+
+    A status that is null or has no name here is not resolved.
+    """
     unsure = F.lit(False) if unsure is None else F.coalesce(unsure, F.lit(True))
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("catalog_backed", "parsed", "partial_edges", "opaque", "parse_failed", "no_column_info")]
-    weak = F.count_if(~F.col("status").isin("catalog_backed", "parsed") | unsure)
+    weak = F.count_if(~F.coalesce(F.col("status").isin("catalog_backed", "parsed"), F.lit(False)) | unsure)
     return resolution.groupBy(*by).agg(*counts, F.count_if(unsure).alias("n_indeterminate_logic"), F.count("*").alias("n_total"), F.when(weak == 0, "full").otherwise("partial").alias("level"))
 
 

@@ -6,22 +6,40 @@ A policy is plain data:
      "defaults": {"on_missing_meta": "fail_closed", "on_error": "fail_closed", "warn_rules_fire_on_unknown": False},
      "rules": [{"name": ..., "when": <predicate>, "decision": "block" | "warn"}]}
 
-A predicate is one of {"all": [...]}, {"any": [...]}, {"not": p}, {"field": name, "op": operator, "value": x}
-or {"reach": {"where": leaf, "min_count": n}}; its fields are columns of the subjects.
+A predicate is one of {"all": [...]}, {"any": [...]}, {"not": p} or a leaf:
+
+    {"field": name, "op": operator, "value": x}                 a plain column of the subjects
+    {"change": {"field": f, "op": ..., "value": ...}}           f is kind, semantic, breaking, model or column
+    {"meta": {"key": "a.b", "op": ..., "value": ...}}           the column's metadata, else its model's
+    {"inferred_meta": {...}}, {"config": {...}}                 inherited metadata; the model's configuration
+    {"structural": {"fact": f}}                                 provable_test_break, touches_exposure or reaches_anything
+    {"reach": {"kind": k, "mechanism": [...], "where": p, "min_count": n}}    n reached objects of a kind satisfy p
+
+The typed leaves read these columns of the subjects: model, column, kind, semantic; column_meta, model_meta, config
+(VARIANT); inferred (map of key to 0, 1 or 2); resolved, provable_break (boolean); n_exposures, n_reached (long).  Reached objects have
+reached_kind (model, column or exposure), name, mechanism, meta, config, inferred, and for exposures type, owner and
+dashboard (VARIANT, NULL if it is none of a BI tool's).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.functions import tri
+from ripplegraph.functions import meta, tri
 
 #: Decisions by rising severity.
 DECISIONS = ("allow", "warn", "block")
 _KNOBS = {"fail_closed", "fail_open", "skip"}
+LEAVES = ("change", "meta", "inferred_meta", "config", "structural")
+_PARTS = ("all", "any", "not", "field", "reach", *LEAVES)
+#: Fields of a change, facts, kinds of reached objects, and the meanings that count as breaking.
+FIELDS, FACTS, KINDS = ("kind", "semantic", "breaking", "model", "column"), ("provable_test_break", "touches_exposure", "reaches_anything"), ("model", "column", "exposure")
+BREAKING = ("meaning_changed", "indeterminate")
 
 
 def check(policy: dict) -> dict:
@@ -39,33 +57,152 @@ def check(policy: dict) -> dict:
 
 
 def _shape(p, name) -> None:
-    kinds = [k for k in ("all", "any", "not", "field", "reach") if isinstance(p, dict) and k in p]
+    kinds = [k for k in _PARTS if isinstance(p, dict) and k in p]
     if len(kinds) != 1:
-        raise ValueError(f"rule {name!r}: a predicate has exactly one of all, any, not, field and reach")
-    for x in p[kinds[0]] if kinds[0] in ("all", "any") else [p["not"]] if kinds[0] == "not" else []:
+        raise ValueError(f"rule {name!r}: a predicate has exactly one of {', '.join(_PARTS)}")
+    kind = kinds[0]
+    for x in p[kind] if kind in ("all", "any") else [p["not"]] if kind == "not" else []:
         _shape(x, name)
-    if kinds[0] == "reach" and p["reach"].get("min_count", 1) < 1:
-        raise ValueError(f"rule {name!r}: min_count must be at least 1")
+    if kind in ("change", "meta", "inferred_meta", "config"):
+        leaf = p[kind]
+        meta.check_operator(leaf["op"], leaf.get("value"))
+        if kind == "change" and leaf["field"] not in FIELDS:
+            raise ValueError(f"rule {name!r}: a change has no field {leaf['field']!r}")
+    if kind == "structural" and p[kind].get("fact") not in FACTS:
+        raise ValueError(f"rule {name!r}: fact must be one of {FACTS}")
+    if kind == "reach":
+        if p["reach"].get("min_count", 1) < 1:
+            raise ValueError(f"rule {name!r}: min_count must be at least 1")
+        if "where" in p["reach"]:
+            if p["reach"].get("kind", KINDS[0]) not in KINDS:
+                raise ValueError(f"rule {name!r}: reach kind must be one of {KINDS}")
+            _shape(p["reach"]["where"], name)
 
 
 def compile_predicate(p: dict, malformed: dict[str, Column] | None = None) -> tri.Tri:
     """The predicate as a three-valued column over the subjects' fields.
 
-    ``malformed`` says of a field when its value is there but of the wrong shape; such an unknown is an error.
-    Reach leaves read the columns n_true and n_unknown of ``with_reach``.
+    ``malformed`` says of a plain field when its value is there but of the wrong shape; that, and a value which gives the operator no
+    answer, is an unknown by error.  A reach leaf with ``where`` reads the counts that ``with_reaches`` adds; one without reads
+    n_true and n_unknown of ``with_reach``.
     """
-    malformed = malformed or {}
+    return _tree(p, lambda leaf: _subject_leaf(leaf, malformed or {}))
+
+
+def _tree(p: dict, leaf) -> tri.Tri:
     if "all" in p:
-        return tri.all_of(*(compile_predicate(x, malformed) for x in p["all"]))
+        return tri.all_of(*(_tree(x, leaf) for x in p["all"]))
     if "any" in p:
-        return tri.any_of(*(compile_predicate(x, malformed) for x in p["any"]))
+        return tri.any_of(*(_tree(x, leaf) for x in p["any"]))
     if "not" in p:
-        return tri.not_(compile_predicate(p["not"], malformed))
+        return tri.not_(_tree(p["not"], leaf))
+    return leaf(p)
+
+
+def leaves(p: dict, kind: str | None = None) -> list[dict]:
+    """The leaves of a predicate from left to right, those inside a reach excluded."""
+    found: list[dict] = []
+    _tree(p, lambda x: found.append(x) or tri.Tri.of(F.lit(True)))
+    return [x for x in found if kind is None or kind in x]
+
+
+def _subject_leaf(p: dict, malformed: dict[str, Column]) -> tri.Tri:
+    if "field" in p:
+        value = F.col(p["field"])
+        wrong = F.coalesce(malformed.get(p["field"], F.lit(False)), F.lit(False))
+        plain = tri.compare(p["op"], value, p.get("value"))
+        return tri.Tri(F.when(~wrong, plain), wrong | (value.isNotNull() & plain.isNull()))
+    if "change" in p:
+        meaning = F.coalesce("semantic", F.lit("indeterminate"))
+        field = {"semantic": meaning, "breaking": meaning.isin(*BREAKING)}.get(p["change"]["field"])
+        field = F.col(p["change"]["field"]) if field is None else field
+        return meta.compare(p["change"]["op"], field.cast("variant"), p["change"].get("value"))
+    if "structural" in p:
+        fact = p["structural"]["fact"]
+        if fact == "provable_test_break":
+            return tri.Tri.of(F.coalesce("provable_break", F.lit(False)))
+        counted = F.coalesce("n_exposures" if fact == "touches_exposure" else "n_reached", F.lit(0)) > 0
+        return tri.Tri.of(F.when(F.col("resolved"), counted))
     if "reach" in p:
-        return tri.Tri.of(quantified(F.col("n_true"), F.col("n_unknown"), p["reach"].get("min_count", 1)))
-    wrong = F.coalesce(malformed.get(p["field"], F.lit(False)), F.lit(False))
-    plain = tri.compare(p["op"], F.col(p["field"]), p.get("value"))
-    return tri.Tri(F.when(~wrong, plain), wrong)
+        reach = p["reach"]
+        if "where" not in reach or "op" in reach["where"]:
+            return tri.Tri.of(quantified(F.col("n_true"), F.col("n_unknown"), reach.get("min_count", 1)))
+        n = F.col(_reach_name(reach))
+        count = lambda c: F.coalesce(n[c], F.lit(0))
+        value = F.when(F.col("resolved"), quantified(count("n_true"), count("n_unknown"), reach.get("min_count", 1)))
+        return tri.Tri(value, F.coalesce(F.col("resolved"), F.lit(False)) & value.isNull() & (count("n_error") > 0))
+    if "meta" in p:
+        return _keyed(p, meta.compare, lambda key: meta.first_of(meta.lookup(F.col("column_meta"), key), meta.lookup(F.col("model_meta"), key)))
+    if "inferred_meta" in p:
+        return _keyed(p, meta.compare_inferred, lambda key: meta.inferred_lookup(F.col("column_meta"), F.col("inferred"), key))
+    return _keyed(p, meta.compare_config, lambda key: meta.lookup(F.col("config"), key))
+
+
+def _keyed(p: dict, compare, lookup) -> tri.Tri:
+    (leaf,) = p.values()
+    return compare(leaf["op"], lookup(leaf["key"]), leaf.get("value"))
+
+
+def _reached_leaf(p: dict) -> tri.Tri:
+    kind = F.col("reached_kind")
+    if "meta" in p:
+        shown = lambda key: meta.exposure_lookup(F.col("name"), F.col("type"), F.col("owner"), F.col("meta"), key, F.col("dashboard"), F.col("dashboard").isNotNull())
+        return _keyed(p, meta.compare, lambda key: F.when(kind == "exposure", shown(key)).otherwise(meta.lookup(F.col("meta"), key)))
+    if "inferred_meta" in p:
+        return _keyed(p, meta.compare_inferred, lambda key: F.when(kind == "column", meta.inferred_lookup(F.col("meta"), F.col("inferred"), key)))
+    if "config" in p:
+        return _keyed(p, meta.compare_config, lambda key: F.when(kind != "exposure", meta.lookup(F.col("config"), key)))
+    # nothing else can be asked of a reached object
+    return tri.Tri(F.lit(None).cast("boolean"), F.lit(True))
+
+
+def _reach_name(reach: dict) -> str:
+    return "reach_" + hashlib.sha256(json.dumps(reach, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def with_reaches(policy: dict, subjects: DataFrame, reached: DataFrame, keys: list[str]) -> DataFrame:
+    """Subjects with n_true, n_unknown and n_error of each reach leaf of the policy, all counted in one pass over what they reach."""
+    found = {_reach_name(x["reach"]): x["reach"] for r in policy["rules"] for x in leaves(r["when"], "reach") if "where" in x["reach"]}
+    if not found:
+        return subjects
+    counts = []
+    for name, reach in found.items():
+        asked = F.col("reached_kind") == reach.get("kind", KINDS[0])
+        if reach.get("mechanism"):
+            asked = asked & (F.col("reached_kind") != "exposure") & F.coalesce(F.col("mechanism").isin(*reach["mechanism"]), F.lit(False))
+        inner = _tree(reach["where"], _reached_leaf)
+        unknown = asked & inner.value.isNull()
+        counts.append(F.struct(F.count_if(asked & inner.value).alias("n_true"), F.count_if(unknown).alias("n_unknown"), F.count_if(unknown & inner.error).alias("n_error")).alias(name))
+    return subjects.join(reached.groupBy(*keys).agg(*counts), keys, "left")
+
+
+def aggregate_outcome(policy: dict, rule: dict, subjects: DataFrame) -> DataFrame:
+    """One row (rule, outcome, cause, decision) of a rule over the whole changeset: each leaf holds if it does for some change."""
+    found = leaves(rule["when"])
+    tris = [_subject_leaf(x, {}) for x in found]
+    counts = [F.struct(F.count_if(t.value).alias("n_true"), F.count_if(t.value.isNull()).alias("n_unknown"), F.count_if(t.value.isNull() & t.error).alias("n_error")).alias(f"l{i}") for i, t in enumerate(tris)]
+    some = iter([tri.Tri(quantified(F.col(f"l{i}.n_true"), F.col(f"l{i}.n_unknown"), 1), (F.col(f"l{i}.n_true") == 0) & (F.col(f"l{i}.n_error") > 0)) for i in range(len(found))])
+    value = _tree(rule["when"], lambda _: next(some))
+    row = subjects.agg(*counts) if counts else subjects.sparkSession.range(1)
+    return row.select(F.lit(rule["name"]).alias("rule"), _outcome(policy, rule, value).alias("outcome"), value.cause().alias("cause"), F.lit(rule["decision"]).alias("decision"))
+
+
+def _outcome(policy: dict, rule: dict, value: tri.Tri) -> Column:
+    d = policy.get("defaults", {})
+    knob = lambda k: rule.get(k, d.get(k, "fail_closed"))
+    return tri.resolve(value, knob("on_missing_meta"), knob("on_error"), rule["decision"] == "block", d.get("warn_rules_fire_on_unknown", False))
+
+
+def semantic_default_hits(policy: dict, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rule, outcome, cause, decision: what ``defaults.on_meaning_changed`` and ``on_indeterminate`` ask for.
+
+    Only changes that have a meaning take part; a knob that is not set, or is allow, asks for nothing.
+    """
+    defaults = policy.get("defaults", {})
+    asked = {m: defaults.get(f"on_{m}") for m in BREAKING if defaults.get(f"on_{m}") not in (None, "allow")}
+    decision = reduce(lambda c, kv: F.when(F.col("semantic") == kv[0], kv[1]).otherwise(c), asked.items(), F.lit(None).cast("string"))
+    hits = changes.where(F.col("semantic").isin(*asked)) if asked else changes.limit(0)
+    return hits.select(*keys, F.concat(F.lit("builtin:on_"), "semantic").alias("rule"), F.lit("fire").alias("outcome"), F.lit("true").alias("cause"), decision.alias("decision"))
 
 
 def quantified(n_true: Column, n_unknown: Column, at_least: int) -> Column:
@@ -90,13 +227,11 @@ def evaluate(policy: dict, subjects: DataFrame, keys: list[str], malformed: dict
     The subjects are read once for all rules.
     """
     check(policy)
-    d = policy.get("defaults", {})
     hits = []
     for rule in policy["rules"]:
-        value = compile_predicate(rule["when"], malformed)
-        knob = lambda k, rule=rule: rule.get(k, d.get(k, "fail_closed"))
-        outcome = tri.resolve(value, knob("on_missing_meta"), knob("on_error"), rule["decision"] == "block", d.get("warn_rules_fire_on_unknown", False))
-        hits.append(F.struct(F.lit(rule["name"]).alias("rule"), outcome.alias("outcome"), value.cause().alias("cause"), F.lit(rule["decision"]).alias("decision")))
+        if rule.get("scope", "change") == "change":
+            value = compile_predicate(rule["when"], malformed)
+            hits.append(F.struct(F.lit(rule["name"]).alias("rule"), _outcome(policy, rule, value).alias("outcome"), value.cause().alias("cause"), F.lit(rule["decision"]).alias("decision")))
     return subjects.select(*keys, F.explode(F.array(*hits)).alias("h")).select(*keys, "h.*").where("outcome <> 'quiet'")
 
 
@@ -144,4 +279,5 @@ def baseline_delta(current: DataFrame, baseline: DataFrame) -> DataFrame:
 def key_coverage(meta: DataFrame, column: str) -> DataFrame:
     """key, n and pct: how often each top-level key occurs in a JSON object column."""
     keys = meta.select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return keys.select("key", "n", F.round(100.0 * F.col("n") / F.lit(meta.count()), 4).alias("pct"))
+    total = F.broadcast(meta.agg(F.count("*").alias("total")))  # one row
+    return keys.join(total, F.lit(True)).select("key", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))

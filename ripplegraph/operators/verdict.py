@@ -27,18 +27,20 @@ def verdict(facts: DataFrame, by: list[str]) -> DataFrame:
     ``facts`` has a row per reached thing: is_break, excused (an override allows it), critical and overridden, and may
     have is_filter (rows change), is_exposure and is_shift (the meaning changed or can't be told).  A break without an
     excuse blocks.  A demoted break is reviewed, and so is a critical thing, a filter or an exposure unless every change
-    that reaches one is overridden, and a shift that no override covers.
+    that reaches one is overridden, and a shift that no override covers.  What isn't known counts as the worse: a null is_break is a
+    break, a null excuse or override is none, and so is a thing that may be critical, a filter, an exposure or a shift.
     """
-    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in facts.columns else F.lit(False)
-    block = F.bool_or(F.col("is_break") & ~F.col("excused"))
-    touchy = F.col("critical") | has("is_filter") | has("is_exposure")
-    review = F.bool_or(F.col("is_break")) | (F.bool_or(touchy) & ~F.bool_and(F.col("overridden") | ~touchy)) | F.bool_or(has("is_shift") & ~F.col("overridden"))
-    return facts.groupBy(*by).agg(F.when(block, "block").when(review, "review").otherwise("safe").alias("verdict"), F.count_if(F.col("is_break") & ~F.col("excused")).alias("n_unexcused"))
+    feared = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in facts.columns else F.lit(False)
+    proven = lambda c: F.coalesce(F.col(c), F.lit(False))
+    unexcused = feared("is_break") & ~proven("excused")
+    touchy = feared("critical") | feared("is_filter") | feared("is_exposure")
+    review = F.bool_or(feared("is_break")) | F.bool_or((touchy | feared("is_shift")) & ~proven("overridden"))
+    return facts.groupBy(*by).agg(F.when(F.bool_or(unexcused), "block").when(review, "review").otherwise("safe").alias("verdict"), F.count_if(unexcused).alias("n_unexcused"))
 
 
 def override_audit(verb: Column, is_break: Column) -> Column:
     """What an override did: applied, or ineffective on a break that only allow-break excuses."""
-    return F.when(verb.isNull(), None).when(is_break & (verb == "change"), "ineffective").otherwise("applied")
+    return F.when(verb.isNull(), None).when(F.coalesce(is_break, F.lit(True)) & (verb == "change"), "ineffective").otherwise("applied")
 
 
 def gate_level(n_breaks: Column, n_exposures: Column, n_critical: Column, n_any: Column) -> Column:

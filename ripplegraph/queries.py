@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.functions import text, tri
-from ripplegraph.operators import bi, diff, graph, impact, policy, verdict
+from ripplegraph.functions import meta, text, tri
+from ripplegraph.operators import bi, diff, fold, graph, impact, policy, verdict
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -137,27 +137,39 @@ def mechanism_breakdown(spark, sf_dir):
     return _typed(Tables(spark, sf_dir)).groupBy(impact.mechanism(F.col("transformation")).alias("mechanism")).agg(F.count("*").alias("n_edges"), F.count_distinct("dst").alias("n_nodes"))
 
 
-@_query("""with o as (select 'c' || c_custkey as node, case when c_acctbal < 0 then 2 when c_acctbal > 9000 then 0 end as v, c_nationkey as k from customer),
- n as (select n_nationkey as k, max(case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 end) as v from nation join region on r_regionkey = n_regionkey group by 1),
- c as (select substr(node, 2)::bigint as key, coalesce(o.v, n.v) as v from o left join n using (k)), s as (select s_suppkey as key, n.v from supplier join n on n.k = s_nationkey),
- l as (select max(greatest(coalesce(c.v, -1), coalesce(s.v, -1))) as v from lineitem join orders on o_orderkey = l_orderkey left join c on c.key = o_custkey left join s on s.key = l_suppkey group by l_orderkey, l_linenumber)
- select substr(node, 1, 1) as kind, value, count(*) as n_nodes from (
-  select 'c' || key as node, coalesce(v, 1) as value from c
-  union all select 's' || key, coalesce(v, 1) from s
-  union all select 'p' || p_partkey, 1 from part
-  union all select 'l', case when v < 0 then 1 else v end from l
-  union all select 'n' || k, coalesce(v, 1) from n
-  union all select 'o' || o_orderkey, coalesce(o.v, n.v, 1) from orders left join o on o.node = 'c' || o_custkey left join n using (k)
-  union all select 'r' || r_regionkey, case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 else 1 end from region) group by 1, 2""")
+OWN_META = """tag as (select c_custkey as k, c_nationkey as nk, case when c_acctbal < 0 then 2 when c_acctbal > 9000 then 0 end as v from customer),
+ rv as (select r_regionkey as k, case when r_name = 'ASIA' then 2 when r_name = 'EUROPE' then 0 else 1 end as v from region),
+ nv as (select n_nationkey as k, max(coalesce(rv.v, 1)) as v from nation left join rv on rv.k = n_regionkey group by 1)"""
+
+
+@_query(f"""with {OWN_META}, cv as (select tag.k, coalesce(tag.v, nv.v, 1) as v from tag left join nv on nv.k = nk),
+ sv as (select s_suppkey as k, coalesce(nv.v, 1) as v from supplier left join nv on nv.k = s_nationkey), ov as (select o_orderkey as k, coalesce(cv.v, 1) as v from orders left join cv on cv.k = o_custkey),
+ parents as (select l_orderkey, l_linenumber, coalesce(ov.v, 1) as v from lineitem left join ov on ov.k = l_orderkey union all select l_orderkey, l_linenumber, coalesce(sv.v, 1) from lineitem left join sv on sv.k = l_suppkey
+  union all select l_orderkey, l_linenumber, 1 from lineitem),
+ every as (select 'r' as kind, v from rv union all select 'n', v from nv union all select 'c', v from cv union all select 's', v from sv union all select 'o', v from ov union all select 'p', 1 from part
+  union all select 'l', max(v) from parents group by l_orderkey, l_linenumber)
+ select kind, v as value, count(*) as n_nodes from every group by 1, 2""")
 def inferred_meta_fold(spark, sf_dir):
     t = Tables(spark, sf_dir)
+    folded = fold.fold(_edges(t), _own_meta(t))
+    return folded.groupBy(F.substring("node", 1, 1).alias("kind"), "value").agg(F.count("*").alias("n_nodes"))
+
+
+def _own_meta(t: Tables) -> DataFrame:
     own = lambda df, node, v: df.select(node.alias("node"), v.cast("int").alias("value"))
-    none = F.lit(None)
-    given = own(t.region, _id("r", "r_regionkey"), F.when(F.col("r_name") == "ASIA", 2).when(F.col("r_name") == "EUROPE", 0))
-    given = given.union(own(t.nation, _id("n", "n_nationkey"), none)).union(own(t.orders, _id("o", "o_orderkey"), none))
-    given = given.union(own(t.supplier, _id("s", "s_suppkey"), none)).union(own(t.part, _id("p", "p_partkey"), none)).union(own(t.lineitem, _id("l", "l_orderkey", "l_linenumber"), none).distinct())
-    given = given.union(own(t.customer, _id("c", "c_custkey"), F.when(F.col("c_acctbal") < 0, 2).when(F.col("c_acctbal") > 9000, 0)))
-    folded = graph.fold_max(_edges(t), given, unknown=1)
+    tags = own(t.region, _id("r", "r_regionkey"), F.when(F.col("r_name") == "ASIA", 2).when(F.col("r_name") == "EUROPE", 0))
+    return tags.union(own(t.part, _id("p", "p_partkey"), F.lit(None))).union(own(t.customer, _id("c", "c_custkey"), F.when(F.col("c_acctbal") < 0, 2).when(F.col("c_acctbal") > 9000, 0)))
+
+
+@_query(f"""with {OWN_META}, back as (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT'),
+ cv as (select tag.k, case when tag.v is not null then tag.v when tag.k in (select k from back) then greatest(1, coalesce(nv.v, 1)) else coalesce(nv.v, 1) end as v from tag left join nv on nv.k = nk)
+ select 'c' as kind, v as value, count(*) as n_nodes from cv group by 2 union all select 'o', coalesce(cv.v, 1), count(*) from orders left join cv on cv.k = o_custkey group by 2""")
+def inferred_meta_cycles(spark, sf_dir):
+    """Urgent orders lead back to their customer: a cycle, unless the customer has a value of its own."""
+    t = Tables(spark, sf_dir)
+    a, b, c, _ = _layers(t)
+    back = t.orders.where("o_orderpriority = '1-URGENT'").select(_id("o", "o_orderkey").alias("src"), _id("c", "o_custkey").alias("dst"))
+    folded = fold.fold(a.union(b).union(c).union(back), _own_meta(t)).where("substring(node, 1, 1) in ('c', 'o')")
     return folded.groupBy(F.substring("node", 1, 1).alias("kind"), "value").agg(F.count("*").alias("n_nodes"))
 
 
@@ -534,6 +546,80 @@ def dotted_meta_lookup(spark, sf_dir):
     return Tables(spark, sf_dir).events.groupBy(F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")).agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
+#: Metadata of seven shapes: absent, null, text, list, boolean, object, number.
+AXES_JSON = """case k % 7 when 0 then '{"m": {}}' when 1 then '{"m": {"k": null}}' when 2 then concat('{"m": {"k": "s', k, '"}}') when 3 then concat('{"m": {"k": ["a', k % 3, '", "b"]}}')
+ when 4 then concat('{"m": {"k": ', if(k % 2 = 0, 'true', 'false'), '}}') when 5 then concat('{"m": {"k": {"z": ', k, '}}}') else concat('{"m": {"k": ', k, '}}') end"""
+#: operator, operand, and in SQL: when it holds, and for which shapes it has an answer
+AXES_OPS = [
+    ("exists", None, "s <> 0", "true"), ("absent", None, "s = 0", "true"), ("is_true", None, "s <> 0 and t", "true"), ("is_false", None, "s <> 0 and not t", "true"),
+    ("eq", "s9", "s = 2 and k = 9", "s <> 0"), ("ne", "s9", "not (s = 2 and k = 9)", "s <> 0"), ("in", ["s9", "s16", 13], "s = 2 and k in (9, 16) or s = 6 and k = 13", "s <> 0"), ("not_in", ["s9", "s16", 13], "not (s = 2 and k in (9, 16) or s = 6 and k = 13)", "s <> 0"),
+    ("matches", "s1.*", "s = 2 and starts_with(k::varchar, '1')", "s in (1, 2, 4, 6)"), ("intersects", ["a1", "c"], "k % 3 = 1", "s = 3"), ("subset_of", ["a1", "b"], "k % 3 = 1", "s = 3"), ("not_subset_of", ["a1", "b"], "k % 3 <> 1", "s = 3"), ("superset_of", ["b"], "true", "s = 3"),
+    ("gt", 50, "k > 50", "s = 6"), ("ge", 55, "k >= 55", "s = 6"), ("lt", 20, "k < 20", "s = 6"), ("le", 6.5, "k <= 6.5", "s = 6"),
+]
+
+
+def _axes_sql() -> str:
+    rows, sets = [], {"intersects": "false", "subset_of": "true", "not_subset_of": "false", "superset_of": "false"}
+    for op, _, holds, fits in AXES_OPS:
+        cause = f"case when s = 0 and not ({fits}) then 'missing' when not ({fits}) then 'error' when {holds} then 'true' else 'false' end"
+        rows.append(f"select 'meta' as axis, '{op}' as op, {cause} as cause from s")
+        empty = f"case when s in (0, 1) then '{sets[op]}' else {cause} end" if op in sets else cause
+        rows.append(f"select 'config', '{op}', {empty} from s")
+        # the folded value is true, false or unknown where there is no own one
+        folded = {"exists": "true", "absent": "false", "is_true": "u = 2", "is_false": "u = 0", "eq": "false", "ne": "true", "in": "false", "not_in": "true", "matches": "false"}.get(op)
+        inherited = f"case when {folded} then 'true' else 'false' end" if folded else "'error'"
+        rows.append(f"select 'inferred', '{op}', case when s <> 0 then {cause} when u = 1 then 'missing' else {inherited} end from s")
+    return " union all ".join(rows)
+
+
+@_query(f"""with s as (select k, k % 7 as s, user_id % 3 as u, case k % 7 when 1 then false when 4 then k % 2 = 0 else true end as t from (select user_id, cast(json_extract(props, '$.k') as bigint) as k from events))
+ select axis, op, cause, count(*) as n_events from ({_axes_sql()}) group by 1, 2, 3""")
+def metadata_axes(spark, sf_dir):
+    """Every operator on every shape of metadata, on the three axes; the SQL knows the shapes and reads no JSON."""
+    s = Tables(spark, sf_dir).events.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).selectExpr("user_id % 3 as u", f"parse_json({AXES_JSON}) as m")
+    own, levels = meta.lookup(F.col("m"), "m.k"), F.create_map(F.lit("m.k"), F.col("u").cast("int"))
+    axes = (("meta", meta.compare, own), ("config", meta.compare_config, own), ("inferred", meta.compare_inferred, meta.inferred_lookup(F.col("m"), levels, "m.k")))
+    found = [F.struct(F.lit(axis).alias("axis"), F.lit(op).alias("op"), compare(op, v, x).cause().alias("cause")) for axis, compare, v in axes for op, x, _, _ in AXES_OPS]
+    return s.select(F.explode(F.array(*found)).alias("x")).groupBy("x.axis", "x.op", "x.cause").agg(F.count("*").alias("n_events"))
+
+
+REACH_POLICY = {
+    "version": 1,
+    "defaults": {"on_missing_meta": "fail_closed", "on_error": "skip", "on_meaning_changed": "block", "on_indeterminate": "warn"},
+    "rules": [
+        {"name": "tiers", "decision": "block", "when": {"all": [{"change": {"field": "breaking", "op": "is_true"}}, {"reach": {"kind": "model", "mechanism": ["derived_recompute"], "min_count": 2, "where": {"meta": {"key": "tier", "op": "ge", "value": 3}}}}]}},
+        {"name": "shown", "decision": "warn", "when": {"reach": {"kind": "exposure", "where": {"all": [{"meta": {"key": "owner.name", "op": "matches", "value": "c1.*"}}, {"not": {"meta": {"key": "tier", "op": "eq", "value": 0}}}]}}}},
+        {"name": "alone", "decision": "warn", "when": {"not": {"structural": {"fact": "reaches_anything"}}}},
+    ],
+}
+
+
+@_query("""with c as (select c_custkey as k, case c_custkey % 4 when 0 then 'meaning_changed' when 1 then 'equivalent' when 2 then 'indeterminate' end as semantic, c_custkey % 10 <> 0 as resolved from customer),
+ o as (select o_custkey as k, o_orderpriority = '1-URGENT' as shown, o_orderstatus = 'F' as derived, case when o_orderkey % 7 = 0 then 'missing' when o_orderkey % 11 = 0 then 'error' end as bad, o_orderkey % 5 as tier from orders),
+ n as (select k, count(*) as n, count(*) filter (not shown and derived and bad is null and tier >= 3) as mt, count(*) filter (not shown and derived and bad is not null) as mu, count(*) filter (not shown and derived and bad = 'error') as me,
+   count(*) filter (shown and starts_with(k::varchar, '1') and not (bad is null and tier = 0) and bad is distinct from 'missing') as st, count(*) filter (shown and starts_with(k::varchar, '1') and bad = 'missing') as su from o group by 1),
+ j as (select c.*, coalesce(n, 0) as n, coalesce(mt, 0) as mt, coalesce(mu, 0) as mu, coalesce(me, 0) as me, coalesce(st, 0) as st, coalesce(su, 0) as su from c left join n using (k)),
+ r as (select 'tiers' as rule, 'block' as decision, case when semantic = 'equivalent' then 'false' when not resolved then 'missing' when mt >= 2 then 'true' when mt + mu < 2 then 'false' when me > 0 then 'error' else 'missing' end as cause from j
+  union all select 'shown', 'warn', case when not resolved then 'missing' when st >= 1 then 'true' when su >= 1 then 'missing' else 'false' end from j
+  union all select 'alone', 'warn', case when not resolved then 'missing' when n = 0 then 'true' else 'false' end from j)
+ select rule, case when cause = 'true' or cause = 'missing' and decision = 'block' then 'fire' when cause = 'error' then 'dropped' end as outcome, cause, decision, count(*) as n_changes from r where cause in ('true', 'error') or cause = 'missing' and decision = 'block' group by all
+ union all select 'builtin:on_' || semantic, 'fire', 'true', case semantic when 'indeterminate' then 'warn' else 'block' end, count(*) from c where semantic in ('indeterminate', 'meaning_changed') group by 1, 4""")
+def policy_axes(spark, sf_dir):
+    """Rules over changes (customers) and what they reach (orders): models with metadata, and exposures with owners."""
+    t = Tables(spark, sf_dir)
+    k = F.col("c_custkey")
+    semantic = F.when(k % 4 == 0, "meaning_changed").when(k % 4 == 1, "equivalent").when(k % 4 == 2, "indeterminate")
+    none = F.lit(None).cast("variant")
+    tier = F.when(F.col("o_orderkey") % 7 == 0, "{}").when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit('{"tier": "t'), "o_orderkey", F.lit('"}'))).otherwise(F.concat(F.lit('{"tier": '), F.col("o_orderkey") % 5, F.lit("}")))
+    shown = F.col("o_orderpriority") == "1-URGENT"
+    reached = t.orders.select(F.col("o_custkey").alias("k"), F.when(shown, "exposure").otherwise("model").alias("reached_kind"), F.col("o_orderkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") == "F", "derived_recompute").otherwise("direct_passthrough").alias("mechanism"), F.parse_json(tier).alias("meta"))
+    reached = reached.select("*", none.alias("config"), F.lit("app").alias("type"), F.parse_json(F.concat(F.lit('{"name": "c'), "k", F.lit('"}'))).alias("owner"), none.alias("dashboard"), F.create_map().cast("map<string,int>").alias("inferred"))
+    changes = t.customer.select(k.alias("k"), semantic.alias("semantic"), (k % 10 != 0).alias("resolved"), F.lit("m").alias("model"), F.lit("c").alias("column"), F.lit("logic_changed").alias("kind"))
+    subjects = changes.join(reached.groupBy("k").agg(F.count("*").alias("n_reached")), "k", "left")
+    hits = policy.evaluate(REACH_POLICY, policy.with_reaches(REACH_POLICY, subjects, reached, ["k"]), ["k"]).unionByName(policy.semantic_default_hits(REACH_POLICY, changes, ["k"]))
+    return hits.groupBy("rule", "outcome", "cause", "decision").agg(F.count("*").alias("n_changes"))
+
+
 @_query(f"""with {SUBJECTS}, n as (select user_id, event_type, count(*) filter (k > 70) as t, count(*) filter (k is null) as u from s group by 1, 2)
  select user_id, event_type, t as n_true, u as n_unknown, case when t >= 5 then 'true' when t + u >= 5 then 'unknown' else 'false' end as holds from n""")
 def quantified_reach(spark, sf_dir):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import text, tri
-from ripplegraph.operators import bi, diff, graph, impact, policy
+from ripplegraph.operators import bi, diff, fold, graph, impact, policy
 from ripplegraph.plans import lineage
 from ripplegraph.sources.artifacts import Project, saved_changes
 from ripplegraph.streaming import changes
@@ -34,7 +34,7 @@ def test_levels_on_random_graphs_with_cycles(spark):
 def test_fold_settles_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (5, 4)], "src int, dst int")
     own = spark.createDataFrame([(1, 2), (2, None), (3, None), (4, None), (5, None)], "node int, value int")
-    assert {tuple(x) for x in graph.fold_max(edges, own, unknown=1).collect()} == {(1, 2), (2, 2), (3, 2), (4, 1), (5, 1)}
+    assert {tuple(x) for x in fold.fold(edges, own).collect()} == {(1, 2), (2, 2), (3, 2), (4, 1), (5, 1)}
 
 
 def test_kleene_tables_and_causes(spark):
