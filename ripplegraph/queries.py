@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import meta, text, tri
-from ripplegraph.operators import bi, diff, fold, graph, impact, policy, verdict
+from ripplegraph.operators import bi, diff, fold, graph, identity, impact, policy, replay, verdict, versions
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -698,6 +698,108 @@ def meta_key_histogram(spark, sf_dir):
     return policy.key_coverage(Tables(spark, sf_dir).events, "props")
 
 
+# ---- two versions: orders are in the base unless their key leaves 0 by 4, in the head unless it leaves 1
+
+
+def _two_versions(t: Tables) -> tuple[DataFrame, ...]:
+    version = lambda key: F.explode(F.array_compact(F.array(F.when(F.col(key) % 4 != 0, "base"), F.when(F.col(key) % 4 != 1, "head")))).alias("version")
+    kind = F.when(F.col("l_returnflag") == "R", "derived").when(F.col("l_returnflag") == "A", "renamed").otherwise("direct")
+    edges = t.orders.select(version("o_orderkey"), _id("c", "o_custkey").alias("src"), _id("o", "o_orderkey").alias("dst"), F.lit("direct").alias("transformation"))
+    edges = edges.unionByName(t.lineitem.select(version("l_orderkey"), _id("o", "l_orderkey").alias("src"), _id("s", "l_suppkey").alias("dst"), kind.alias("transformation")))
+    change = F.when(F.col("c_acctbal") < 0, "removed").when(F.col("c_acctbal") > 9000, "added").when(F.col("c_custkey") % 9 == 0, "type_changed")
+    changes = t.customer.select(F.col("c_custkey").alias("key"), _id("c", "c_custkey").alias("node"), change.alias("kind")).where("kind is not null")
+    shown = t.supplier.where("s_acctbal > 0").select(F.explode(F.array(F.lit("base"), F.lit("head"))).alias("version"), _id("s", "s_suppkey").alias("node"), _id("n", "s_nationkey").alias("exposure"))
+    return changes, edges.select("version", F.explode(F.array("src", "dst")).alias("node")), edges, shown
+
+
+TWO_VERSIONS = """c as (select c_custkey as key, case when c_acctbal < 0 then 'removed' when c_acctbal > 9000 then 'added' when c_custkey % 9 = 0 then 'type_changed' end as kind from customer),
+ s as (select *, case kind when 'removed' then 'base' else 'head' end as version, case kind when 'removed' then 0 else 1 end as out from c where kind is not null),
+ o as (select s.key, s.version, o_orderkey as k from s join orders on o_custkey = s.key and o_orderkey % 4 <> s.out),
+ l as (select o.key, o.version, l_suppkey as k, max(case l_returnflag when 'R' then 3 when 'A' then 2 else 1 end) as severity from o join lineitem on l_orderkey = o.k group by 1, 2, 3),
+ x as (select distinct key, s_nationkey as k from l join supplier on s_suppkey = l.k where s_acctbal > 0)"""
+
+
+@_query(f"""with {TWO_VERSIONS}, n as (select key, count(distinct k) as a from o group by 1), m as (select key, count(*) as b, count(*) filter (severity = 3) as d from l group by 1), e as (select key, count(*) as x from x group by 1)
+ select s.key, kind, version, a is not null as resolved, a + coalesce(b, 0) as n_nodes, case when a is not null then coalesce(d, 0) end as n_derived, case when a is not null then coalesce(x, 0) end as n_exposures
+ from s left join n using (key) left join m using (key) left join e using (key)""")
+def two_version_impact(spark, sf_dir):
+    begun, reached = versions.changeset_reach(*_two_versions(Tables(spark, sf_dir)))
+    return versions.by_change(begun, reached)
+
+
+@_query(f"""with {TWO_VERSIONS}, a as (select 'node' as reached_kind, 'o' || k as node, 1 as severity, key from o union all select 'node', 's' || k, severity, key from l union all select 'exposure', 'n' || k, null, key from x)
+ select reached_kind, node, max(severity) as severity, count(distinct key) as n_changes from a group by 1, 2""")
+def two_version_affected(spark, sf_dir):
+    return versions.affected(versions.changeset_reach(*_two_versions(Tables(spark, sf_dir)))[1])
+
+
+# ---- replay: a user's purchases are the versions of their metadata, all other events are changes, days are points
+
+
+REPLAY_POLICY = {
+    "version": 1,
+    "defaults": {"on_missing_meta": "fail_closed", "on_error": "skip"},
+    "rules": [
+        {"name": "high", "decision": "block", "when": {"all": [{"meta": {"key": "k", "op": "ge", "value": 70}}, {"field": "event_type", "op": "in", "value": ["error", "signup"]}]}},
+        {"name": "low", "decision": "warn", "when": {"meta": {"key": "k", "op": "lt", "value": 25}}},
+        {"name": "never", "decision": "block", "when": {"field": "event_type", "op": "eq", "value": "purchase"}},
+    ],
+}
+
+
+def _replayed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    buys = t.events.where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.parse_json("props").alias("model_meta"))
+    made = t.events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts", "event_type", F.date_trunc("day", "ts").alias("point"))
+    known = replay.as_of(made, replay.intervals(buys, "user_id", "ts", "event_id"), "user_id", "ts", ["model_meta"])
+    return made, replay.replay(REPLAY_POLICY, known.withColumn("column_meta", F.lit(None).cast("variant")), "point", ["event_id"])
+
+
+REPLAYED = """b as (select user_id, ts, arg_max(cast(json_extract(props, '$.k') as bigint), event_id) as k from events where event_type = 'purchase' group by 1, 2),
+ e as (select date_trunc('day', ts) as point, event_id, user_id, ts, event_type from events where event_type <> 'purchase'), a as (select e.*, b.k from e asof left join b on e.user_id = b.user_id and e.ts >= b.ts),
+ h as (select point, 'high' as rule, 'block' as decision, k is null as unsure from a where event_type in ('error', 'signup') and (k is null or k >= 70) union all select point, 'low', 'warn', false from a where k < 25)"""
+
+
+@_query(f"""with {REPLAYED} select r.rule, count(distinct h.point) filter (decision = 'block') as would_block, count(distinct h.point) filter (decision = 'warn') as would_warn, count(h.rule) as fired, count(*) filter (unsure) as fired_on_unknown, count(h.rule) = 0 as matched_zero
+ from (values ('high'), ('low'), ('never')) as r(rule) left join h on h.rule = r.rule group by 1""")
+def replay_rules(spark, sf_dir):
+    return replay.rule_table(REPLAY_POLICY, _replayed(Tables(spark, sf_dir))[1], "point")
+
+
+@_query(f"""with {REPLAYED}, p as (select distinct point from e), g as (select point, bool_or(decision = 'block') as b, count(*) as n, count(*) filter (unsure) as u from h group by 1)
+ select p.point, case when g.b then 'block' when g.n > 0 then 'warn' else 'allow' end as decision, coalesce(n, 0) as n_hits, coalesce(u, 0) as n_on_unknown from p left join g using (point)""")
+def replay_points(spark, sf_dir):
+    made, hits = _replayed(Tables(spark, sf_dir))
+    return replay.point_decisions(hits, made, "point")
+
+
+# ---- identity: brands are nodes and parts their columns; the head writes metadata in another order, and changes some
+
+
+def _catalog(t: Tables, head: bool) -> DataFrame:
+    size = F.when((F.col("p_partkey") % 97 == 0) & F.lit(head), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    pair = [F.concat(F.lit('"size": '), size), F.concat(F.lit('"type": "'), "p_type", F.lit('"'))]
+    rows = t.part.where("p_partkey % 101 <> 0" if head else "p_partkey % 103 <> 0")
+    node = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 40).cast("string"))
+    return rows.select(node.alias("node"), F.col("p_partkey").cast("string").alias("column"), F.col("p_type").alias("data_type"), F.parse_json(F.concat(F.lit("{"), F.concat_ws(", ", *(pair[::-1] if head else pair)), F.lit("}"))).alias("meta"))
+
+
+@_query("""with b as (select p_brand || '/' || (p_partkey // 40) as node, list_sort(list((p_partkey, p_size))) as v from part where p_partkey % 103 <> 0 group by 1),
+ h as (select p_brand || '/' || (p_partkey // 40) as node, list_sort(list((p_partkey, case when p_partkey % 97 = 0 then p_size + 1 else p_size end))) as v from part where p_partkey % 101 <> 0 group by 1)
+ select coalesce(b.node, h.node) as node, case when h.node is null then 'removed' when b.node is null then 'added' else 'changed' end as kind from b full join h on b.node = h.node where b.v is distinct from h.v""")
+def catalog_changes(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return identity.changed_nodes(identity.node_digests(_catalog(t, False)), identity.node_digests(_catalog(t, True)))
+
+
+@_query("""select p_brand as node, case when n = 0 then 'unavailable' when same then 'degraded' when stale then 'degraded' else 'available' end as status, case when n = 0 then 'no catalog on a side' when same then 'identical catalogs' when stale then 'stale head catalog' end as reason
+ from (select p_brand, count(*) filter (p_size > 49) as n, sum(p_size) % 3 = 0 as same, count(*) % 2 = 0 and sum(p_size) % 5 <> 0 as stale from part group by 1)""")
+def structural_availability(spark, sf_dir):
+    size, n = F.sum("p_size"), F.count("*")
+    run = F.when(size % 5 == 0, "run1").otherwise("run2")
+    g = Tables(spark, sf_dir).part.groupBy(F.col("p_brand").alias("node")).agg(F.count_if(F.col("p_size") > 49).alias("base_nodes"), n.alias("head_nodes"), F.lit("x").alias("base_fingerprint"), F.when(size % 3 == 0, "x").otherwise("y").alias("head_fingerprint"), F.when(n % 2 == 0, "2024-01-01T10:00:00Z").otherwise("2024-01-01T12:00:00.5+00:00").alias("catalog_at"), run.alias("catalog_run"), F.lit("2024-01-01T11:00:00.000001Z").alias("manifest_at"), F.lit("run1").alias("manifest_run"))
+    return identity.structural_status(g).select("node", "status", "reason")
+
+
 # ---- dashboards
 
 
