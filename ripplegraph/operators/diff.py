@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.text import signature, unreadable
+from ripplegraph.functions.text import READINGS, same_code, signature, unreadable
 
 #: Which of several changes of one column is reported.
 PRIORITY = {"removed": 5, "type_changed": 4, "logic_changed": 3, "added": 1}
@@ -40,10 +40,13 @@ def by_kind(changes: DataFrame) -> DataFrame:
     return changes.groupBy("kind").agg(F.count("*").alias("n_changes"))
 
 
-def logic_status(base_sql: Column, head_sql: Column, is_model: Column) -> Column:
-    """changed, unchanged or indeterminate: a model without SQL on a side can't be told, other nodes have none."""
+def logic_status(base_sql: Column, head_sql: Column, is_model: Column, dialect: str | None = None) -> Column:
+    """changed, unchanged or indeterminate: a model without SQL on a side can't be told, other nodes have none.
+
+    What isn't proven to be the same has changed.
+    """
     missing = base_sql.isNull() | head_sql.isNull()
-    return F.when(missing & is_model, "indeterminate").when(missing, "unchanged").when(signature(base_sql) == signature(head_sql), "unchanged").otherwise("changed")
+    return F.when(missing & is_model, "indeterminate").when(missing, "unchanged").when(same_code(base_sql, head_sql, dialect), "unchanged").otherwise("changed")
 
 
 def indeterminate_columns(models: DataFrame, columns: DataFrame) -> DataFrame:
@@ -88,14 +91,22 @@ def git_scope(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths, "file", "left").select("file", "node", scope.alias("scope"))
 
 
-def compare_expressions(base: Column, head: Column) -> Column:
-    """equivalent, indeterminate or meaning_changed, from token signatures; a side that is empty or unreadable can't be told."""
+def compare_expressions(base: Column, head: Column, dialect: str | None = None) -> Column:
+    """equivalent, indeterminate or meaning_changed; a side that is empty or unreadable can't be told, nor what readings disagree on.
+
+    Two sides without an expression are equivalent.
+    """
     b, h = F.coalesce(base, F.lit("")), F.coalesce(head, F.lit(""))
-    unsure = (F.size(signature(b)) == 0) | (F.size(signature(h)) == 0) | unreadable(b) | unreadable(h)
-    return F.when(signature(b) == signature(h), "equivalent").when(unsure, "indeterminate").otherwise("meaning_changed")
+    same = same_code(b, h, dialect)
+    unsure = _empty(b) | _empty(h) | unreadable(b, dialect) | unreadable(h, dialect) | same.isNull()
+    return F.when(same, "equivalent").when(unsure, "indeterminate").otherwise("meaning_changed")
+
+
+def _empty(x: Column) -> Column:
+    return F.size(signature(x, READINGS[0])) == 0
 
 
-def classify_changes(base: DataFrame, head: DataFrame, keys: list[str], expression: str) -> DataFrame:
+def classify_changes(base: DataFrame, head: DataFrame, keys: list[str], expression: str, dialect: str | None = None) -> DataFrame:
     """(keys, semantic) of the keys whose derivation differs between two tables with a row per branch.
 
     One branch on each side is compared as an expression; an unreadable or missing expression anywhere makes it
@@ -103,10 +114,12 @@ def classify_changes(base: DataFrame, head: DataFrame, keys: list[str], expressi
     """
     side = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.coalesce(expression, F.lit("")))).alias(name))
     both = side(base, "_b").join(side(head, "_h"), keys)
-    poor = lambda xs: F.exists(xs, lambda x: (F.size(signature(x)) == 0) | unreadable(x))
+    poor = lambda xs: F.exists(xs, lambda x: _empty(x) | unreadable(x, dialect))
     one = (F.size("_b") == 1) & (F.size("_h") == 1)
-    alike = F.transform("_b", signature) == F.transform("_h", signature)
-    semantic = F.when(one, compare_expressions(F.col("_b")[0], F.col("_h")[0])).when(poor(F.col("_b")) | poor(F.col("_h")), "indeterminate").otherwise("meaning_changed")
+    # branches in order of their texts: a pair that can't be told is not alike
+    pairs = F.zip_with("_b", "_h", lambda x, y: F.coalesce(same_code(x, y, dialect), F.lit(False)))
+    alike = (F.size("_b") == F.size("_h")) & F.forall(pairs, lambda x: x)
+    semantic = F.when(one, compare_expressions(F.col("_b")[0], F.col("_h")[0], dialect)).when(poor(F.col("_b")) | poor(F.col("_h")), "indeterminate").otherwise("meaning_changed")
     return both.where(~alike | poor(F.col("_b")) | poor(F.col("_h"))).select(*keys, semantic.alias("semantic"))
 
 

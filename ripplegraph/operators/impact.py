@@ -99,12 +99,6 @@ def selection(edited: DataFrame, reached: DataFrame, unsure: DataFrame, universe
     return all_.join(must, "node", "left").select("node", status.alias("status"))
 
 
-def selector(chosen: DataFrame) -> DataFrame:
-    """One row: how many nodes are rebuilt, how many skipped, and the selector string."""
-    names = F.array_sort(F.collect_set(F.when(F.col("status") == "rebuild", F.col("node"))))
-    return chosen.agg(F.count_if(F.col("status") == "rebuild").alias("n_rebuild"), F.count_if(F.col("status") == "skippable").alias("n_skippable"), F.array_join(names, " ").alias("rebuild_selector"))
-
-
 def ranked_reasons(resolution: DataFrame) -> DataFrame:
     """status, reason, n_models and rank: the most frequent reason of a status first, names decide ties."""
     counted = resolution.groupBy("status", "reason").agg(F.count("*").alias("n_models"))

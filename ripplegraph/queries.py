@@ -210,18 +210,18 @@ def diff_priority_dedup(spark, sf_dir):
     return diff.dedup_changes(rows, ["user_id", "bucket"], "event_id")
 
 
-def _tokens(sql: str) -> str:
-    """DuckDB's token signature."""
-    pattern = text.TOKEN.replace("'", "''")
-    return f"list_filter(regexp_extract_all({sql}, '{pattern}'), lambda x: not starts_with(x, '--') and not (starts_with(x, '/*') and length(x) > 3))"
+def _plain_text() -> Column:
+    """A document's text without the signs that begin or end literals and comments."""
+    return F.translate("text", "'\"`\\\\$#", "")
 
 
-@_query(f"""with p as (select doc_id, '''' || text || '''' as base, source, case when lang = 'es' then null when lang = 'de' then text || ' where x' when doc_id % 2 = 0 then '''' || replace(text, chr(10), '  ') || '''' else '''' || text || '''' || chr(10) || ' -- said' end as head from documents)
- select source, status, count(*) as n_models from (select source, case when (base is null or head is null) and source <> 'src0' then 'indeterminate' when base is null or head is null then 'unchanged'
-  when {_tokens("base")} = {_tokens("head")} then 'unchanged' else 'changed' end as status from p) group by 1, 2""")
+@_query("""select source, case when lang = 'es' and source <> 'src0' then 'indeterminate' when lang = 'es' then 'unchanged' when lang = 'de' or doc_id % 2 = 1 then 'changed' else 'unchanged' end as status, count(*) as n_models from documents group by 1, 2""")
 def logic_status_three_state(spark, sf_dir):
-    head = F.when(F.col("lang") == "es", None).when(F.col("lang") == "de", F.concat("text", F.lit(" where x"))).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("'"), F.replace("text", F.lit("\n"), F.lit("  ")), F.lit("'"))).otherwise(F.concat(F.lit("'"), "text", F.lit("'\n -- said")))
-    status = diff.logic_status(F.concat(F.lit("'"), "text", F.lit("'")), head, F.col("source") != "src0")
+    """Texts as literals of a statement; the SQL knows what was done to each and reads no text."""
+    base = F.concat(F.lit("select '"), _plain_text(), F.lit("' as X"))
+    heads = {"more": F.concat(base, F.lit(" where x")), "layout": F.concat(F.lit("SELECT  '"), _plain_text(), F.lit("'\n as x -- said")), "inside": F.concat(F.lit("select '"), _plain_text(), F.lit(" ' as X"))}
+    head = F.when(F.col("lang") == "es", None).when(F.col("lang") == "de", heads["more"]).when(F.col("doc_id") % 2 == 0, heads["layout"]).otherwise(heads["inside"])
+    status = diff.logic_status(base, head, F.col("source") != "src0")
     return Tables(spark, sf_dir).documents.select("source", status.alias("status")).groupBy("source", "status").agg(F.count("*").alias("n_models"))
 
 
@@ -305,14 +305,14 @@ def override_stale(spark, sf_dir):
     return diff.stale_overrides(_pair_changes(t), _overrides(t)).select("verb", "line")
 
 
-@_query(r"""with s as (select doc_id, '-- ripple:allow(' || case when lang = 'en' then 'change' else 'break' end || ')' || case when source = 'src1' then ' column=' || lang else '' end || ' reason="' || source || '"' || chr(10) || text as sql from documents),
- l as (select doc_id, unnest(string_split(sql, chr(10))) as x, generate_subscripts(string_split(sql, chr(10)), 1) as line from s),
- p as (select doc_id, line, regexp_extract(x, '--\s*ripple:allow\((change|break)\)(?:\s+column=(\w+))?\s+reason="([^"]+)"', 1) as verb, nullif(regexp_extract(x, '--\s*ripple:allow\((change|break)\)(?:\s+column=(\w+))?\s+reason="([^"]+)"', 2), '') as col,
-  regexp_extract(x, '--\s*ripple:allow\((change|break)\)(?:\s+column=(\w+))?\s+reason="([^"]+)"', 3) as reason from l)
- select doc_id, line, verb, col as "column", reason from p where verb <> ''""")
+@_query("""select doc_id, 1 as line, case when lang = 'en' then 'change' else 'break' end as verb, case when source = 'src1' then lang end as "column", case when source = 'src1' then 'column' else 'model' end as scope, source as reason, null as problem from documents
+ union all select doc_id, 3 + length(text) - length(replace(text, chr(10), '')), 'break', 'total_' || lang, 'column', case when lang <> 'fr' then source end, case when lang = 'fr' then 'no reason' end from documents""")
 def pragma_scan(spark, sf_dir):
-    head = F.concat(F.lit("-- ripple:allow("), F.when(F.col("lang") == "en", "change").otherwise("break"), F.lit(")"), F.when(F.col("source") == "src1", F.concat(F.lit(" column="), "lang")).otherwise(""), F.lit(' reason="'), "source", F.lit('"\n'), "text")
-    return Tables(spark, sf_dir).documents.select("doc_id", F.explode(text.pragmas(head)).alias("d")).select("doc_id", "d.*")
+    """A directive for the model, one in a literal, which is none, and one for the column that follows."""
+    first = F.concat(F.lit("-- ripple:allow("), F.when(F.col("lang") == "en", "change").otherwise("break"), F.lit(")"), F.when(F.col("source") == "src1", F.concat(F.lit(" column="), "lang")).otherwise(""), F.lit(' reason="'), "source", F.lit('"\n'))
+    inner = F.concat(F.lit("select '-- ripple:allow-change reason=x "), _plain_text(), F.lit("' as body,\n"))
+    last = F.concat(F.lit("-- ripple:allow-break "), F.when(F.col("lang") == "fr", "").otherwise(F.concat(F.lit("reason='"), "source", F.lit("'"))), F.lit("\n sum(x, y) as total_"), "lang", F.lit(" from t"))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.explode(text.pragmas(F.concat(first, inner, last))).alias("d")).select("doc_id", "d.*")
 
 
 # ---- impact
@@ -412,13 +412,6 @@ def _chosen(t: Tables) -> DataFrame:
     return impact.selection(t.supplier.where("s_acctbal < 0").select(node), reached, t.supplier.where("s_nationkey = 3").select(node), t.supplier.select(node), widen=False)
 
 
-@_query("""with e as (select 's' || s_suppkey as node from supplier where s_acctbal < 0), r as (select distinct 's' || l_suppkey as node from lineitem where l_returnflag = 'R' and l_discount > 0.09 and l_quantity > 48),
- u as (select 's' || s_suppkey as node from supplier where s_nationkey = 3), m as (select node from e union select node from r union select node from u)
- select (select count(*) from m) as n_rebuild, (select count(*) from supplier) - (select count(*) from m) as n_skippable, (select string_agg(node, ' ' order by node) from m) as rebuild_selector""")
-def rebuild_selector(spark, sf_dir):
-    return impact.selector(_chosen(Tables(spark, sf_dir)))
-
-
 @_query("""with n as (select 'd' || d.doc_id as name, l.doc_id is not null as in_catalog from documents d left join labels l on l.doc_id = d.doc_id)
  select count(*) as n_models, count(*) filter (in_catalog) as n_catalog, count(*) filter (not in_catalog) as n_missing,
  (select string_agg(name, ',' order by name) from (select name from n where not in_catalog order by name limit 25)) as missing_names, count(*) filter (not in_catalog) = 0 as complete from n""")
@@ -857,90 +850,6 @@ def test_attribution(spark, sf_dir):
     return o.groupBy(F.when(sole(F.col("deps")).isNotNull(), "attributed").otherwise("ambiguous").alias("state")).agg(F.count("*").alias("n_tests"), F.count_distinct(ref_target(F.col("ref"))).alias("n_targets"))
 
 
-# ---- column lineage: models over the given tables, their edges joined with what the sources hold
-
-MODELS = {
-    "m_paid": "with x as (select * from orders) select o_orderkey, o_custkey as customer, o_totalprice * 2 as twice from x where o_orderstatus = 'F'",
-    "m_star": "select * except (twice) from m_paid",
-    "m_both": "select c_custkey as k from customer union all select s_suppkey from supplier",
-    "m_join": "select c.c_name, n.n_name as nation, sum(p.twice) as total from customer c join nation n on n.n_nationkey = c.c_nationkey join m_paid p on p.customer = c.c_custkey group by c.c_name, n.n_name",
-    "m_common": "select o_custkey from orders intersect select c_custkey from customer",
-    "m_idle": "select c_custkey from customer except select o_custkey from orders",
-    "m_lateral": "select o_totalprice * 2 as a, a + o_orderkey as b from orders",
-    "m_flat": "select o_orderkey, part from orders lateral view explode(split(o_orderpriority, '-')) as part",
-    "m_sub": "select s_name from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
-    "m_broken": "select no_such_column from orders",
-}
-_SIZES = "(" + " union all ".join(f"select '{x}' as source, count(*) as n from {x}" for x in ("orders", "customer", "supplier", "nation")) + ")"
-
-
-def _lineage(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from ripplegraph.plans import lineage
-
-    return lineage.edges(t.spark, MODELS, {x: getattr(t, x).schema for x in ("orders", "customer", "supplier", "nation")})
-
-
-def _sized(t: Tables, edges: DataFrame) -> DataFrame:
-    """Adds the rows of each source that is a table."""
-    sizes = [getattr(t, x).agg(F.count("*").alias("n_rows")).select(F.lit(x).alias("source"), "n_rows") for x in ("orders", "customer", "supplier", "nation")]
-    both = sizes[0]
-    for x in sizes[1:]:
-        both = both.union(x)
-    return edges.join(both, "source", "left")
-
-
-def _listed(columns: str, rows: str) -> str:
-    return f"e({columns}) as (values " + ", ".join("(" + ", ".join(f"'{v}'" for v in r.split()) + ")" for r in rows.strip().splitlines()) + ")"
-
-
-@_query("with " + _listed("model, col, source, source_column, transformation", """
-m_paid o_orderkey orders o_orderkey direct
-m_paid customer orders o_custkey renamed
-m_paid twice orders o_totalprice derived
-m_star o_orderkey m_paid o_orderkey direct
-m_star customer m_paid customer direct
-m_both k customer c_custkey renamed
-m_both k supplier s_suppkey renamed
-m_join c_name customer c_name direct
-m_join nation nation n_name renamed
-m_join total m_paid twice derived
-m_common o_custkey orders o_custkey direct
-m_common o_custkey customer c_custkey renamed
-m_idle c_custkey customer c_custkey direct
-m_lateral a orders o_totalprice derived
-m_lateral b orders o_totalprice derived
-m_lateral b orders o_orderkey derived
-m_flat o_orderkey orders o_orderkey direct
-m_flat part orders o_orderpriority derived
-m_sub s_name supplier s_name direct
-""") + f" select model, col as \"column\", e.source, source_column, transformation, n as n_rows from e left join {_SIZES} s on s.source = e.source")
-def lineage_edges(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return _sized(t, _lineage(t)[0].drop("branch"))
-
-
-@_query("with " + _listed("model, source, source_column", """
-m_paid orders o_orderstatus
-m_join customer c_nationkey
-m_join nation n_nationkey
-m_join m_paid customer
-m_join customer c_custkey
-m_idle orders o_custkey
-m_sub supplier s_nationkey
-m_sub nation n_nationkey
-m_sub nation n_regionkey
-""") + f" select model, e.source, source_column, n as n_rows from e left join {_SIZES} s on s.source = e.source")
-def lineage_predicates(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return _sized(t, _lineage(t)[1].drop("condition"))
-
-
-@_query("select 'm_broken' as model, count(*) as n_rows from orders")
-def opaque_models(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return _sized(t, _lineage(t)[2].select("model", F.lit("orders").alias("source"))).drop("source")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
