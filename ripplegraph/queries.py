@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import meta, text, tri
-from ripplegraph.operators import bi, diff, fold, graph, identity, impact, policy, replay, verdict, versions
+from ripplegraph.operators import bi, cards, diff, fold, graph, identity, impact, policy, replay, verdict, versions
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -829,6 +829,33 @@ def snapshot_staleness(spark, sf_dir):
     return last.groupBy(bi.staleness(F.col("m"), F.lit("2024-01-31").cast("timestamp")).alias("state")).agg(F.count("*").alias("n_users"))
 
 
+CARDS = """k as (select o_orderkey as k from orders), f as (select i, 't' || (i % 5) as rel, 'c' || i as col from range(9) r(i)),
+ m as (select k, p.rel, p.col, 'breakout' as role, 1 as pr from k join f p on p.i = k % 11 union all select k, q.rel, q.col, 'filter', 2 from k join f q on q.i = k % 12),
+ i as (select k, rel, col, arg_min(role, pr) as role from m group by 1, 2, 3),
+ n as (select k.k, min(i.rel) as rel, 'c3' as col from k join i on i.k = k.k - 1 and i.col = 'c3' where k.k % 5 = 0 group by 1),
+ c as (select k, rel, col, arg_min(role, pr) as role from (select k, rel, col, role, 1 as pr from i union all select k, rel, col, 'filter', 2 from n) group by 1, 2, 3),
+ b as (select k, rel from c union select k, 't' || (k % 7) from k where k % 5 <> 0 and k % 7 < 5), r as (select k, rel from b union select k.k, b.rel from k join b on b.k = k.k - 1 where k.k % 5 = 0)"""
+
+
+@_query(f"""with {CARDS}, x as (select k, count(*) as n, count(*) filter (role = 'breakout') as nb from c group by 1), y as (select k, count(*) as n from r group by 1)
+ select k.k as card, case when x.n > 0 then 'column' when y.n > 0 then 'table' else 'none' end as precision, case when x.n > 0 then null when y.n > 0 then 'unknown_field' else 'unknown_table' end as reason, coalesce(x.n, 0) as n_columns, coalesce(x.nb, 0) as n_breakout, coalesce(y.n, 0) as n_relations
+ from k left join x on x.k = k.k left join y on y.k = k.k""")
+def structured_cards(spark, sf_dir):
+    """Orders as cards: every fifth reads the card before it, by a nested query where its key ends in 5."""
+    k = F.col("o_orderkey").cast("string")
+    n = lambda m: (F.col("o_orderkey") % m).cast("string")
+    source = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('"card__'), (F.col("o_orderkey") - 1).cast("string"), F.lit('"'))).otherwise(n(7))
+    clauses = F.concat(F.lit('"filter": ["and", ["=", ["field", '), n(12), F.lit(', null], 1], [">", ["field", "C3", {"base-type": "x"}], 2]], "breakout": [["field", '), n(11), F.lit(", null]]"))
+    inner = F.concat(F.lit('{"source-table": '), source, F.lit(", "), clauses, F.lit("}"))
+    query = F.when(F.col("o_orderkey") % 10 == 5, F.concat(F.lit('{"source-query": '), inner, F.lit("}"))).otherwise(inner)
+    t = Tables(spark, sf_dir)
+    made = t.orders.select(F.col("o_orderkey").alias("card"), F.parse_json(F.concat(F.lit('{"type": "query", "query": '), query, F.lit("}"))).alias("query"))
+    fields = spark.range(9).select(F.col("id").alias("field_id"), F.concat(F.lit("t"), F.col("id") % 5).alias("relation"), F.concat(F.lit("c"), "id").alias("column"))
+    columns, relations, rows = cards.resolve_cards(made, fields, spark.range(5).select(F.col("id").alias("table_id"), F.concat(F.lit("t"), "id").alias("relation")))
+    counted = columns.groupBy("card").agg(F.count("*").alias("n_columns"), F.count_if(F.col("role") == "breakout").alias("n_breakout"))
+    return rows.join(counted, "card", "left").join(relations.groupBy("card").agg(F.count("*").alias("n_relations")), "card", "left").fillna(0, ["n_columns", "n_breakout", "n_relations"])
+
+
 # ---- ingest
 
 
