@@ -68,6 +68,58 @@ def select(edges: DataFrame, selector: str) -> DataFrame:
     return out
 
 
+def parse_column_selector(selector: str) -> tuple[bool, str, str | None, bool]:
+    """(upstream, model, column, downstream) of ``[+]model[.column][+]``, in lower case; what follows the first dot is the column."""
+    up, node, down = parse_selector(selector)
+    model, _, column = node.lower().partition(".")
+    if not model or node.endswith("."):
+        raise ValueError(f"selector {selector!r} names no model or column")
+    return up, model, column or None, down
+
+
+def column_node(model: Column, column: Column) -> Column:
+    """A column as a node: model.column in lower case; columns have no dots, models may."""
+    return F.concat_ws(".", F.lower(model), F.lower(column))
+
+
+def column_upstream(edges: DataFrame, declared: DataFrame, models: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, kind, model, column, level): what columns come from; seeds are (key, model, column).
+
+    ``edges`` is model, column, src_model, src_column.  A source is followed (kind column) only if its model is a declared parent (``declared``:
+    parent, child) of the reading one.  A reference without a model is a direct_ref, one to a model that isn't known is a
+    source; both end there and are reported for every reached column that has them.
+    """
+    low = [F.lower(c).alias(c) for c in ("model", "column", "src_model", "src_column")]
+    edges = edges.select(*low).distinct()
+    parents = declared.select(F.lower("parent").alias("src_model"), F.lower("child").alias("model")).distinct()
+    walked = edges.join(parents, ["src_model", "model"], "left_semi").select(column_node(F.col("model"), F.col("column")).alias("src"), column_node(F.col("src_model"), F.col("src_column")).alias("dst"))
+    start = seeds.select("key", column_node(F.col("model"), F.col("column")).alias("node"))
+    found = stash(bfs_levels(walked, start))
+    split = lambda n: (F.regexp_extract(n, r"^(.*)\.[^.]*$", 1).alias("model"), F.regexp_extract(n, r"([^.]*)$", 1).alias("column"))
+    followed = found.where("level > 0").select("key", F.lit("column").alias("kind"), *split("node"), "level")
+    known = models.select(F.lower("model").alias("src_model")).distinct().withColumn("known", F.lit(True))
+    ends = edges.join(known, "src_model", "left").where("known is null").select(column_node(F.col("model"), F.col("column")).alias("node"), "src_model", "src_column")
+    hit = found.join(ends, "node").groupBy("key", "src_model", "src_column").agg((F.min("level") + 1).alias("level"))
+    kind = F.when(F.col("src_model").isNull(), "direct_ref").otherwise("source")
+    return followed.unionByName(hit.select("key", kind.alias("kind"), F.col("src_model").alias("model"), F.col("src_column").alias("column"), "level"))
+
+
+def select_columns(edges: DataFrame, declared: DataFrame, models: DataFrame, selector: str) -> DataFrame:
+    """(side, kind, model, column, level) of ``[+]model[.column][+]`` over columns; a model alone means all its columns."""
+    up, model, column, down = parse_column_selector(selector)
+    ends = edges.select("model", "column").unionByName(edges.where("src_model is not null").select(F.col("src_model").alias("model"), F.col("src_column").alias("column")))
+    mine = (F.lower("model") == model) & (F.lower("column") == column if column else F.lit(True))
+    seeds = stash(ends.where(mine).select(F.lit(0).alias("key"), F.lower("model").alias("model"), F.lower("column").alias("column")).distinct())
+    out = seeds.select(F.lit("self").alias("side"), F.lit("column").alias("kind"), "model", "column", F.lit(0).alias("level"))
+    if up:
+        out = out.unionByName(column_upstream(edges, declared, models, seeds).select(F.lit("upstream").alias("side"), "kind", "model", "column", "level"))
+    if down:
+        ways = edges.where("src_model is not null").select(column_node(F.col("src_model"), F.col("src_column")).alias("src"), column_node(F.col("model"), F.col("column")).alias("dst"))
+        found = bfs_levels(ways, seeds.select("key", column_node(F.col("model"), F.col("column")).alias("node"))).where("level > 0")
+        out = out.unionByName(found.select(F.lit("downstream").alias("side"), F.lit("column").alias("kind"), F.regexp_extract("node", r"^(.*)\.[^.]*$", 1).alias("model"), F.regexp_extract("node", r"([^.]*)$", 1).alias("column"), "level"))
+    return out
+
+
 def immediate(edges: DataFrame) -> DataFrame:
     """Each node's direct dependents: (src, n_dependents)."""
     return edges.select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n_dependents"))

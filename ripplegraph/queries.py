@@ -7,13 +7,16 @@ project, ``events.props`` as metadata, and ``documents`` with its partial ``labe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import meta, text, tri
-from ripplegraph.operators import bi, cards, diff, fold, graph, identity, impact, policy, replay, verdict, versions
+from ripplegraph.operators import bi, cards, diff, fold, graph, identity, impact, layout, policy, replay, verdict, versions
+from ripplegraph.sources import files
+from ripplegraph.tables import shared_folder
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -856,6 +859,53 @@ def structured_cards(spark, sf_dir):
     return rows.join(counted, "card", "left").join(relations.groupBy("card").agg(F.count("*").alias("n_relations")), "card", "left").fillna(0, ["n_columns", "n_breakout", "n_relations"])
 
 
+@_query("""select c_nationkey as dashboard_id, count(*) as n_cards, count(*) filter (c_acctbal < 0) as n_archived, 'n' || c_nationkey as tier, count(distinct c_mktsegment) as n_columns from customer where c_nationkey in (select n_nationkey from nation) group by c_nationkey""")
+def bi_snapshot(spark, sf_dir):
+    """Customers as cards and nations as dashboards: written as a snapshot, loaded again, and joined."""
+    t = Tables(spark, sf_dir)
+    column = F.struct(F.lit("customer").alias("relation"), F.lower("c_mktsegment").alias("column"), F.lit("filter").alias("role"), F.lit("high").alias("confidence"))
+    made = {
+        "cards": t.customer.select(F.col("c_custkey").alias("card_id"), F.col("c_name").alias("name"), (F.col("c_acctbal") < 0).alias("archived"), F.array(column).alias("columns")),
+        "dashboards": t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").cast("long").alias("dashboard_id")).agg(F.collect_list("c_custkey").alias("card_ids")).withColumn("meta", F.parse_json(F.concat(F.lit('{"tier": "n'), "dashboard_id", F.lit('"}')))),
+        "relations": spark.sql("select 'customer' as relation, 'customer' as table"),
+    }
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    files.dump_snapshot(made, path, {"by": "bi_snapshot"})
+    s = files.load_snapshot(spark, path)
+    shown = s["dashboards"].select("dashboard_id", F.try_variant_get("meta", "$.tier", "string").alias("tier"), F.explode("card_ids").alias("card_id")).join(s["cards"], "card_id")
+    return shown.groupBy("dashboard_id", "tier").agg(F.count("*").alias("n_cards"), F.count_if("archived").alias("n_archived"), F.count_distinct(F.col("columns")[0]["column"]).alias("n_columns"))
+
+
+@_query(f"""with recursive {EDGES}, w(node, layer) as (select node, 0 from (select src as node from edges union select dst from edges) where node not in (select dst from edges) union all select e.dst, w.layer + 1 from w join edges e on e.src = w.node)
+ select substr(node, 1, 1) as kind, layer, count(*) as n_nodes from (select node, max(layer) as layer from w group by node) group by 1, 2""")
+def graph_layers(spark, sf_dir):
+    return layout.layers(_edges(Tables(spark, sf_dir))).groupBy(F.substring("node", 1, 1).alias("kind"), "layer").agg(F.count("*").alias("n_nodes"))
+
+
+def _column_edges(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columns of models n, c, o and l; part columns are no declared source of l, priorities are of no known model, segments of none."""
+    edge = lambda df, m, c, sm, sc: df.select(F.lit(m).alias("model"), F.col(c).cast("string").alias("column"), F.lit(sm).cast("string").alias("src_model"), F.col(sc).cast("string").alias("src_column"))
+    edges = edge(t.customer, "C", "c_custkey", "n", "c_nationkey").unionByName(edge(t.customer, "c", "c_custkey", None, "c_mktsegment")).unionByName(edge(t.orders, "o", "o_orderkey", "c", "o_custkey"))
+    edges = edges.unionByName(edge(t.orders, "o", "o_orderkey", "ext", "o_orderpriority")).unionByName(edge(t.lineitem, "l", "l_orderkey", "o", "l_orderkey")).unionByName(edge(t.lineitem, "l", "l_orderkey", "p", "l_partkey"))
+    declared = t.spark.sql("select * from values ('n', 'c'), ('c', 'o'), ('o', 'L') as d(parent, child)")
+    return edges, declared, t.spark.sql("select * from values ('n'), ('c'), ('o'), ('l'), ('p') as m(model)")
+
+
+@_query("""with s as (select distinct l_orderkey as k from lineitem where l_quantity > 49), o as (select k, o_custkey as ck, o_orderpriority as p from s join orders on o_orderkey = k),
+ c as (select k, ck, c_nationkey as nk, c_mktsegment as seg from o join customer on c_custkey = ck)
+ select kind, model, level, count(*) as n_refs from (select 'column' as kind, 'o' as model, 1 as level, k from s union all select 'column', 'c', 2, k from o union all select 'column', 'n', 3, k from c union all select 'source', 'ext', 2, k from o union all select 'direct_ref', null, 3, k from c) group by 1, 2, 3""")
+def column_sources(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    seeds = t.lineitem.where("l_quantity > 49").select(F.col("l_orderkey").alias("key"), F.lit("l").alias("model"), F.col("l_orderkey").cast("string").alias("column")).distinct()
+    return graph.column_upstream(*_column_edges(t), seeds).groupBy("kind", "model", "level").agg(F.count("*").alias("n_refs"))
+
+
+@_query("""with c as (select c_custkey as k from customer where c_nationkey = 3), o as (select o_orderkey as k from orders where o_custkey in (select k from c)), l as (select distinct l_orderkey as k from lineitem where l_orderkey in (select k from o))
+ select 'self' as side, 'n' as model, 0 as level, 1 as n_columns union all select 'downstream', 'c', 1, count(*) from c union all select 'downstream', 'o', 2, count(*) from o union all select 'downstream', 'l', 3, count(*) from l""")
+def column_selector(spark, sf_dir):
+    return graph.select_columns(*_column_edges(Tables(spark, sf_dir)), "N.3+").groupBy("side", "model", "level").agg(F.count("*").alias("n_columns"))
+
+
 # ---- ingest
 
 
