@@ -3,7 +3,8 @@
 Texts become tokens of canonical form: numbers, units after numbers, and names turn into typed placeholders
 and keep their value as a slot.  An item's windows of ``window`` canonical words are hash-joined with those
 of all documents (an item shorter than that is one window).  A document's windows of one item that lie on one
-diagonal form an alignment.  An alignment counts if it covers at least ``cover`` percent of the item's words
+diagonal, or on others up to ``GAP`` words away that follow, form an alignment: so words that were put in or left out don't end it.  An
+alignment counts if it covers at least ``cover`` percent of the item's words
 (and its literal words say something: at least ``literal`` of them), and if its slots are consistent: one
 value in the item always stands for one value in the document.  So a copy is caught, and a question whose
 numbers, units or names were exchanged throughout is caught, while a text that only follows the same pattern
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from ripplegraph.llm import textkit as T
 BROADCAST_WINDOWS = 1 << 20
 #: Words of an item that counts when it is there word by word, however few of them are literal.
 VERBATIM = 3
+#: Words of an item that counts from end to end with half its words literal, and words put in or left out between two parts of one alignment.
+SHORT, GAP = 5, 3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*%?")
@@ -44,6 +48,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec secs min mins
 _EDGE = ".,;:!?\"'()[]"
 
 
+@lru_cache(maxsize=4)
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """Canonical words of a text (placeholders are <n>, <u>, <p>) and the words as they stand."""
     raw = _WORD.findall(text)
@@ -138,29 +143,76 @@ def _named(item: str) -> bool:
     return core[:1].isupper() and core[1:].islower()
 
 
-def _aligned(dk: list[str], dw: list[str], ik: list[str], iw: list[str], window: int, cover: int, literal: int) -> tuple[int, int, int, int] | None:
-    size = min(window, len(ik))
+def _pieces(dk: list[str], ik: list[str], size: int) -> list[tuple[int, int, int]]:
+    """(document place, item place, words) of the runs that windows of ``size`` words cover, one diagonal each."""
     at = defaultdict(list)
     for i in range(len(ik) - size + 1):
         at[tuple(ik[i : i + size])].append(i)
-    lines: dict[int, set[int]] = defaultdict(set)
+    open_: dict[int, list[int]] = {}
+    out = []
     for j in range(len(dk) - size + 1):
         for i in at.get(tuple(dk[j : j + size]), ()):
-            lines[j - i].update(range(i, i + size))
+            run = open_.get(j - i)
+            if run and i <= run[1] + run[2]:
+                run[2] = i + size - run[1]
+            else:
+                run = open_[j - i] = [j, i, size]
+                out.append(run)
+    return sorted(map(tuple, out))
+
+
+def _chains(pieces: list[tuple[int, int, int]], n_item: int, gap: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Words covered and pairs (item place, document place) of the best chain that ends in each piece.
+
+    A piece may follow one that begins before it in both texts if ``gap`` words at most were put in or left out between
+    them.  Only pieces within the item's length and its gaps are looked back at, and each diagonal's last there.
+    """
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    last: dict[int, int] = {}  # the last piece of a diagonal
+    for k, (j, i, n) in enumerate(pieces):
+        own = [(i + x, j + x) for x in range(n)]
+        best = (n, own)
+        for shift in range(j - i - gap, j - i + gap + 1):
+            p = last.get(shift)
+            if p is None or pieces[p][1] >= i or pieces[p][0] >= j or j - pieces[p][0] > 2 * n_item:
+                continue
+            end_i, end_j = found[p][1][-1]
+            new = [x for x in own if x[0] > end_i and x[1] > end_j]
+            if new and new[0][0] - end_i <= gap + 1 + n_item // 4 and found[p][0] + len(new) > best[0]:
+                best = (found[p][0] + len(new), found[p][1] + new)
+        found.append(best)
+        last[j - i] = k
+    return found
+
+
+def _aligned(dk: list[str], dw: list[str], ik: list[str], iw: list[str], window: int, cover: int, literal: int) -> tuple[int, int, int, int] | None:
     best = None
-    for shift, places in lines.items():
-        p = sorted(places)
-        whole = len(p) == len(ik) >= VERBATIM and all(iw[i] == dw[i + shift] for i in p)
-        if 100 * len(p) < cover * len(ik) or (sum(ik[i][0] != "<" for i in p) < literal and not whole):
+    for n, pairs in _chains(_pieces(dk, ik, min(window, len(ik))), len(ik), GAP):
+        said = sum(ik[i][0] != "<" for i, _ in pairs)
+        there = n == len(ik) and pairs[-1][1] - pairs[0][1] == n - 1
+        whole = there and n >= VERBATIM and all(iw[i] == dw[j] for i, j in pairs)
+        # a short item that is there from end to end has to say half of what it says in words
+        short = there and n >= SHORT and 2 * said >= n and said >= VERBATIM
+        if 100 * n < cover * len(ik) or (said < literal and not whole and not short):
             continue
-        if not consistent([iw[i] for i in p], [ik[i] for i in p], [dw[i + shift] for i in p]):
+        if not consistent([iw[i] for i, _ in pairs], [ik[i] for i, _ in pairs], [dw[j] for _, j in pairs]):
             continue
-        found = (len(p), shift + p[0], len(ik), sum(iw[i] != dw[i + shift] for i in p if ik[i][0] == "<"))
+        found = (n, pairs[0][1], len(ik), sum(iw[i] != dw[j] for i, j in pairs if ik[i][0] == "<"))
         if best is None or (found[0], -found[1]) > (best[0], -best[1]):
             best = found
     return best
 
 
+def _least(item: np.ndarray, key: np.ndarray, words: np.ndarray, size: int, cover: int) -> np.ndarray:
+    """For each window, how many different ones of its item an alignment has at least that covers ``cover`` percent of the words.
+
+    An item that has a window twice may be covered by fewer; one is asked of it.
+    """
+    different = np.bincount(np.unique(np.stack([item, key]), axis=1)[0], minlength=len(words))
+    need = np.where(different == np.bincount(item, minlength=len(words)), -(-cover * words // (100 * size)), 1)
+    return np.maximum(1, need)[item].astype(np.int64)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50, literal: int = 5) -> DataFrame:
     """doc_id, item_id, n_words (matched), start (first matched word), n_slots_changed: a row for each match."""
     return _matched(docs, items, window, cover, literal).drop("null_hash")
@@ -186,9 +238,9 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
             for size in np.unique(np.minimum(count[count > 0], window)):  # a short item is one window of its own size
                 doc, key = windows(hashes, count, int(size))
                 own = np.minimum(count[doc], window) == size
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[doc[own]]), pa.array(np.full(int(own.sum()), size, np.int32))], ["key", "item_id", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[doc[own]]), pa.array(np.full(int(own.sum()), size, np.int32)), pa.array(_least(doc[own], key[own], count, int(size), cover))], ["key", "item_id", "size", "least"])
 
-    keys = T.stash(items.where("item_id is not null").mapInArrow(item_rows, "key long, item_id long, size int").distinct())
+    keys = T.stash(items.where("item_id is not null").mapInArrow(item_rows, "key long, item_id long, size int, least long").groupBy("key", "item_id", "size").agg(F.min("least").alias("least")))
     sizes = [r["size"] for r in keys.select("size").distinct().collect()]  # at most ``window`` numbers
     few = keys.select("key").distinct().count() <= BROADCAST_WINDOWS
     known = spark.sparkContext.broadcast(np.sort(keys.select("key").distinct().toPandas()["key"].to_numpy(np.int64))) if few else None
@@ -205,8 +257,9 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(key)], ["doc_id", "h", "key"])
 
     text = T.text_frame(docs, T.text_hash().alias("h"))
-    hits = text.mapInArrow(doc_rows, "doc_id long, h long, key long").join(keys.select("key", "item_id"), "key").select("doc_id", "h", "item_id").distinct()
-    hits = T.stash(hits.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    hits = text.mapInArrow(doc_rows, "doc_id long, h long, key long").join(keys.select("key", "item_id", "least"), "key").groupBy("doc_id", "h", "item_id").agg(F.count_distinct("key").alias("n"), F.min("least").alias("least"))
+    # an alignment covers its words by that many windows at least, so with fewer no text has to travel
+    hits = T.stash(hits.where("n >= least").select("doc_id", "h", "item_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")))
     some = text.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(hits.drop("doc_id"), ["d", "h"]).join(items, "item_id").select("doc_id", "h", "item_id", "text", "item")
 
     def verify(batches: Iterator[pa.RecordBatch]):
@@ -224,6 +277,8 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    dirty = T.stash(_matched(docs, items, **how).select(F.col("doc_id").alias("_d"), F.col("null_hash").alias("_h")).distinct())
+    doc, digest = T.fresh(docs, "_d", "_h")
+    dirty = T.stash(_matched(docs, items, **how).select(F.col("doc_id").alias(doc), F.col("null_hash").alias(digest)).distinct())
     own = F.when(F.col("doc_id").isNull(), T.text_hash())
-    return T.without(docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_h", own), dirty, "_d", "_h").drop("_d", "_h")
+    left = T.without(docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, own), dirty, doc, digest)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,12 +1,14 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-A line is cut into ``distance + 1`` segments.  Two lines within that edit distance share one segment of the
+A line that allows e edits is cut into ``e + 1`` segments.  Two lines within that edit distance share one segment of the
 earlier-or-shorter line at a nearby place in the other, so each line is indexed under (length, segment number,
 segment) and probes the substrings of itself that can match a segment of a line as long as itself or up to
 ``distance`` shorter.  Lines that meet are verified with a banded bit-parallel edit distance.
 
-Rule: lines are ordered by (doc_id, hash of the text, line number).  A line of at least ``min_chars`` characters is dropped if
-an equal line or a line within ``distance`` edits stands earlier.  Shorter lines always stay.
+Rule: lines are ordered by (doc_id, hash of the text, line number).  A line is dropped if an equal line stands earlier, or one
+within the edits that both their lengths allow: one for each ``per_edit`` characters of the shorter line, ``distance`` at most.  So
+a line of any length is judged, and short ones have to be equal ("yes" and "no" are two edits apart).  Lines without a letter or
+a digit (blank ones, rulers, brackets) say nothing and stay.
 
 A first pass over the texts finds the keys under which two different lines stand, with one pre-aggregated row per key.
 A second one takes the lines that hold such a key, once each.  Of those, each line is first held against the earliest
@@ -20,6 +22,7 @@ equal; an empty table gives an empty result; other columns are carried along unr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ BLOCK = 512
 #: Characters for which the edit distance looks up places at once.
 _CHUNK = 512
 _BASE = 0x9E3779B97F4A7C15
+#: A letter or a digit.
+_SAYS = re.compile(r"[^\W_]")
 
 
 def segments(length: int, distance: int) -> list[tuple[int, int]]:
@@ -52,6 +57,11 @@ def segments(length: int, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(length: np.ndarray, distance: int, per_edit: int) -> np.ndarray:
+    """The edits that lines of these lengths allow."""
+    return np.minimum(length // per_edit, distance)
+
+
 def probes(length: int, distance: int) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment number, start, size) of the substrings that a line of this length looks up.
 
@@ -131,9 +141,12 @@ def _close(mine: list[dict], others: list[dict], distance: int) -> list[tuple[by
 
 
 class Lines:
-    """The lines of at least ``least`` characters of a batch of texts: text, line number, place, length and id of each."""
+    """The lines with a letter or digit of a batch of texts: text, line number, place, length and id of each.
+
+    With ``least`` only those of at least so many characters.
+    """
 
-    def __init__(self, texts: list[str], least: int):
+    def __init__(self, texts: list[str], least: int = 1):
         joined = "\n".join(texts)
         self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         many = np.array([t.count("\n") + 1 for t in texts], np.int64)
@@ -143,6 +156,7 @@ class Lines:
         starts = np.concatenate([[0], ends[:-1] + 1])
         keep = np.flatnonzero(ends - starts >= least)
         all_ = joined.split("\n")
+        keep = keep[np.fromiter((_SAYS.search(all_[i]) is not None for i in keep), bool, len(keep))]
         self.text = [all_[i] for i in keep]
         self.doc, self.number, self.start, self.length = doc[keep], number[keep], starts[keep], (ends - starts)[keep]
         self.id = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in self.text)
@@ -159,8 +173,11 @@ class Lines:
         """One line of each id."""
         return np.sort(np.unique(self.short(), return_index=True)[1])
 
-    def keys(self, at: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the lines at ``at``: place in it, key, and whether the line is indexed under it, for all of its probes."""
+    def keys(self, at: np.ndarray, distance: int, per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines at ``at``: place in it, key, and whether the line is indexed under it, for all of its probes.
+
+        What two lines allow is what the shorter one allows, which is the one that is looked up.
+        """
         n = len(self.codes)
         with np.errstate(over="ignore"):
             up, down = np.full((2, n + 1), 1, np.uint64)
@@ -168,54 +185,62 @@ class Lines:
             up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(T.mix64(self.codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        start, length, parts = self.start[at], self.length[at], distance + 1
+        start, length = self.start[at], self.length[at]
         out = []
         for shorter in range(distance + 1):
             own = length - shorter  # the length of the lines that are looked up
-            size, more = own // parts, own % parts
-            for i in range(parts):
-                place, n_chars = i * size + np.maximum(0, i - (parts - more)), size + (i >= parts - more)
-                low = np.maximum(np.maximum(0, place - i), place + shorter - (distance - i))
-                high = np.minimum(np.minimum(length - n_chars, place + i), place + shorter + (distance - i))
-                for step in range(2 * distance + 1):
-                    p = low + step
-                    ok = np.flatnonzero((p <= high) & (own >= parts))
-                    if not len(ok):
-                        break
-                    a = start[ok] + p[ok]
-                    with np.errstate(over="ignore"):
-                        h = (total[a + n_chars[ok]] - total[a]) * down[a] + T.mix64((own[ok] * parts + i).astype(np.uint64))
-                    out.append((ok, T.mix64(h).view(np.int64), (p[ok] == place[ok]) & (shorter == 0)))
+            for edits in range(max(1, shorter), distance + 1):  # without an edit, equal lines are found as such
+                some = np.flatnonzero(allowed(own, distance, per_edit) == edits)
+                out += [(some[ok], h, own_key) for ok, h, own_key in self._segment_keys(total, down, start[some], length[some], shorter, edits)]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         return tuple(np.concatenate(c) for c in zip(*out))
 
-
-def _held(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    def _segment_keys(self, total: np.ndarray, down: np.ndarray, start: np.ndarray, length: np.ndarray, shorter: int, edits: int) -> Iterator[tuple]:
+        """The probes of lines for lines that are ``shorter`` and allow ``edits``, in the bounds of ``probes``."""
+        own, parts = length - shorter, edits + 1
+        size, more = own // parts, own % parts
+        for i in range(parts):
+            place, n_chars = i * size + np.maximum(0, i - (parts - more)), size + (i >= parts - more)
+            low = np.maximum(np.maximum(0, place - i), place + shorter - (edits - i))
+            high = np.minimum(np.minimum(length - n_chars, place + i), place + shorter + (edits - i))
+            for step in range(2 * edits + 1):
+                p = low + step
+                ok = np.flatnonzero((p <= high) & (own >= parts))
+                if not len(ok):
+                    break
+                a = start[ok] + p[ok]
+                with np.errstate(over="ignore"):
+                    h = (total[a + n_chars[ok]] - total[a]) * down[a] + T.mix64((own[ok] * parts + i).astype(np.uint64))
+                yield ok, T.mix64(h).view(np.int64), (p[ok] == place[ok]) & (shorter == 0)
+
+
+def _held(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[tuple[pa.RecordBatch, Lines]]:
     for b in T.pieces(batches):
         yield b, Lines(b.column(1).to_pylist(), least)
 
 
-def drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def drops(docs: DataFrame, distance: int = 2, per_edit: int = 10) -> DataFrame:
     """Lines to drop: doc_id (null as LAST) and line_no from 0; ``row_drops`` tells rows of one doc_id apart."""
-    return row_drops(docs, distance, min_chars).select("doc_id", "line_no")
+    return row_drops(docs, distance, per_edit).select("doc_id", "line_no")
 
 
-def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def row_drops(docs: DataFrame, distance: int = 2, per_edit: int = 10) -> DataFrame:
     """Lines to drop: doc_id (null as LAST), text_hash of the whole text, and line_no from 0."""
     spark = T.session(docs.sparkSession)
-    min_chars = max(min_chars, distance + 1)
+    if per_edit < 2:
+        raise ValueError("a line has to have two characters at least for each edit")
     text = T.text_frame(docs, T.text_hash().alias("h"))
 
     def occurrences(batches):
-        for b, lines in _held(batches, min_chars):
+        for b, lines in _held(batches):
             doc = pa.array(lines.doc)
             yield pa.RecordBatch.from_arrays([lines.ids(), b.column(0).fill_null(LAST).take(doc), b.column(2).take(doc), pa.array(lines.number.astype(np.int32))], ["id", "d", "h", "n"])
 
     def keyed(batches):
-        for _, lines in _held(batches, min_chars):
+        for _, lines in _held(batches, per_edit):
             at = lines.once()
-            place, key, own = lines.keys(at, distance)
+            place, key, own = lines.keys(at, distance, per_edit)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lines.short()[at][place]), pa.array(own)], ["key", "id", "own"])
 
     lines = T.stash(text.mapInArrow(occurrences, "id binary, d long, h long, n int"))
@@ -226,9 +251,9 @@ def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFr
 
     def takes(batches):
         """A line, its letter counts, and those of its keys that the sieve lets through."""
-        for _, lines in _held(batches, min_chars):
+        for _, lines in _held(batches, per_edit):
             at = lines.once()
-            place, key, own = lines.keys(at, distance)
+            place, key, own = lines.keys(at, distance, per_edit)
             hit = np.flatnonzero(T.in_bitmap(sieve.value, key))
             hit = hit[np.argsort(place[hit], kind="stable")]
             line, many = np.unique(place[hit], return_counts=True)
@@ -252,7 +277,7 @@ def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFr
         def run(batches):
             for x in batches:
                 ids, left, right = (x.column(x.schema.get_field_index(c)).to_pylist() for c in ("id", "a", "b"))
-                yield pa.RecordBatch.from_arrays([pa.array(list({i for i, p, q in zip(ids, left, right) if within(p, q, distance)}), pa.binary())], ["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(list({i for i, p, q in zip(ids, left, right) if within(p, q, min(distance, min(len(p), len(q)) // per_edit))}), pa.binary())], ["id"])
 
         return pairs.join(a, "id").join(b, "other").select("id", "a", "b").mapInArrow(run, "id binary").distinct()
 
@@ -285,14 +310,16 @@ def row_drops(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFr
     return lines.join(judged, "id").where("late or d <> first.d or h <> first.h or n <> first.n").select(F.col("d").alias("doc_id"), F.col("h").alias("text_hash"), F.col("n").alias("line_no"))
 
 
-def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, distance: int = 2, per_edit: int = 10) -> DataFrame:
     """``docs`` with the column ``text`` rebuilt without dropped lines, and n_lines, n_dropped (long) added.
 
-    A document all of whose lines go has an empty text.
+    A document all of whose lines go has an empty text.  Input columns of these two names are refused.
     """
-    gone = row_drops(docs, distance, min_chars).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_set("line_no").alias("_gone"))
+    T.unclaimed(docs, "n_lines", "n_dropped")
+    doc, digest, lost = T.fresh(docs, "_d", "_h", "_gone")
+    gone = row_drops(docs, distance, per_edit).groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest)).agg(F.collect_set("line_no").alias(lost))
     gone = T.stash(gone)
-    rows = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", T.text_hash())
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(digest, T.text_hash())
     columns, text = list(docs.columns), docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]):
@@ -302,13 +329,14 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
                 lines, g = (t or "").split("\n"), set(g or ())
                 many.append((len(lines), len(g)))
                 out.append("\n".join(x for i, x in enumerate(lines) if i not in g) if g else t)
-            cols = list(b.columns)[:-3]
+            cols = list(b.columns)[:-1]
             cols[text] = pa.array(out, b.schema.field(text).type)
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([m[k] for m in many], pa.int64()) for k in range(2))], [*columns, "n_lines", "n_dropped"])
 
-    some = T.thin(rows, gone, "_d", "_h").join(gone, ["_d", "_h"], "left").select(*docs.columns, "_d", "_h", "_gone")
+    own = [F.col(f"`{c}`") for c in columns]
+    some = T.thin(rows, gone, doc, digest).join(gone, [doc, digest], "left").select(*own, lost)
     schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     count = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
     # documents that lose nothing are not shuffled
-    same = T.rest(rows, gone, "_d", "_h").withColumn("n_lines", F.coalesce(count, F.lit(1)).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
-    return same.drop("_d", "_h").unionByName(some.mapInArrow(cut, schema))
+    same = T.rest(rows, gone, doc, digest).select(*own, F.coalesce(count, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return same.unionByName(some.mapInArrow(cut, schema))

@@ -177,4 +177,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.02, dou
                 keep &= sign * n[over] / np.maximum(n[by], 1) <= most
             yield b.filter(pa.array(keep)).select(columns)
 
-    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)
+    (stratum,) = T.fresh(docs, "_stratum")
+    return docs.withColumn(stratum, F.coalesce(F.col("lang").cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)

@@ -73,7 +73,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"), distance=2, min_chars=20)
+    out = line_dedup(table(spark, sf_dir, "documents"), distance=2, per_edit=10)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
 

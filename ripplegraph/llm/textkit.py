@@ -250,12 +250,31 @@ def _words(cells: DataFrame) -> DataFrame:
     return cells.select(F.shiftright("_cell", 6).alias("_word"), F.expr("shiftleft(1L, cast(_cell & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are none of the frame's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def unclaimed(df: DataFrame, *results: str) -> None:
+    """A ValueError if a column that a result is to have is there already."""
+    both = sorted({c.lower() for c in df.columns} & {r.lower() for r in results})
+    if both:
+        raise ValueError(f"the result has columns of its own named {', '.join(both)}; rename the input's")
+
+
 def _sieve(docs: DataFrame, wanted: DataFrame, keys: tuple[str, ...], keep: bool) -> DataFrame:
     cell = F.xxhash64(*keys).bitwiseAND(F.lit((1 << _bits(wanted)) - 1))
-    words = _words(wanted.select(cell.alias("_cell")))
-    rows = docs.withColumn("_cell", cell).withColumn("_word", F.shiftright("_cell", 6))
-    hit = F.expr("coalesce(shiftright(_bits, cast(_cell & 63 as int)) & 1, 0) = 1")
-    return rows.join(F.broadcast(words), "_word", "left").where(hit if keep else ~hit).drop("_cell", "_word", "_bits")
+    at, word, bits = fresh(docs, "_cell", "_word", "_bits")
+    words = _words(wanted.select(cell.alias("_cell"))).select(F.col("_word").alias(word), F.col("_bits").alias(bits))
+    rows = docs.withColumn(at, cell).withColumn(word, F.shiftright(at, 6))
+    hit = F.coalesce(F.expr(f"shiftright(`{bits}`, cast(`{at}` & 63 as int)) & 1"), F.lit(0)) == 1
+    return rows.join(F.broadcast(words), word, "left").where(hit if keep else ~hit).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def thin(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
@@ -274,9 +293,10 @@ def rest(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """The rows of ``docs`` whose keys are not among ``gone``'s (null is equal to null); most rows are not shuffled."""
     same = F.lit(True)
-    other = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+    names = dict(zip(keys, fresh(docs, *(f"_gone_{k}" for k in keys))))
+    other = gone.select(*(F.col(k).alias(n) for k, n in names.items()))
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
     return rest(docs, gone, *keys).unionByName(thin(docs, gone, *keys).join(other, same, "left_anti"))
 
 

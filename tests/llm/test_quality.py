@@ -95,3 +95,11 @@ def test_a_language_without_its_own_certificate_has_base_rules_alone(spark):
     kept = {x.doc_id: x.kept for x in Q.quality_rules(docs, labels).collect()}
     assert all(kept[i] for i, _, x in rows if x != "en")
     assert not any(kept[i] for i in range(0, 2000, 5)) and sum(not kept[i] for i in range(2000) if i % 5) < 0.02 * 1600
+
+
+def test_columns_of_any_name_come_through_the_filter(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, good, "en", "keep me", "too"), (2, "short", "en", "x", "y")], "doc_id long, text string, lang string, _stratum string, _cell string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    out = Q.filter_documents(docs, none)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, good, "en", "keep me", "too")]
