@@ -42,7 +42,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs, distance=2, min_chars=20)
+    out = line_dedup(docs, distance=2, per_edit=10)
     gone = (F.col("n_dropped") > 0) & (F.trim("text") == "")
     return out.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
