@@ -46,3 +46,19 @@ def staleness(taken: Column, now: Column, hours: int = 24) -> Column:
     """fresh, stale or unknown (no time)."""
     age = (F.unix_timestamp(now) - F.unix_timestamp(taken)) / 3600
     return F.when(taken.isNull(), "unknown").when(age > hours, "stale").otherwise("fresh")
+
+
+def reach_confidence(snapshots: DataFrame, reached: DataFrame, keys: list[str], now: Column, hours: float = 24) -> DataFrame:
+    """keys, age_hours, stale, n_precise, n_coarse and level (full, partial or absent) of what each snapshot says.
+
+    ``snapshots`` has keys, present and generated_at (a text); ``reached`` keys and precision, a row per dashboard.  A time that can't be read is
+    stale.  What a stale snapshot says, or a dashboard reached by a table alone, is partial.
+    """
+    counts = reached.groupBy(*keys).agg(F.count_if(F.col("precision") == "column").alias("p"), F.count("*").alias("n"))
+    age = (F.unix_micros(now) - F.unix_micros(F.try_to_timestamp("generated_at"))) / 3.6e9
+    # greatest() passes over nulls, and a time that can't be read is no age
+    out = snapshots.join(counts, keys, "left").withColumn("age_hours", F.when(F.col("present") & age.isNotNull(), F.greatest(F.lit(0.0), age)))
+    stale = F.col("age_hours").isNull() | (F.col("age_hours") > hours)
+    n, p = F.coalesce("n", F.lit(0)), F.coalesce("p", F.lit(0))
+    level = F.when(~F.coalesce("present", F.lit(False)), "absent").when(stale | (n > p), "partial").otherwise("full")
+    return out.select(*keys, "age_hours", stale.alias("stale"), p.alias("n_precise"), (n - p).alias("n_coarse"), level.alias("level"))

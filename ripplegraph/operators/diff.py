@@ -135,3 +135,37 @@ def unattributed(models: DataFrame, explained: DataFrame, columns: DataFrame) ->
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row per key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def logic_changed_columns(models: DataFrame, columns: DataFrame, base: DataFrame, head: DataFrame, dialect: str | None = None) -> DataFrame:
+    """(model, column, semantic): output columns of models whose SQL changed that are derived in another way.
+
+    ``models`` has model; ``columns`` model, column of the head; ``base`` and ``head`` a row per branch: model, column, transformation,
+    expression, source.  Of a model that neither side could read, every column is indeterminate.  A column that one side alone
+    could read has another meaning, and one that neither could is left out.  Branches are equal if transformation and source are and the
+    expressions are the same code; one that can't be read makes its column indeterminate.
+    """
+    branch = F.struct(F.coalesce("transformation", F.lit("")).alias("t"), F.coalesce("source", F.lit("")).alias("s"), F.coalesce("expression", F.lit("")).alias("x"))
+    side = lambda df, name: df.join(models.select("model").distinct(), "model", "left_semi").groupBy("model", "column").agg(F.array_sort(F.collect_list(branch)).alias(name))
+    b, h = side(base, "_b"), side(head, "_h")
+    read = b.select("model").union(h.select("model")).distinct().withColumn("read", F.lit(True))
+    rows = columns.select("model", "column").distinct().join(models.select("model").distinct(), "model", "left_semi").join(read, "model", "left").join(b, ["model", "column"], "left").join(h, ["model", "column"], "left")
+    same = F.forall(F.zip_with("_b", "_h", lambda x, y: (x["t"] == y["t"]) & (x["s"] == y["s"]) & F.coalesce(same_code(x["x"], y["x"], dialect), F.lit(False))), lambda x: x)
+    alike = (F.size("_b") == F.size("_h")) & same
+    poor = lambda c: F.coalesce(F.exists(c, lambda x: _empty(x["x"]) | unreadable(x["x"], dialect)), F.lit(False))
+    one = (F.size("_b") == 1) & (F.size("_h") == 1)
+    code = compare_expressions(F.col("_b")[0]["x"], F.col("_h")[0]["x"], dialect)
+    # the same code from another source or by another way still means something else
+    semantic = F.when(F.col("read").isNull(), "indeterminate").when(poor("_b") | poor("_h"), "indeterminate").when(one & (code == "indeterminate"), code).otherwise("meaning_changed")
+    none = F.col("_b").isNull() & F.col("_h").isNull() & F.col("read").isNotNull()
+    return rows.where(~none & ~F.coalesce(alike, F.lit(False))).select("model", "column", semantic.alias("semantic"))
+
+
+def git_changeset(scopes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(model, column, kind, semantic) from changed files alone, where the base isn't known: nothing of a touched model can be told.
+
+    ``scopes`` is what ``git_scope`` returns.  A model without columns is reported as ``*``; files that map to no node are not lost, they
+    are the rows of ``scopes`` with another scope.
+    """
+    touched = scopes.where("scope = 'model' and node is not null").select(F.col("node").alias("model")).distinct()
+    return indeterminate_columns(touched, columns)

@@ -113,3 +113,17 @@ def coverage(nodes: DataFrame, names: int = 25) -> DataFrame:
     first = [r.name for r in nodes.where("not in_catalog").orderBy("name").limit(names).collect()]
     counts = nodes.agg(F.count("*").alias("n_models"), F.count_if("in_catalog").alias("n_catalog"), F.count_if(~F.col("in_catalog")).alias("n_missing"))
     return counts.withColumn("missing_names", F.lit(",".join(first) or None)).withColumn("complete", F.col("n_missing") == 0)
+
+
+def reshaped(columns: DataFrame, models: DataFrame, exposures: DataFrame) -> DataFrame:
+    """(key, reached_kind, name, column, mechanism): what each change reaches, by name, for rules that ask for it.
+
+    ``columns`` is key, model, column, transformation; ``models`` key, model; ``exposures`` key, exposure.  A model has a row for every
+    mechanism by which a column of it is reached, and one with a null mechanism if none is.
+    """
+    none = F.lit(None).cast("string")
+    by = columns.select("key", "model", "column", mechanism(F.col("transformation")).alias("mechanism")).distinct()
+    cols = by.select("key", F.lit("column").alias("reached_kind"), F.col("model").alias("name"), "column", "mechanism")
+    ways = models.select("key", "model").distinct().join(by.select("key", "model", "mechanism").distinct(), ["key", "model"], "left")
+    out = cols.unionByName(ways.select("key", F.lit("model").alias("reached_kind"), F.col("model").alias("name"), none.alias("column"), "mechanism"))
+    return out.unionByName(exposures.select("key", F.lit("exposure").alias("reached_kind"), F.col("exposure").alias("name"), none.alias("column"), none.alias("mechanism")).distinct())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions import meta, text, tri
 from ripplegraph.operators import bi, cards, diff, fold, graph, identity, impact, layout, policy, replay, verdict, versions
-from ripplegraph.sources import files
+from ripplegraph.sources import artifacts, files
 from ripplegraph.tables import shared_folder
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -906,6 +906,72 @@ def column_selector(spark, sf_dir):
     return graph.select_columns(*_column_edges(Tables(spark, sf_dir)), "N.3+").groupBy("side", "model", "level").agg(F.count("*").alias("n_columns"))
 
 
+@_query("""with m as (select distinct l_suppkey as model from lineitem where l_suppkey % 4 <> 0), c as (select distinct l_suppkey as model, l_partkey as col from lineitem where l_linestatus = 'F' and l_suppkey % 4 <> 0),
+ s as (select l_suppkey as model, l_partkey as col, l_linestatus as side, list_sort(list((case when l_returnflag = 'R' then 'derived' else 'direct' end, l_linenumber, case when l_returnflag = 'A' and l_linenumber > 6 then '' else 'x' || l_linenumber % 3 end))) as v,
+   bool_or(l_returnflag = 'A' and l_linenumber > 6) as poor from lineitem where l_suppkey % 5 <> 1 group by 1, 2, 3),
+ j as (select c.model, c.col, b.v as bv, h.v as hv, coalesce(b.poor, false) or coalesce(h.poor, false) as poor from c left join s b on b.model = c.model and b.col = c.col and b.side = 'O' left join s h on h.model = c.model and h.col = c.col and h.side = 'F')
+ select model, case when model % 5 = 1 or poor then 'indeterminate' else 'meaning_changed' end as semantic, count(*) as n_columns from j where model % 5 = 1 or (bv is not null or hv is not null) and (bv is distinct from hv) group by 1, 2""")
+def logic_changed_columns(spark, sf_dir):
+    """Suppliers as models and parts as columns; models that leave 1 by 5 could be read on neither side."""
+    line = Tables(spark, sf_dir).lineitem.where("l_suppkey % 4 <> 0").select(F.col("l_suppkey").alias("model"), F.col("l_partkey").alias("column"), "l_linestatus", F.when(F.col("l_returnflag") == "R", "derived").otherwise("direct").alias("transformation"), F.col("l_linenumber").cast("string").alias("source"), F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") > 6), "").otherwise(F.concat(F.lit("x"), F.col("l_linenumber") % 3)).alias("expression"))
+    side = lambda s: line.where((F.col("l_linestatus") == s) & (F.col("model") % 5 != 1))
+    found = diff.logic_changed_columns(line, line.where("l_linestatus = 'F'"), side("O"), side("F").withColumn("expression", F.concat(F.lit(" "), F.upper("expression"), F.lit(" -- note"))))
+    return found.groupBy("model", "semantic").agg(F.count("*").alias("n_columns"))
+
+
+@_query("""with f as (select doc_id, case when lang = 'en' then 'model' when lang = 'de' then 'macro' when lang = 'fr' then 'logic' else 'ignorable' end as scope, source from documents),
+ l as (select doc_id from labels) select source, count(*) as n_changes, count(*) filter (f.doc_id not in (select doc_id from l)) as n_whole from f where scope = 'model' group by 1""")
+def git_fallback(spark, sf_dir):
+    """Documents as changed files: English ones are models, whose columns are their labels where they have some."""
+    t = Tables(spark, sf_dir)
+    name = F.concat(F.lit("f"), "doc_id", F.when(F.col("lang").isin("en", "de", "fr"), ".sql").otherwise(".md"))
+    docs = t.documents.select("doc_id", "source", "lang", name.alias("file"))
+    paths = docs.where("lang in ('en', 'de')").select("file", F.col("doc_id").cast("string").alias("node"), F.when(F.col("lang") == "de", "macro").otherwise("model").alias("resource"))
+    columns = t.labels.select(F.col("doc_id").cast("string").alias("model"), F.lit("quality").alias("column"))
+    found = diff.git_changeset(diff.git_scope(docs.select("file"), paths), columns).join(docs.select(F.col("doc_id").cast("string").alias("model"), "source"), "model")
+    return found.groupBy("source").agg(F.count("*").alias("n_changes"), F.count_if(F.col("column") == "*").alias("n_whole"))
+
+
+@_query("""with c as (select distinct o_custkey as key, l_suppkey as model, l_partkey as col, case l_returnflag when 'R' then 'derived_recompute' when 'A' then 'renamed_passthrough' else 'direct_passthrough' end as mech from orders join lineitem on l_orderkey = o_orderkey where l_quantity < 30),
+ m as (select distinct o_custkey as key, l_suppkey as model from orders join lineitem on l_orderkey = o_orderkey), w as (select distinct m.key, m.model, c.mech from m left join c on c.key = m.key and c.model = m.model)
+ select reached_kind, mechanism, count(*) as n_rows from (select 'column' as reached_kind, mech as mechanism from c union all select 'model', mech from w union all select 'exposure', null from (select distinct o_custkey, o_orderpriority from orders)) group by 1, 2""")
+def reach_by_name(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    kind = F.when(F.col("l_returnflag") == "R", "derived").when(F.col("l_returnflag") == "A", "renamed").otherwise("direct")
+    both = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("key"), F.col("l_suppkey").cast("string").alias("model"), F.col("l_partkey").cast("string").alias("column"), kind.alias("transformation"), "l_quantity")
+    out = impact.reshaped(both.where("l_quantity < 30"), both, t.orders.select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("exposure")))
+    return out.groupBy("reached_kind", "mechanism").agg(F.count("*").alias("n_rows"))
+
+
+@_query("""with s as (select c_custkey as k, c_acctbal >= 0 as present, case when c_custkey % 7 = 0 then null else timestamp '2024-01-31' - to_hours((c_custkey % 48)::int) end as tm from customer),
+ r as (select o_custkey as k, count(*) filter (o_orderstatus = 'F') as p, count(*) as n from orders where o_orderpriority <> '5-LOW' group by 1)
+ select level, stale, count(*) as n_snapshots, sum(p) as n_precise from (select coalesce(p, 0) as p, (not present or tm is null or c > 24) as stale, case when not present then 'absent' when tm is null or c > 24 or coalesce(n, 0) > coalesce(p, 0) then 'partial' else 'full' end as level
+  from (select s.*, k % 48 as c, p, n from s left join r using (k))) group by 1, 2""")
+def snapshot_confidence(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    at = F.when(F.col("c_custkey") % 7 == 0, "no time").otherwise(F.date_format(F.timestamp_seconds(F.lit(1706659200) - F.col("c_custkey") % 48 * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    snapshots = t.customer.select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") >= 0).alias("present"), at.alias("generated_at"))
+    reached = t.orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "column").otherwise("table").alias("precision"))
+    out = bi.reach_confidence(snapshots, reached, ["k"], F.lit("2024-01-31").cast("timestamp"))
+    return out.groupBy("level", "stale").agg(F.count("*").alias("n_snapshots"), F.sum("n_precise").alias("n_precise"))
+
+
+@_query("""with d as (select doc_id, lang, text, 'p' || doc_id % 3 as pkg, doc_id % 6 as c, 'f' || doc_id as f from documents),
+ r as (select lang, case when c = 0 and text <> '' then 'embedded' when c = 1 then 'path' when c = 2 then 'layout' when c = 3 then 'package' when c = 4 then 'name' end as origin, length(text) as n from d)
+ select lang, origin, count(*) as n_nodes, sum(case when origin is not null then n end) as n_chars from r group by 1, 2""")
+def compiled_sql(spark, sf_dir):
+    """Documents as compiled files: embedded, under the named path, in the usual place, moved inside the package, moved out, or there twice."""
+    c = F.col("doc_id") % 6
+    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").cast("string").alias("name"), "lang", "text", F.concat(F.lit("p"), F.col("doc_id") % 3).alias("package_name"), c.alias("c"), F.concat(F.lit("m/f"), "doc_id", F.lit(".sql")).alias("original_file_path"))
+    nodes = docs.select("name", F.when(F.col("c") == 0, F.col("text")).alias("sql"), F.when(F.col("c") == 1, F.concat(F.lit("target/compiled/x/"), "name", F.lit(".sql"))).alias("compiled_path"), "package_name", "original_file_path")
+    base = F.concat(F.lit("f"), "name", F.lit(".sql"))
+    paths = F.when(F.col("c") == 1, F.array(F.concat(F.lit("x/"), F.col("name"), F.lit(".sql")))).when(F.col("c") == 2, F.array(F.concat(F.col("package_name"), F.lit("/"), F.col("original_file_path")), F.concat(F.lit("other/"), base)))
+    paths = paths.when(F.col("c") == 3, F.array(F.concat(F.col("package_name"), F.lit("/moved/"), base), F.concat(F.lit("other/"), base))).when(F.col("c") == 4, F.array(F.concat(F.lit("other/deep/"), base))).when(F.col("c") == 5, F.array(F.concat(F.lit("a/"), base), F.concat(F.lit("b/"), base)))
+    files = docs.select("text", F.explode(paths).alias("path")).select("path", F.col("text").alias("sql"))
+    found = artifacts.resolve_compiled(nodes, files).join(docs.select("name", "lang"), "name")
+    return found.groupBy("lang", "origin").agg(F.count("*").alias("n_nodes"), F.sum(F.length("sql")).alias("n_chars"))
+
+
 # ---- ingest
 
 

@@ -97,6 +97,47 @@ class Project:
         return merged_universe(own, sources, self.columns().select("node"))
 
 
+def compiled_files(spark: SparkSession, target: str) -> DataFrame:
+    """path (below ``target``/compiled, or as listed) and sql of every compiled file that has any."""
+    files = spark.read.text(f"{target}/compiled", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql")
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"/compiled/(.*)$", 1).alias("path"), F.col("value").alias("sql"))
+
+
+def resolve_compiled(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, sql, origin): the compiled SQL of each node; origin is embedded, path, layout, package or name, null without any.
+
+    ``nodes`` has name, sql (embedded), compiled_path, package_name, original_file_path; ``files`` path below the compiled folder and sql.
+    Tried in turn: what the manifest holds; the path that it names; package and original path; the only file of that name in the
+    package; the only one anywhere.  Of several files nothing is guessed.
+    """
+    base = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    named = F.nullif(F.regexp_replace("compiled_path", r"^.*?(?:^|/)compiled/", ""), F.lit(""))
+    layout = F.concat_ws("/", "package_name", "original_file_path")
+    wanted = nodes.select("name", "sql", F.filter(F.array(F.struct(F.lit(1).alias("rank"), named.alias("path")), F.struct(F.lit(2).alias("rank"), F.when(F.col("package_name").isNotNull() & F.col("original_file_path").isNotNull(), layout).alias("path"))), lambda x: x["path"].isNotNull()).alias("paths"), "package_name", base("original_file_path").alias("file"))
+    sole = lambda by: files.select("path", "sql", base("path").alias("file"), F.split("path", "/")[0].alias("package_name")).groupBy(*by).agg(F.count("*").alias("n"), F.max("sql").alias("found")).where("n = 1").drop("n")
+    exact = wanted.select("name", F.explode("paths").alias("p")).join(files.withColumnRenamed("sql", "found"), F.col("p.path") == files["path"]).select("name", "p.rank", "found")
+    loose = wanted.where("file <> ''").select("name", "package_name", "file")
+    scoped = loose.join(sole(["package_name", "file"]), ["package_name", "file"]).select("name", F.lit(3).alias("rank"), "found")
+    anywhere = loose.join(sole(["file"]), "file").select("name", F.lit(4).alias("rank"), "found")
+    best = exact.unionByName(scoped).unionByName(anywhere).groupBy("name").agg(F.min(F.struct("rank", "found")).alias("b"))
+    embedded = F.nullif("sql", F.lit("")).isNotNull()
+    rank = F.col("b.rank")
+    origin = F.when(rank == 1, "path").when(rank == 2, "layout").when(rank == 3, "package").when(rank == 4, "name")
+    return wanted.join(best, "name", "left").select("name", F.when(embedded, F.col("sql")).otherwise(F.col("b.found")).alias("sql"), F.when(embedded, "embedded").otherwise(origin).alias("origin"))
+
+
+def test_index(tests: DataFrame) -> DataFrame:
+    """(model, column, test_id, side): own, referenced (the other side of a relationship), model (no column) or unattributable.
+
+    ``tests`` is what ``Project.tests`` returns.
+    """
+    known = F.col("model").isNotNull()
+    side = F.when(~known, "unattributable").when(F.col("column").isNull(), "model").otherwise("own")
+    own = tests.select("model", "column", "test_id", side.alias("side"))
+    other = tests.where("ref_model is not null and ref_column is not null").select(F.col("ref_model").alias("model"), F.lower("ref_column").alias("column"), "test_id", F.lit("referenced").alias("side"))
+    return own.unionByName(other).distinct()
+
+
 def merged_universe(own: DataFrame, sources: DataFrame, cataloged: DataFrame) -> DataFrame:
     """node, origin (manifest or source), in_catalog: a source that shares its name with a node is that node."""
     others = sources.select("node").distinct().join(own.select("node"), "node", "left_anti").select("node", F.lit("source").alias("origin"))
