@@ -20,6 +20,29 @@ def relation_index(relations: DataFrame) -> DataFrame:
     return spelled.groupBy("name").agg(F.count("*").alias("n"), F.min("relation_id").alias("relation_id")).where("n = 1").select("name", "relation_id")
 
 
+def model_index(models: DataFrame) -> DataFrame:
+    """(name, model): the spellings of a warehouse relation and the model that it is.
+
+    ``models`` has model, relation_name, database, schema.  A model is found by its relation's name and by database.schema.model; of several
+    models under one such name the least counts.  schema.table alone names a model only if it is the only one, and no full name.
+    """
+    plain = F.when(F.col("database").isNotNull() & F.col("schema").isNotNull(), F.concat_ws(".", "database", "schema", "model"))
+    full = models.select("model", F.explode(F.array_compact(F.array(F.col("relation_name"), plain))).alias("raw")).select("model", relation_key(F.col("raw")).alias("name")).where("name <> ''")
+    exact = full.groupBy("name").agg(F.min("model").alias("model"))
+    short = full.where(F.size(F.split("name", r"\.")) == 3).select(F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("name"), "model")
+    sole = short.groupBy("name").agg(F.min("model").alias("model"), F.max("model").alias("other")).where("model = other").select("name", "model")
+    return exact.unionByName(sole.join(exact.select("name"), "name", "left_anti"))
+
+
+def join_relations(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """``refs`` (relation, ...) with model: by the whole name, else by schema.table; null for a relation of no model."""
+    key = relation_key(F.col("relation"))
+    by = lambda name: index.select(F.col("name").alias(f"_{name}"), F.col("model").alias(f"_{name}_model"))
+    out = refs.withColumn("_full", key).withColumn("_short", F.when(F.size(F.split(key, r"\.")) == 3, F.regexp_extract(key, r"^[^.]*\.(.*)$", 1)))
+    out = out.join(by("full"), "_full", "left").join(by("short"), "_short", "left")
+    return out.withColumn("model", F.coalesce("_full_model", "_short_model")).drop("_full", "_short", "_full_model", "_short_model")
+
+
 def dashboard_reach(columns: DataFrame, card_columns: DataFrame, card_tables: DataFrame, dashboard_cards: DataFrame) -> DataFrame:
     """dashboard, precision and n_via: dashboards that changed columns (model, column) reach.
 

@@ -133,3 +133,24 @@ def severity(transformation: Column) -> Column:
 def choose_edge(edges: DataFrame, by: list[str], tie: str) -> DataFrame:
     """Of the edges into the same ``by``, the most severe; of equal ones the one with the least ``tie``."""
     return edges.groupBy(*by).agg(F.max_by(F.struct("transformation", tie), F.struct(severity(F.col("transformation")), -F.col(tie))).alias("e")).select(*by, "e.transformation", f"e.{tie}")
+
+
+def model_info(nodes: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per model: what ``nodes`` (node, ...) has, with its columns and direct parents and dependents as sorted lists.
+
+    ``columns`` is node, column; ``edges`` parent, child.  The lists are as long as a model has columns and neighbours.
+    """
+    listed = lambda df, key, value, name: df.groupBy(F.col(key).alias("node")).agg(F.array_sort(F.collect_set(value)).alias(name))
+    out = nodes
+    for df, key, value, name in ((columns, "node", "column", "columns"), (edges, "child", "parent", "upstream"), (edges, "parent", "child", "downstream")):
+        out = out.join(listed(df, key, value, name), "node", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def column_info(columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per column: what ``columns`` (model, column, ...) has, and how many direct sources and dependents it has in ``edges``."""
+    low = lambda df, m, c, name: df.where(F.col(m).isNotNull()).groupBy(F.lower(m).alias("_m"), F.lower(c).alias("_c")).agg(F.count_distinct(*name[1]).alias(name[0]))
+    up = low(edges.where("src_column is not null"), "model", "column", ("n_sources", [F.coalesce("src_model", F.lit("")), F.col("src_column")]))
+    down = low(edges, "src_model", "src_column", ("n_dependents", ["model", "column"]))
+    out = columns.withColumn("_m", F.lower("model")).withColumn("_c", F.lower("column"))
+    return out.join(up, ["_m", "_c"], "left").join(down, ["_m", "_c"], "left").drop("_m", "_c").fillna(0, ["n_sources", "n_dependents"])

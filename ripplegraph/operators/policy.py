@@ -251,6 +251,30 @@ def cap(decision: Column, verb: Column, provable: Column, aggregate: Column) ->
     return F.when(aggregate | verb.isNull(), decision).when((verb == "break") & (decision == "block"), "warn").when(verb == "change", lifted).otherwise(decision)
 
 
+def apply_overrides(hits: DataFrame, overrides: DataFrame, breaks: DataFrame, keys: list[str], aggregate: Column | None = None) -> DataFrame:
+    """Hits that fired, with their decision under the override of their change: verb, was (the decision before) and overridden added.
+
+    ``overrides`` has keys and verb, one a change; ``breaks`` keys of provable breaks.  Hits of aggregate rules (``aggregate``) belong to no
+    change and stay.
+    """
+    own = overrides.select(*keys, "verb").join(breaks.select(*keys).distinct().withColumn("_break", F.lit(True)), keys, "left")
+    out = hits.where("outcome = 'fire'").join(own, keys, "left").withColumnRenamed("decision", "was")
+    now = cap(F.col("was"), F.col("verb"), F.coalesce("_break", F.lit(False)), F.lit(False) if aggregate is None else F.coalesce(aggregate, F.lit(False)))
+    return out.withColumn("decision", now).withColumn("overridden", F.col("decision") != F.col("was")).drop("_break")
+
+
+def override_records(capped: DataFrame, overrides: DataFrame, breaks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, verb, effect (applied or ineffective), rule, was, decision, on_break: what became of every override.
+
+    One that lowered hits has a row for each of them; one that lowered none has one row, so that it isn't silently passed over.
+    """
+    broken = breaks.select(*keys).distinct().withColumn("on_break", F.lit(True))
+    lowered = capped.where("overridden").select(*keys, "rule", "was", "decision")
+    out = overrides.select(*keys, "verb").join(lowered, keys, "left").join(broken, keys, "left")
+    effect = F.when(F.col("rule").isNotNull(), "applied").otherwise("ineffective")
+    return out.select(*keys, "verb", effect.alias("effect"), "rule", "was", "decision", F.coalesce("on_break", F.lit(False)).alias("on_break"))
+
+
 def build_set(hits: DataFrame, reached: DataFrame, keys: list[str], mechanisms: list[str] | None = None) -> DataFrame:
     """The distinct nodes that fired subjects reach, by the given mechanisms only."""
     wanted = reached if mechanisms is None else reached.where(F.col("mechanism").isin(mechanisms))

@@ -972,6 +972,36 @@ def compiled_sql(spark, sf_dir):
     return found.groupBy("lang", "origin").agg(F.count("*").alias("n_nodes"), F.sum(F.length("sql")).alias("n_chars"))
 
 
+@_query(f"""with {SUBJECTS}, {RULES}, o as (select event_id, case when event_id % 5 = 0 then 'change' else 'break' end as verb, event_id % 10 = 0 as b from events where event_id % 5 < 2),
+ f as (select o.event_id, verb, b, rule, decision as was, case when verb = 'break' then 'warn' when decision = 'block' and b then 'block' else 'allow' end as now from o join h on h.event_id = o.event_id where outcome = 'fire'),
+ ap as (select * from f where was <> now), rec as (select o.verb, o.b, ap.rule, ap.was, ap.now from o left join ap on ap.event_id = o.event_id)
+ select verb, case when rule is not null then 'applied' else 'ineffective' end as effect, rule, was, now as decision, b as on_break, count(*) as n_records from rec group by all""")
+def policy_overrides(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    overrides = t.events.where("event_id % 5 < 2").select("event_id", F.when(F.col("event_id") % 5 == 0, "change").otherwise("break").alias("verb"))
+    breaks = t.events.where("event_id % 10 = 0").select("event_id")
+    capped = policy.apply_overrides(_hits(t).drop("user_id"), overrides, breaks, ["event_id"])
+    return policy.override_records(capped, overrides, breaks, ["event_id"]).groupBy("verb", "effect", "rule", "was", "decision", "on_break").agg(F.count("*").alias("n_records"))
+
+
+@_query("""with m as (select p_partkey as k, 'm' || p_partkey as model, p_partkey % 3 as c, 'db' || p_partkey % 2 as db, 's' || p_partkey % 5 as sch from part),
+ n as (select model, db || '.' || sch || '.' || model as name from m where c <> 1 union select model, 'w.x.t' || k // 2 from m where c = 0 or c = 1),
+ e as (select name, min(model) as model from n group by 1), s as (select name, min(model) as model from (select model, regexp_replace(name, '^[^.]*[.]', '') as name from n) group by 1 having count(distinct model) = 1),
+ r as (select l_partkey as k, case l_linenumber % 3 when 0 then 'w.x.t' || l_partkey // 2 when 1 then 'other.x.t' || l_partkey // 2 else 'db' || l_partkey % 2 || '.s' || l_partkey % 5 || '.m' || l_partkey end as name, l_linenumber % 3 as way from lineitem)
+ select way, coalesce(e.model, s.model) is not null as found, coalesce(e.model, s.model) = 'm' || r.k as own, count(*) as n_refs from r left join e on e.name = r.name left join s on s.name = regexp_replace(r.name, '^[^.]*[.]', '') and s.name not in (select name from e) group by 1, 2, 3""")
+def relation_models(spark, sf_dir):
+    """Parts as models: some with a relation's name (two parts a name), some with database and schema, some with both."""
+    t = Tables(spark, sf_dir)
+    k = F.col("p_partkey")
+    pair = lambda c: F.concat(F.lit("t"), F.floor(F.col(c) / 2).cast("string"))
+    models = t.part.select(_id("m", "p_partkey").alias("model"), F.when(k % 3 != 2, F.concat(F.lit('"W"."X"."'), F.upper(pair("p_partkey")), F.lit('"'))).alias("relation_name"), F.when(k % 3 != 1, F.concat(F.lit("DB"), k % 2)).alias("database"), F.concat(F.lit("s"), k % 5).alias("schema"))
+    way = F.col("l_linenumber") % 3
+    own = F.concat(F.lit("db"), F.col("l_partkey") % 2, F.lit(".s"), F.col("l_partkey") % 5, F.lit(".m"), "l_partkey")
+    refs = t.lineitem.select("l_partkey", way.alias("way"), F.when(way == 0, F.concat(F.lit("`w`.x."), pair("l_partkey"))).when(way == 1, F.concat(F.lit("Other.x."), pair("l_partkey"))).otherwise(own).alias("relation"))
+    found = bi.join_relations(refs, bi.model_index(models))
+    return found.groupBy("way", F.col("model").isNotNull().alias("found"), (F.col("model") == _id("m", "l_partkey")).alias("own")).agg(F.count("*").alias("n_refs"))
+
+
 # ---- ingest
 
 

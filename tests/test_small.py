@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import bi, diff, impact
+from ripplegraph.operators import bi, diff, graph, impact, policy
 from ripplegraph.sources import artifacts
 
 
@@ -60,3 +60,30 @@ def test_confidence_of_a_snapshot(spark):
     reached = spark.createDataFrame([(1, "column"), (2, "column"), (5, "column"), (5, "table")], "k int, precision string")
     got = {r.k: (r.level, r.stale, r.n_precise, r.n_coarse, r.age_hours) for r in bi.reach_confidence(snaps, reached, ["k"], F.lit("2024-01-01 12:00:00").cast("timestamp")).collect()}
     assert got == {1: ("full", False, 1, 0, 12.0), 2: ("partial", True, 1, 0, 756.0), 3: ("partial", True, 0, 0, None), 4: ("absent", True, 0, 0, None), 5: ("partial", False, 1, 1, 2.0), 6: ("full", False, 0, 0, 0.0), 7: ("absent", True, 0, 0, None)}
+
+
+def test_models_by_the_names_of_their_relations(spark):
+    models = spark.createDataFrame([("a", '"D"."S"."T"', "d", "s"), ("b", None, "d", "s"), ("c", "e.s.t", None, None), ("f", "s.u", None, "s"), ("g", "z.s.u", None, None), ("h", None, "d", None)], "model string, relation_name string, database string, schema string")
+    index = bi.model_index(models)
+    assert rows(index) == [("d.s.a", "a"), ("d.s.b", "b"), ("d.s.t", "a"), ("e.s.t", "c"), ("s.a", "a"), ("s.b", "b"), ("s.u", "f"), ("z.s.u", "g")]
+    refs = spark.createDataFrame([(1, "D.S.T"), (2, "x.s.b"), (3, "x.s.t"), (4, "s.u"), (5, None), (6, "t")], "i int, relation string")
+    assert {r.i: r.model for r in bi.join_relations(refs, index).collect()} == {1: "a", 2: "b", 3: None, 4: "f", 5: None, 6: None}
+
+
+def test_info_of_models_and_columns(spark):
+    nodes = spark.createDataFrame([("m", "s"), ("n", None)], "node string, schema string")
+    got = graph.model_info(nodes, spark.createDataFrame([("m", "b"), ("m", "a")], "node string, column string"), spark.createDataFrame([("m", "n"), ("x", "n"), ("m", "n")], "parent string, child string"))
+    assert rows(got) == [("m", "s", ["a", "b"], [], ["n"]), ("n", None, [], ["m", "x"], [])]
+    columns = spark.createDataFrame([("M", "a", "int"), ("n", "b", None)], "model string, column string, data_type string")
+    edges = spark.createDataFrame([("n", "b", "m", "A"), ("n", "b", None, "lit"), ("n", "c", "m", "a")], "model string, column string, src_model string, src_column string")
+    assert rows(graph.column_info(columns, edges)) == [("M", "a", "int", 0, 2), ("n", "b", None, 2, 0)]
+
+
+def test_overrides_lower_hits_and_none_is_passed_over(spark):
+    hits = spark.createDataFrame([(1, "r", "fire", "block"), (1, "q", "fire", "warn"), (2, "r", "fire", "block"), (3, "r", "fire", "block"), (5, "r", "dropped", "block"), (None, "agg", "fire", "block")], "k int, rule string, outcome string, decision string")
+    overrides = spark.createDataFrame([(1, "break"), (2, "change"), (3, "change"), (4, "break"), (5, "change")], "k int, verb string")
+    breaks = spark.createDataFrame([(3,), (3,)], "k int")
+    capped = policy.apply_overrides(hits, overrides, breaks, ["k"], F.col("rule") == "agg")
+    assert rows(capped.select("k", "rule", "was", "decision", "overridden")) == sorted([(1, "r", "block", "warn", True), (1, "q", "warn", "warn", False), (2, "r", "block", "allow", True), (3, "r", "block", "block", False), (None, "agg", "block", "block", False)], key=str)
+    got = rows(policy.override_records(capped, overrides, breaks, ["k"]).select("k", "effect", "rule", "on_break"))
+    assert got == [(1, "applied", "r", False), (2, "applied", "r", False), (3, "ineffective", None, True), (4, "ineffective", None, False), (5, "ineffective", None, False)]
