@@ -70,41 +70,58 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
     return out, [w.strip(_EDGE).lower() or w for w in raw]
 
 
-#: Words held by a worker.
-_HELD = 500_000
+#: Words held by a worker, and the name under which it holds what it knows of them.
+_HELD, _NAME = 500_000, "words"
 _N, _U, _P = (np.uint64(xxhash.xxh3_64_intdigest(k)) for k in ("<n>", "<u>", "<p>"))
-#: The name under which it holds them: number of each word, and facts by number (literal's hash; number, unit, capitalised, ends a sentence).
-_NAME = "words"
 
 
 def _fact(w: str) -> tuple[int, bool, bool, bool, bool]:
     core = w.strip(_EDGE)
-    literal = core.lower() or w
-    return xxhash.xxh3_64_intdigest(literal.encode("utf-8", "surrogatepass")), bool(_NUMBER.fullmatch(core)), literal in UNITS, core[:1].isupper() and core[1:].islower(), w[-1] in ".!?:|"
-
-
-def templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    low = core.lower()
+    literal, c = low or w, core[:1]
+    number = (c.isdecimal() or c in "-+$€£") and _NUMBER.fullmatch(core) is not None
+    capital = c != low[:1] and c.isupper() and core[1:].islower()
+    return xxhash.xxh3_64_intdigest(literal.encode("utf-8", "surrogatepass")), number, literal in UNITS, capital, w[-1] in ".!?:|"
+
+
+class _Facts:
+    """What is known of words, by the hash of their bytes: the literal's hash; number, unit, capitalised, ends a sentence."""
+
+    def __init__(self):
+        self.row: dict[int, int] = {}
+        self.literal, self.flags = np.zeros(0, np.uint64), np.zeros((0, 4), bool)
+
+    def rows(self, words: T.Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The row of each of the distinct ``hashes``, whose words stand at ``at``."""
+        if len(self.row) > _HELD:
+            self.__init__()
+        keys = hashes.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.row]
+        if new:
+            data = words.data
+            found = [_fact(data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "surrogatepass")) for i in at[new]]
+            base = len(self.literal)
+            self.row.update({keys[k]: base + n for n, k in enumerate(new)})
+            self.literal = np.append(self.literal, np.array([f[0] for f in found], np.uint64))
+            self.flags = np.concatenate([self.flags, np.array([f[1:] for f in found], bool)])
+        return np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))
+
+
+def templates(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each canonical word of all texts in a row, and how many words each text has."""
-    words = [_WORD.findall(t) for t in texts]
-    known, all_facts = T.held(_NAME, lambda: ({}, []))
-    if len(known) > _HELD:
-        known.clear()
-        all_facts.clear()
-    for w in {w for ws in words for w in ws} - known.keys():
-        known[w] = len(all_facts)
-        all_facts.append(_fact(w))
-    count = np.array([len(ws) for ws in words], np.int64)
-    at = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(count.sum()))
-    if not len(at):
+    words = T.Words(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string()), lower=False)
+    count = words.count.astype(np.int64)
+    if not len(words.hash):
         return np.zeros(0, np.uint64), count
-    used, at = np.unique(at, return_inverse=True)
-    facts = [all_facts[i] for i in used]
-    literal = np.array([f[0] for f in facts], np.uint64)[at]
-    number, unit, capital, ends = (np.array([f[k] for f in facts])[at] for k in (1, 2, 3, 4))
-    first = np.cumsum(count)[:-1]
+    facts = T.held(_NAME, _Facts)
+    used, first, at = np.unique(words.hash, return_index=True, return_inverse=True)
+    row = facts.rows(words, used, first)[at]
+    literal = facts.literal[row]
+    number, unit, capital, ends = facts.flags[row].T
+    begin = np.cumsum(count)[:-1]
     head = np.zeros(len(at), bool)
     head[0] = True
-    head[first[first < len(at)]] = True
+    head[begin[begin < len(at)]] = True
     start = np.concatenate([[True], ends[:-1]]) | head
     after = np.concatenate([[False], number[:-1]]) & ~head
     return np.where(number, _N, np.where(after & unit, _U, np.where(capital & ~start, _P, literal))), count
@@ -247,7 +264,7 @@ def _matched(docs: DataFrame, items: DataFrame, window: int = 8, cover: int = 50
 
     def doc_rows(batches: Iterator[pa.RecordBatch]):
         for b in T.pieces(batches, holds=_NAME):
-            hashes, count = templates(b.column(1).to_pylist())
+            hashes, count = templates(b.column(1))
             for size in sizes:
                 doc, key = windows(hashes, count, size)
                 if known is not None:
