@@ -43,6 +43,8 @@ _CHUNK = 512
 _BASE = 0x9E3779B97F4A7C15
 #: A letter or a digit.
 _SAYS = re.compile(r"[^\W_]")
+_PLAIN = np.zeros(129, np.int64)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = 1
 
 
 def segments(length: int, distance: int) -> list[tuple[int, int]]:
@@ -156,7 +158,12 @@ class Lines:
         starts = np.concatenate([[0], ends[:-1] + 1])
         keep = np.flatnonzero(ends - starts >= least)
         all_ = joined.split("\n")
-        keep = keep[np.fromiter((_SAYS.search(all_[i]) is not None for i in keep), bool, len(keep))]
+        # most lines have an ASCII letter or digit; others are looked at one by one
+        upto = np.concatenate([[0], np.cumsum(_PLAIN[np.minimum(self.codes, 128)])])
+        says = upto[ends[keep]] > upto[starts[keep]]
+        rare = np.flatnonzero(~says)
+        says[rare] = [_SAYS.search(all_[i]) is not None for i in keep[rare]]
+        keep = keep[says]
         self.text = [all_[i] for i in keep]
         self.doc, self.number, self.start, self.length = doc[keep], number[keep], starts[keep], (ends - starts)[keep]
         self.id = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in self.text)
