@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -86,31 +87,58 @@ def _comment(t: Column, d: Dialect) -> Column:
     return lone | (t.startswith("#") & (F.length(t) > 1)) if d.hash else lone
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _code(tokens: Column, d: Dialect) -> Column:
+    code = F.filter(tokens, lambda t: ~_comment(t, d))
+    if d.hash:
+        code = F.filter(code, lambda t: t != "#")  # an empty comment
+    return F.transform(code, lambda t: F.when(t.rlike(r"^[\p{L}\p{N}_@.][^'\"`]*$"), F.lower(t)).otherwise(t))
+
+
 def signature(sql: Column, dialect: Dialect = READINGS[0]) -> Column:
     """The tokens of a text, without comments and white space between tokens, names and keywords in lower case.
 
     What stands in a literal or a quoted name counts as it is, and a line comment ends where its line does.
     """
-    code = F.filter(_tokens(sql, dialect), lambda t: ~_comment(t, dialect))
-    if dialect.hash:
-        code = F.filter(code, lambda t: t != "#")  # an empty comment
-    return F.transform(code, lambda t: F.when(t.rlike(r"^[\p{L}\p{N}_@.][^'\"`]*$"), F.lower(t)).otherwise(t))
+    return _code(_tokens(sql, dialect), dialect)
 
 
-def _open(sql: Column, d: Dialect) -> Column:
+def _open(tokens: Column, d: Dialect) -> Column:
     """Whether a quote, a dollar or a block comment has no end, or comments nest where dialects differ."""
-    tokens = _tokens(sql, d)
     stray = F.exists(tokens, lambda t: t.isin("'", '"', "`") | (t.contains("$$") & ~t.endswith("$$")))
     begun = F.array_join(F.filter(tokens, lambda t: ~_comment(t, d) & ~t.rlike("^['\"`$]")), "").contains("/*")
     return stray | begun | F.exists(tokens, lambda t: _comment(t, d) & t.startswith("/*") & F.substring(t, 3, 1 << 30).contains("/*"))
 
 
+def _read(sql: Column, d: Dialect) -> Column:
+    """struct<open, code> of a text, whose tokens are found once."""
+    return let(_tokens(sql, d), lambda t: F.struct(_open(t, d).alias("open"), _code(t, d).alias("code")))
+
+
+#: Where readings part: escapes, dollars, hashes, triple quotes, and an E before a literal.  A text without them is read alike by all.
+_MARKS = r"""[\\$#]|'''|\"\"\"|(?<![\p{L}\p{M}\p{N}_@])[eE]'"""
+
+
+def _each(texts: list[Column], dialect: str | None, f: Callable[[Dialect], Column]) -> Column:
+    """array of ``f`` for each reading that can differ on these texts: the first alone if none has a mark."""
+    known = readings(dialect)
+    every = F.array(*map(f, known))
+    if len(known) == 1:
+        return every
+    marked = reduce(lambda a, b: a | b, [x.rlike(_MARKS) for x in texts])
+    return F.when(~marked, F.array(f(known[0]))).otherwise(every)
+
+
 #: An expression can neither begin nor end with these.
 _JOINING = ("+", "/", "%", "=", "<", ">", "<=", ">=", "<>", "!=", "||", "::", ".", ",", "and", "or", "like", "in", "when", "then", "else", "between")
 
 
 def _broken(tokens: Column) -> Column:
-    count = lambda sign: F.size(F.filter(tokens, lambda t: t == sign))
+    count = lambda sign: F.size(tokens) - F.size(F.array_remove(tokens, sign))
     ends = F.when(F.size(tokens) > 0, F.element_at(tokens, -1).isin(*_JOINING, "-", "*", "not", "case", "as", "(") & ~((F.size(tokens) > 1) & F.element_at(tokens, -1).isin("*") & F.try_element_at(tokens, F.lit(-2)).isin(".", ",", "select"))).otherwise(False)
     starts = F.when(F.size(tokens) > 0, F.element_at(tokens, 1).isin(*(x for x in _JOINING if x not in ("+", ".")), ")", "as")).otherwise(False)
     return (count("(") != count(")")) | (count("[") != count("]")) | (ends & (F.size(tokens) > 1)) | starts
@@ -118,7 +146,24 @@ def _broken(tokens: Column) -> Column:
 
 def unreadable(sql: Column, dialect: str | None = "ansi") -> Column:
     """Whether no reading of a text can be trusted: a quote, comment or bracket without its partner, or an operator without an operand."""
-    return reduce(lambda a, b: a | b, [_open(sql, d) | _broken(signature(sql, d)) for d in readings(dialect)])
+    poor = lambda x, d: let(_read(x, d), lambda r: r["open"] | let(r["code"], _broken))
+    return let(sql, lambda x: F.exists(_each([x], dialect, lambda d: poor(x, d)), lambda found: found))
+
+
+def _pairs(base: Column, head: Column, dialect: str | None, *more: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<equal, m0, ...>> by reading: whether two texts are the same code (null if one is open), and what ``more`` says of what was read."""
+
+    def read(d: Dialect) -> Column:
+        both = F.struct(_read(base, d).alias("b"), _read(head, d).alias("h"))
+        equal = lambda p: F.when(~p["b"]["open"] & ~p["h"]["open"], p["b"]["code"] == p["h"]["code"])
+        return let(both, lambda p: F.struct(equal(p).alias("equal"), *(m(p["b"], p["h"]).alias(f"m{i}") for i, m in enumerate(more))))
+
+    return _each([base, head], dialect, read)
+
+
+def _same(pairs: Column) -> Column:
+    every, none = F.forall(pairs, lambda p: F.coalesce(p["equal"], F.lit(False))), F.forall(pairs, lambda p: F.coalesce(~p["equal"], F.lit(False)))
+    return F.when(every, True).when(none, False)
 
 
 def same_code(base: Column, head: Column, dialect: str | None = None) -> Column:
@@ -127,11 +172,18 @@ def same_code(base: Column, head: Column, dialect: str | None = None) -> Column:
     Equal texts are the same.  Others are the same, or differ, only if every possible reading says so and finds the ends of all
     literals and comments.
     """
-    known = readings(dialect)
-    equal = [F.when(~_open(base, d) & ~_open(head, d), signature(base, d) == signature(head, d)) for d in known]
-    every = reduce(lambda a, b: a & b, equal)
-    none = reduce(lambda a, b: a & b, [~e for e in equal])
-    return F.when(base == head, True).when(F.coalesce(every, F.lit(False)), True).when(F.coalesce(none, F.lit(False)), False)
+    return let(F.struct(base.alias("b"), head.alias("h")), lambda x: F.when(x["b"] == x["h"], True).otherwise(let(_pairs(x["b"], x["h"], dialect), _same)))
+
+
+def compared(base: Column, head: Column, dialect: str | None = None) -> Column:
+    """``same_code``, but null also for different texts of which one is empty, or unreadable in some reading."""
+    poor = lambda r: r["open"] | let(r["code"], _broken)
+    bare = lambda b, h: (F.size(b["code"]) == 0) | (F.size(h["code"]) == 0)
+    # empty is what the first reading finds empty
+    empty = lambda p, x: p[0]["m1"] if dialect is None else (F.size(signature(x["b"])) == 0) | (F.size(signature(x["h"])) == 0)
+    told = lambda p, x: let(_same(p), lambda same: F.when(same | ~(empty(p, x) | F.exists(p, lambda r: r["m0"])), same))
+    pairs = lambda x: _pairs(x["b"], x["h"], dialect, lambda b, h: poor(b) | poor(h), bare)
+    return let(F.struct(base.alias("b"), head.alias("h")), lambda x: F.when(x["b"] == x["h"], True).otherwise(let(pairs(x), lambda p: told(p, x))))
 
 
 PRAGMA = "line int, verb string, column string, scope string, reason string, problem string"

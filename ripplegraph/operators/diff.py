@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.text import READINGS, same_code, signature, unreadable
+from ripplegraph.functions.text import READINGS, compared, let, same_code, signature, unreadable
 
 #: Which of several changes of one column is reported.
 PRIORITY = {"removed": 5, "type_changed": 4, "logic_changed": 3, "added": 1}
@@ -96,10 +96,8 @@ def compare_expressions(base: Column, head: Column, dialect: str | None = None)
 
     Two sides without an expression are equivalent.
     """
-    b, h = F.coalesce(base, F.lit("")), F.coalesce(head, F.lit(""))
-    same = same_code(b, h, dialect)
-    unsure = _empty(b) | _empty(h) | unreadable(b, dialect) | unreadable(h, dialect) | same.isNull()
-    return F.when(same, "equivalent").when(unsure, "indeterminate").otherwise("meaning_changed")
+    same = compared(F.coalesce(base, F.lit("")), F.coalesce(head, F.lit("")), dialect)
+    return let(same, lambda x: F.when(x, "equivalent").when(x.isNull(), "indeterminate").otherwise("meaning_changed"))
 
 
 def _empty(x: Column) -> Column:

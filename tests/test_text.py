@@ -63,3 +63,10 @@ def test_directives(spark):
         assert [tuple(p) for p in r.p] == PRAGMAS[r.i][1], PRAGMAS[r.i][0]
     other = df.where("i = 0").select(text.pragmas(F.replace("s", F.lit("ripple"), F.lit("lineage")), marker="lineage")).first()[0]
     assert len(other) == 1
+
+
+def test_a_text_is_read_once_per_reading(spark):
+    df = spark.createDataFrame([("a", "b")], "b string, h string")
+    for found in (diff.compare_expressions(F.col("b"), F.col("h")), text.same_code(F.col("b"), F.col("h")), diff.logic_status(F.col("b"), F.col("h"), F.lit(True))):
+        plan = df.select(found.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 2 <= plan.count("regexp_extract_all(") <= 2 * (len(text.READINGS) + 1)
