@@ -71,15 +71,19 @@ def attach_overrides(changes: DataFrame, overrides: DataFrame) -> DataFrame:
     An override without a column covers its whole model.  allow-break outweighs allow-change, else the last
     line counts.
     """
-    hits = changes.join(overrides.withColumnRenamed("column", "only"), "model").where("only is null or only = column")
-    best = F.max_by(F.struct("verb", "line"), F.struct(F.col("verb") == "break", "line"))
-    return changes.join(hits.groupBy("model", "column").agg(best.alias("o")), ["model", "column"], "left").withColumn("verb", F.col("o.verb")).withColumn("line", F.col("o.line")).drop("o")
+    best = lambda df, keys, name: df.groupBy(*keys).agg(F.max(F.struct((F.col("verb") == "break").alias("b"), "line", "verb")).alias(name))
+    whole = best(overrides.where("column is null"), ["model"], "_w")
+    own = best(overrides.where("column is not null"), ["model", "column"], "_o")
+    # one row of each kind per change, so that a model with many overrides and many changes makes no pairs of them
+    out = changes.join(whole, "model", "left").join(own, ["model", "column"], "left").withColumn("o", F.greatest("_w", "_o"))
+    return out.withColumn("verb", F.col("o.verb")).withColumn("line", F.col("o.line")).drop("_w", "_o", "o")
 
 
 def stale_overrides(changes: DataFrame, overrides: DataFrame) -> DataFrame:
     """Overrides that cover no change."""
-    c = changes.select(F.col("model").alias("_m"), F.col("column").alias("_c"))
-    return overrides.join(c, (F.col("model") == F.col("_m")) & (F.col("column").isNull() | (F.col("column") == F.col("_c"))), "left_anti")
+    whole = overrides.where("column is null").join(changes.select("model").distinct(), "model", "left_anti")
+    own = overrides.where("column is not null").join(changes.select("model", "column").distinct(), ["model", "column"], "left_anti")
+    return whole.unionByName(own).select(*overrides.columns)
 
 
 def git_scope(files: DataFrame, paths: DataFrame) -> DataFrame:

@@ -87,3 +87,17 @@ def test_overrides_lower_hits_and_none_is_passed_over(spark):
     assert rows(capped.select("k", "rule", "was", "decision", "overridden")) == sorted([(1, "r", "block", "warn", True), (1, "q", "warn", "warn", False), (2, "r", "block", "allow", True), (3, "r", "block", "block", False), (None, "agg", "block", "block", False)], key=str)
     got = rows(policy.override_records(capped, overrides, breaks, ["k"]).select("k", "effect", "rule", "on_break"))
     assert got == [(1, "applied", "r", False), (2, "applied", "r", False), (3, "ineffective", None, True), (4, "ineffective", None, False), (5, "ineffective", None, False)]
+
+
+def _joined(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_overrides_of_one_model_make_no_pairs_with_its_changes(spark):
+    changes = spark.sql("select 'm' as model, concat('c', id) as column, 'added' as kind from range(40) union all select 'n', 'c1', 'added'")
+    over = spark.sql("select 'm' as model, if(id % 2 = 0, concat('c', id), null) as column, if(id in (1, 4), 'break', 'change') as verb, id as line from range(80)")
+    got = diff.attach_overrides(changes, over)
+    assert {(r.model, r.column, r.verb, r.line) for r in got.collect()} == {("m", f"c{i}", "break", 4 if i == 4 else 1) for i in range(40)} | {("n", "c1", None, None)}
+    stale = diff.stale_overrides(changes, over)
+    assert {r.line for r in stale.collect()} == set(range(40, 80, 2))
+    assert "Join Inner" not in _joined(got) and " OR " not in _joined(stale)
