@@ -49,11 +49,18 @@ def dashboard_reach(columns: DataFrame, card_columns: DataFrame, card_tables: Da
     A card with column references is reached by a column that it names; a card without them by any column of
     a table that it names.  Column precision outweighs table precision; n_via counts the distinct columns.
     """
-    precise = columns.join(card_columns, ["model", "column"]).select("card", "model", "column", F.lit(0).alias("rank"))
-    coarse = card_tables.join(card_columns.select("card").distinct(), "card", "left_anti")
-    coarse = columns.join(coarse, "model").select("card", "model", "column", F.lit(1).alias("rank"))
-    via = precise.unionByName(coarse).distinct().join(dashboard_cards, "card")
-    out = via.groupBy("dashboard").agg(F.min("rank").alias("rank"), F.count_distinct("model", "column").alias("n_via"))
+    columns = columns.select("model", "column").distinct()
+    precise = columns.join(card_columns, ["model", "column"]).select("card", "model", "column").distinct()
+    precise = precise.join(dashboard_cards, "card").select("dashboard", "model", "column").distinct()
+    # a table brings all changed columns of its model along: their number goes on, not the columns
+    counts = columns.groupBy("model").agg(F.count_if(F.col("column").isNotNull()).alias("n"))
+    coarse = card_tables.join(counts.select("model"), "model", "left_semi").join(card_columns.select("card").distinct(), "card", "left_anti")
+    coarse = coarse.select("card", "model").join(dashboard_cards, "card").select("dashboard", "model").distinct()
+    within = coarse.select(F.col("dashboard").alias("_d"), F.col("model").alias("_m"))
+    more = precise.join(within, F.col("dashboard").eqNullSafe(F.col("_d")) & (F.col("model") == F.col("_m")), "left_anti").select("dashboard", F.lit(0).alias("rank"), F.lit(1).cast("long").alias("n"))
+    named = precise.select("dashboard", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("n"))
+    tables = coarse.join(counts, "model").select("dashboard", F.lit(1).alias("rank"), "n")
+    out = named.unionByName(more).unionByName(tables).groupBy("dashboard").agg(F.min("rank").alias("rank"), F.sum("n").alias("n_via"))
     return out.select("dashboard", F.when(F.col("rank") == 0, "column").otherwise("table").alias("precision"), "n_via")
 
 

@@ -101,3 +101,14 @@ def test_many_overrides_of_one_model_make_no_pairs_with_its_changes(spark):
     stale = diff.stale_overrides(changes, over)
     assert {r.line for r in stale.collect()} == set(range(40, 80, 2))
     assert "Join Inner" not in _joined(got) and " OR " not in _joined(stale)
+
+
+def test_a_table_brings_the_number_of_its_columns_to_a_dashboard(spark):
+    columns = spark.sql("select 'm' as model, concat('c', id) as column from range(30) union all select 'n', 'x'")
+    named = spark.sql("select * from values (1, 'm', 'c1'), (1, 'n', 'x'), (4, 'n', 'y') as t(card, model, column)")
+    tables = spark.sql("select * from values (1, 'm'), (1, 'n'), (2, 'm'), (3, 'n'), (4, 'n') as t(card, model)")
+    on = spark.sql("select * from values ('a', 1), ('b', 2), ('c', 1), ('c', 2), ('d', 3), ('e', 4), (null, 1), (null, 2) as t(dashboard, card)")
+    got = bi.dashboard_reach(columns, named, tables, on)
+    want = {("a", "column", 2), ("b", "table", 30), ("c", "column", 31), ("d", "table", 1), (None, "column", 31)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "count(distinct" not in _joined(got)
