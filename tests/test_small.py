@@ -112,3 +112,10 @@ def test_a_table_brings_the_number_of_its_columns_to_a_dashboard(spark):
     want = {("a", "column", 2), ("b", "table", 30), ("c", "column", 31), ("d", "table", 1), (None, "column", 31)}
     assert {tuple(r) for r in got.collect()} == want
     assert "count(distinct" not in _joined(got)
+
+
+def test_metadata_that_is_there_twice_is_judged_once(spark):
+    from ripplegraph import queries
+
+    plan = _joined(queries.metadata_axes(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Aggregate [") == 2
