@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.graph import severity
+from ripplegraph.operators.graph import severity, typed
 from ripplegraph.tables import stash
 
 BASE, HEAD = "base", "head"
@@ -23,26 +23,40 @@ def side(kind: Column, has_base: bool = True) -> Column:
 
 def starts(changes: DataFrame, nodes: DataFrame, has_base: bool = True) -> DataFrame:
     """``changes`` (key, node, kind, ...) with version and resolved; ``nodes`` is (version, node)."""
+    if "node_kind" in changes.columns and "node_kind" in nodes.columns:
+        nodes = nodes.where(F.col("node_kind").isin([r.node_kind for r in changes.select("node_kind").distinct().collect()]))
     known = nodes.select("version", "node").distinct().withColumn("resolved", F.lit(True))
     return changes.withColumn("version", side(F.col("kind"), has_base)).join(known, ["version", "node"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """(version, node, node_kind) of every end of ``typed`` edges."""
+    end = lambda c: edges.select("version", F.col(c).alias("node"), F.col(f"{c}_kind").alias("node_kind"))
+    return end("src").unionByName(end("dst"))
+
+
 def product_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, version, node, level, severity): what each key's seeds (key, version, node) reach, seeds at level 0.
 
-    ``edges`` is (version, src, dst, transformation).  Every edge out of a reached node is walked once, and the walk itself keeps
+    ``edges`` is (version, src, dst, transformation); of ``typed`` ones, with seeds that have a ``node_kind``, a round reads those alone that
+    lead out of a kind in the frontier.  Every edge out of a reached node is walked once, and the walk itself keeps
     the most severe edge into each node, so edges and results are not joined again afterwards.
     """
-    edges = edges.select("version", "src", "dst", severity(F.col("transformation")).alias("s"))
-    frontier = stash(seeds.select("key", "version", "node").distinct().withColumn("level", F.lit(0)))
+    if not typed(edges):
+        edges, seeds = edges.withColumns({"src_kind": F.lit("node"), "dst_kind": F.lit("node")}), seeds.withColumn("node_kind", F.lit("node"))
+    edges = edges.select("version", "src", "dst", "src_kind", "dst_kind", severity(F.col("transformation")).alias("s"))
+    keys = ["key", "version", "node", "node_kind"]
+    frontier = stash(seeds.select(*keys).distinct().withColumn("level", F.lit(0)))
     visited, walked, level = frontier, None, 0
-    while not frontier.isEmpty():
+    while kinds := [r.node_kind for r in frontier.select("node_kind").distinct().collect()]:
         level += 1
-        step = frontier.withColumnRenamed("node", "src").join(edges, ["version", "src"])
-        step = stash(step.groupBy("key", "version", F.col("dst").alias("node")).agg(F.max("s").alias("severity")))
+        out = edges.where(F.col("src_kind").isin(kinds))
+        step = frontier.select("key", "version", F.col("node").alias("src")).join(out, ["version", "src"])
+        step = stash(step.groupBy("key", "version", F.col("dst").alias("node"), F.col("dst_kind").alias("node_kind")).agg(F.max("s").alias("severity")))
         walked = step if walked is None else walked.unionByName(step)
-        frontier = stash(step.join(visited, ["key", "version", "node"], "left_anti").select("key", "version", "node", F.lit(level).alias("level")))
+        frontier = stash(step.join(visited, keys, "left_anti").select(*keys, F.lit(level).alias("level")))
         visited = visited.unionByName(frontier)
+    visited = visited.drop("node_kind")
     if walked is None:
         return visited.withColumn("severity", F.lit(None).cast("int"))
     worst = walked.groupBy("key", "version", "node").agg(F.max("severity").alias("severity"))
