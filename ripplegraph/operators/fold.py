@@ -12,11 +12,12 @@ that run back, and the condensed rest is folded in the same way.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.graph import bfs_levels
+from ripplegraph.operators.graph import bfs_levels, kind_order, typed
 from ripplegraph.tables import stash
 
 #: Fixed values of the lattice: proven not set, not provable, set.
@@ -106,9 +107,44 @@ def fold(edges: DataFrame, own: DataFrame, rule: Rule = most_restrictive, levels
     """(node, value) of every node: its own value, or what ``rule`` makes of its parents' values.
 
     ``own`` is (node, value), value null where it is to be inherited; a node on an edge that is not in it inherits too, and of
-    several own values of a node the highest counts.  Values are whole numbers below ``levels``.
+    several own values of a node the highest counts.  Values are whole numbers below ``levels``.  Of ``typed`` edges, with ``own`` that has a
+    ``kind``, kinds are folded one after the other, each edge once; levels are peeled only within kinds that lead to each other.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    if not typed(edges):
+        return _fold(edges, own, rule, levels)
+    own = own.where("node is not null").select("node", F.col("value").cast("int").alias("value"), "kind")
+    edges = edges.where("src is not null and dst is not null")
+    found: list[tuple[set[str], DataFrame]] = []
+    for kinds, sources, inner in kind_order(edges, own):
+        into = edges.where(F.col("dst_kind").isin(*kinds)).select("src", "dst")
+        mine = own.where(F.col("kind").isin(*kinds)).select("node", "value")
+        mine = mine.unionByName(edges.where(F.col("src_kind").isin(*kinds)).select(F.col("src").alias("node"), F.lit(None).cast("int").alias("value")))
+        feeding = [part for k, part in found if k & sources]
+        known = reduce(DataFrame.unionByName, feeding) if feeding else None
+        if inner:
+            part = _fold(into, mine if known is None else mine.unionByName(known), rule, levels)
+            part = part if known is None else part.join(known.select("node"), "node", "left_anti")
+        else:
+            part = _folded_once(into, mine, known, rule, levels)
+        found.append((kinds, stash(part)))
+    return reduce(DataFrame.unionByName, [part for _, part in found]) if found else own.select("node", "value")
+
+
+def _folded_once(into: DataFrame, mine: DataFrame, known: DataFrame | None, rule: Rule, levels: int) -> DataFrame:
+    """(node, value) of ``mine`` and of what ``into`` leads to, where all sources are ``known``."""
+    rows = mine.select("node", "value", F.lit(None).cast("int").alias("from"))
+    if known is not None:
+        # dealt by source, edges are made distinct and joined without a second shuffle
+        sent = into.repartition("src").distinct().join(known.select(F.col("node").alias("src"), F.col("value").alias("from")), "src")
+        rows = rows.unionByName(sent.select(F.col("dst").alias("node"), F.lit(None).cast("int").alias("value"), "from"))
+    counts = [F.count_if(F.col("from") == k).alias(f"n{k}") for k in range(levels)]
+    all_ = rows.groupBy("node").agg(F.max("value").alias("value"), *counts)
+    return all_.select("node", F.coalesce("value", rule([F.col(f"n{k}") for k in range(levels)]).cast("int")).alias("value"))
+
+
+def _fold(edges: DataFrame, own: DataFrame, rule: Rule, levels: int) -> DataFrame:
+    """``fold`` by peeled levels and strong components."""
+    edges = stash(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(None).cast("int").alias("value"))
     nodes = stash(own.where("node is not null").select("node", F.col("value").cast("int").alias("value")).unionByName(ends).groupBy("node").agg(F.max("value").alias("value")))
     free = nodes.where("value is null").select("node")
@@ -144,6 +180,6 @@ def fold_keys(edges: DataFrame, own: DataFrame, keys: list[str], rules: dict[str
     rules = RULES if rules is None else rules
     out = None
     for key in keys:
-        part = fold(edges, own.where(F.col("key") == key).select("node", "value"), rules.get(key.lower(), most_restrictive)).select(F.lit(key).alias("key"), "node", "value")
+        part = fold(edges, own.where(F.col("key") == key).drop("key"), rules.get(key.lower(), most_restrictive)).select(F.lit(key).alias("key"), "node", "value")
         out = part if out is None else out.unionByName(part)
     return out

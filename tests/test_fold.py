@@ -76,3 +76,28 @@ def test_keys_have_rules_of_their_own(spark):
     own = spark.createDataFrame([("pii", "a", 0), ("pii", "b", 2), ("cleared", "a", 0), ("cleared", "b", 2)], "key string, node string, value int")
     got = F.fold_keys(e, own, ["pii", "cleared"], F.RULES | {"cleared": F.least_restrictive}).where("node = 'm'").collect()
     assert sorted((r.key, r.value) for r in got) == [("cleared", 0), ("pii", 2)]
+
+
+def _kinds(df):
+    return df.selectExpr("src", "dst", "substring(src, 1, 1) as src_kind", "substring(dst, 1, 1) as dst_kind")
+
+
+def test_edges_with_kinds_fold_layer_and_reach_as_those_without(spark):
+    from ripplegraph.operators import fold, graph, layout
+
+    edges = spark.sql("select concat('a', id % 5) as src, concat('b', id % 7) as dst from range(30) union all select concat('b', id % 7), concat('c', id % 11) from range(50) union all select concat('a', id % 5), concat('c', id % 3) from range(9)")
+    own = spark.sql("select concat(k, id) as node, cast(if(id % 3 = 0, id % 2 * 2, null) as int) as value, k as kind from range(4) lateral view explode(array('a', 'b', 'd')) as k")
+    for rule in (fold.most_restrictive, fold.least_restrictive):
+        assert set(map(tuple, fold.fold(_kinds(edges), own, rule).collect())) == set(map(tuple, fold.fold(edges, own.drop("kind"), rule).collect()))
+    assert set(map(tuple, layout.layers(_kinds(edges)).collect())) == set(map(tuple, layout.layers(edges).collect()))
+    seeds = spark.sql("select id as key, concat('a', id) as node, 'a' as kind from range(3)")
+    assert sorted(map(tuple, graph.bfs_levels(_kinds(edges), seeds).collect())) == sorted(map(tuple, graph.bfs_levels(edges, seeds.drop("kind")).collect()))
+
+
+def test_a_round_reads_no_edges_of_kinds_it_cannot_use(spark):
+    from ripplegraph.operators import graph
+
+    # the second part fails when it is read
+    edges = spark.sql("select 'a1' as src, 'b1' as dst, 'a' as src_kind, 'b' as dst_kind union all select raise_error('read'), 'd', 'c', 'd' from range(1)")
+    seeds = spark.sql("select 0 as key, 'a1' as node, 'a' as kind")
+    assert sorted(map(tuple, graph.bfs_levels(edges, seeds).collect())) == [(0, "a1", 0), (0, "b1", 1)]
