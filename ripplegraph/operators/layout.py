@@ -6,10 +6,13 @@ a layer and sends one message along their edges.  Nodes on one cycle share a lay
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.fold import strong_components
+from ripplegraph.operators.graph import kind_order, typed
 from ripplegraph.tables import stash
 
 
@@ -29,8 +32,27 @@ def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _by_kind(edges: DataFrame, order: list[tuple[set[str], set[str], bool]]) -> DataFrame:
+    found: list[tuple[set[str], DataFrame]] = []
+    for kinds, sources, _ in order:
+        rows = edges.where(F.col("src_kind").isin(*kinds)).select(F.col("src").alias("node"), F.lit(0).alias("layer"))
+        if feeding := [part for k, part in found if k & sources]:
+            known = reduce(DataFrame.unionByName, feeding).withColumnRenamed("node", "src")
+            into = edges.where(F.col("dst_kind").isin(*kinds)).select("src", F.col("dst").alias("node"))
+            rows = rows.unionByName(into.join(known, "src").select("node", (F.col("layer") + 1).alias("layer")))
+        found.append((kinds, stash(rows.groupBy("node").agg(F.max("layer").alias("layer")))))
+    return reduce(DataFrame.unionByName, [part for _, part in found])
+
+
 def layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, layer) of every node; layer 0 has those without parents."""
+    """(node, layer) of every node; layer 0 has those without parents.
+
+    Of ``typed`` edges whose kinds lead to later kinds alone, kinds get their layers one after the other, each edge once.
+    """
+    if nodes is None and typed(edges):
+        order = kind_order(edges)
+        if not any(inner for _, _, inner in order):
+            return _by_kind(edges.where("src is not null and dst is not null"), order)
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     nodes = stash((ends if nodes is None else ends.unionByName(nodes.select("node"))).where("node is not null").distinct())
